@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, suffix_dedup, token_files
+from . import near_dedup, packing, secrets, suffix_dedup, token_files
 from .common import table
 
 
@@ -21,11 +21,21 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2, seq_len=4096)
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of every text."""
+    return secrets.digest(secrets.find(table(spark, sf_dir, "documents")))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every byte of every text that a 100-byte string covers which also starts earlier."""
     return suffix_dedup.digest(table(spark, sf_dir, "documents"), length=100)
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the least id of its near-duplicate class."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' ids written as block files and read back."""
     return token_files.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0)
