@@ -8,12 +8,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.plans.session import ship
+
 #: Rows without an id sort first and take this key internally.
 NULL_ID = -(2**63)
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound the Arrow batches that Python workers get, as texts may be very long."""
+    """Make the package known to Python workers, and bound the Arrow batches that they get, as texts may be very long."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
 
