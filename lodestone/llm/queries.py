@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup, packing, quality, secrets, suffix_dedup, token_files, toxicity
+from . import kd_trees, near_dedup, packing, quality, rp_forest, secrets, suffix_dedup, token_files, toxicity
 from .common import table
 
 
@@ -21,6 +21,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2, seq_len=4096)
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every 20th vector, by inner product."""
+    return rp_forest.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The secrets of every text."""
     return secrets.digest(secrets.find(table(spark, sf_dir, "documents")))
@@ -36,6 +41,11 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_exact_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 highest integer inner products of every 50th vector, exactly."""
+    return kd_trees.top(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' ids written as block files and read back."""
     return token_files.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0)

@@ -28,7 +28,7 @@ from .labels import held_out, sample
 INSULTS = ("idiot", "moron", "stupid", "scum", "loser", "trash", "pathetic", "disgusting", "worthless", "clown")
 STEMS = (4, 5, 6)
 #: Lexicon voters at most, candidates for them, in which share of the labelled toxic rows (and in how many at least) one must occur, and how many voters each of those should have.
-LEXICON, CANDIDATES, SHARE, SUPPORT, VOTERS = 80, 3000, 0.015, 4, 3
+LEXICON, CANDIDATES, SHARE, SUPPORT, VOTERS = 80, 3000, 0.004, 3, 3
 PATTERNS = ("any", "two kinds", "three kinds", "dense", "none")
 find_words = re.compile(r"\w+").findall
 
