@@ -15,7 +15,7 @@ import re
 import numpy as np
 
 #: Entries of a worker's cache; it starts anew when it is full.
-CACHE = 400_000
+CACHE = 800_000
 
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Characters whose class is beyond doubt; the apostrophe starts contractions, so it is not one.
@@ -46,7 +46,12 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.pieces = byte_pieces if self.tokenizer.normalizer is None else word_pieces
+        self.tokenizer.model._resize_cache(0)  # a piece comes but once
+        plain = self.tokenizer.normalizer is None
+        self.pieces = byte_pieces if plain else word_pieces
+        # letters never share an id with what stands between them here
+        self.between = "\n" if plain else " 0 "
+        self.mark = self.tokenizer.encode(self.between, add_special_tokens=False).ids[0]
         self.cache: dict[str, bytes] = {}
 
     @classmethod
@@ -55,16 +60,28 @@ class Encoder:
             cls._known[path] = cls(path)
         return cls._known[path]
 
+    def learn(self, new: set[str]) -> None:
+        """Encode pieces into the cache: those of letters in one text, which is quicker, others one by one."""
+        letters = [p for p in new if p.isalpha() or p[:1] == " " and p[1:].isalpha()]
+        if letters:
+            ids = np.array(self.tokenizer.encode_batch_fast([self.between.join(letters)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == self.mark), len(ids)).tolist()
+            if len(ends) == len(letters):
+                data, at = ids.tobytes(), 0
+                for p, z in zip(letters, ends):
+                    self.cache[p] = data[4 * at : 4 * z]
+                    at = z + 1
+        rest = [p for p in new if p not in self.cache]
+        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            self.cache[p] = np.array(e.ids, "<u4").tobytes()
+
     def ids(self, texts: list[str]) -> list[bytes]:
         out, cache = [], self.cache
-        for at in range(0, len(texts), 64):
-            cut = [self.pieces(t) for t in texts[at : at + 64]]
+        for at in range(0, len(texts), 128):
+            cut = [self.pieces(t) for t in texts[at : at + 128]]
             if len(cache) > CACHE:
                 cache.clear()
-            new = list({p for own in cut for p in own if p not in cache})
-            for a in range(0, len(new), 4096):
-                some = new[a : a + 4096]
-                for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                    cache[p] = np.array(e.ids, "<u4").tobytes()
+            if new := set().union(*cut).difference(cache):
+                self.learn(new)
             out += [b"".join(map(cache.__getitem__, own)) for own in cut]
         return out
