@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import kd_trees, near_dedup, packing, quality, rp_forest, secrets, suffix_dedup, token_files, toxicity
+from . import kd_trees, near_dedup, packing, quality, rp_forest, secrets, segmentations, suffix_dedup, token_files, toxicity
 from .common import table
 
 
@@ -26,6 +26,11 @@ def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rp_forest.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
 
 
+def op3_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two distinct sampled segmentations of every text, with inclusion scores, decoded again."""
+    return segmentations.sample(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), k=2, seed=1)
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The secrets of every text."""
     return secrets.digest(secrets.find(table(spark, sf_dir, "documents")))
