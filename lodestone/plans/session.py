@@ -39,3 +39,11 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.join("lodestone", os.path.relpath(full, package)))
     context.addPyFile(path)
     context._lodestone_shipped = True
+
+
+def checkpoint(df):
+    """The rows of df without its lineage, in the session's checkpoint folder (an own one only where none is set)."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-checkpoint-"))
+    return df.checkpoint()
