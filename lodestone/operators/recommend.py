@@ -31,7 +31,7 @@ def item_pairs(ratings: DataFrame, least: int = 3) -> DataFrame:
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
-    return pairs.unionByName(pairs.withColumnsRenamed({"a": "b", "b": "a"}))
+    return pairs.unionByName(pairs.select(*(F.col({"a": "b", "b": "a"}.get(c, c)).alias(c) for c in pairs.columns)))
 
 
 def neighbours(targets: DataFrame, ratings: DataFrame, pairs: DataFrame, n: int = 8, digits: int = 9) -> DataFrame:
