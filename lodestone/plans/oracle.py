@@ -22,9 +22,9 @@ MEANS = "users AS (SELECT user_id, avg(stars) AS user_mean FROM ratings GROUP BY
 PAIRS = """sums AS (SELECT x.item_id AS a, y.item_id AS b, count(*) AS n, sum(x.stars) AS sx, sum(y.stars) AS sy, sum(x.stars * y.stars) AS sxy, sum(x.stars * x.stars) AS sxx, sum(y.stars * y.stars) AS syy
         FROM ratings x JOIN ratings y ON x.user_id = y.user_id AND x.item_id < y.item_id GROUP BY 1, 2 HAVING count(*) >= 3),
     pairs AS (SELECT a, b, n, CASE WHEN sxx - sx * sx / n <= 1e-9 OR syy - sy * sy / n <= 1e-9 THEN 0.0 ELSE (sxy - sx * sy / n) / (sqrt(sxx - sx * sx / n) * sqrt(syy - sy * sy / n)) END AS correlation FROM sums)"""
-NEAR = """similar AS (SELECT a AS item_id, b AS other, correlation FROM pairs WHERE correlation > 0 UNION ALL SELECT b, a, correlation FROM pairs WHERE correlation > 0),
+NEAR = """alike AS (SELECT a AS item_id, b AS other, correlation FROM pairs WHERE correlation > 0 UNION ALL SELECT b, a, correlation FROM pairs WHERE correlation > 0),
     near AS (SELECT t.user_id, t.item_id, s.other, s.correlation, r.stars, row_number() OVER (PARTITION BY t.user_id, t.item_id ORDER BY round(s.correlation, 9) DESC, s.other) AS rank
-        FROM targets t JOIN ratings r ON t.user_id = r.user_id JOIN similar s ON s.item_id = t.item_id AND s.other = r.item_id)"""
+        FROM targets t JOIN ratings r ON t.user_id = r.user_id JOIN alike s ON s.item_id = t.item_id AND s.other = r.item_id)"""
 PREDICTED = """scored AS (SELECT user_id, item_id, sum(abs(correlation) * stars) / sum(abs(correlation)) AS weighted, min(correlation) AS last FROM near WHERE rank <= 8 GROUP BY 1, 2),
     predicted AS (SELECT user_id, item_id, least(greatest(coalesce(weighted, (user_mean + item_mean) / 2, user_mean, item_mean, 3.0), 1.0), 5.0) AS prediction,
         coalesce(last, CASE WHEN user_mean IS NOT NULL AND item_mean IS NOT NULL THEN 0.1 WHEN user_mean IS NOT NULL OR item_mean IS NOT NULL THEN 0.05 ELSE 0.0 END) AS confidence
@@ -109,7 +109,7 @@ SQL: dict[str, str] = {
     "json_map_sum": "SELECT event_type, CAST(sum(list_sum(map_values(CAST(CAST(props AS JSON) AS MAP(VARCHAR, BIGINT))))) AS BIGINT) AS total, count(*) AS n FROM events GROUP BY 1",
     "split_array_len": "SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 0 ELSE len(string_split(p_type, ' ')) END AS n, CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE len(string_split(p_type, ' ')) END AS m FROM part",
     "days_since": "SELECT o_custkey, date_diff('day', CAST(min(o_orderdate) AS DATE), DATE '2000-01-01') AS days FROM orders GROUP BY 1",
-    "string_keys": "SELECT o_orderkey, CAST(month(o_orderdate) AS VARCHAR) || '/' || CAST(day(o_orderdate) AS VARCHAR) || '/' || right(CAST(year(o_orderdate) AS VARCHAR), 2) || '-' || CAST(o_custkey AS VARCHAR) AS basket, CAST(o_orderkey AS VARCHAR) AS product, "
+    "string_keys": "SELECT o_orderkey, CAST(month(o_orderdate) AS VARCHAR) || '/' || CAST(day(o_orderdate) AS VARCHAR) || '/' || right(CAST(year(o_orderdate) AS VARCHAR), 2) || '-' || CAST(o_custkey AS VARCHAR) AS basket, ltrim(CAST(o_orderkey AS VARCHAR), '0') AS product, "
     "list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(range(1, length(CAST(o_orderkey AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST(o_orderkey AS VARCHAR), i, 1)) AS BIGINT))), lambda h, c: (h * 256 + c) % 69997) AS h FROM orders",
     "encode_ids": "SELECT dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS segment, c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment",
     "number_rows": "SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS number FROM customer",
