@@ -188,4 +188,4 @@ def sequential(load: DataFrame, summary: DataFrame, within: float) -> DataFrame:
                 out.append((i, -1))
         return pd.DataFrame(out, columns=["id", "cluster"])
 
-    return load.select("id", "features").groupBy(F.lit(0)).applyInPandas(run, "id long, cluster int")
+    return load.select("id", "features").groupBy(F.lit("all")).applyInPandas(run, "id long, cluster int")

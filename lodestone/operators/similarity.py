@@ -7,14 +7,14 @@ import random
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A prime above the number of users that signatures are used for.
+#: A prime above the numbers that users have.
 PRIME = 2_147_483_647
 
 
-def coefficients(n: int, seed: int = 1, most: int = 1000) -> list[tuple[int, int]]:
-    """n hash functions a x + b with a from 1 on; the same for the same seed."""
+def coefficients(n: int, seed: int = 1, modulus: int = PRIME) -> list[tuple[int, int]]:
+    """n hash functions a x + b with a from 1 on, over the whole range of the modulus (small ones would keep the order of small numbers); the same for the same seed."""
     r = random.Random(seed)
-    return [(r.randint(1, most), r.randint(0, most)) for _ in range(n)]
+    return [(r.randrange(1, modulus), r.randrange(modulus)) for _ in range(n)]
 
 
 def signatures(df: DataFrame, hashes: list[tuple[int, int]], modulus: int = PRIME) -> DataFrame:

@@ -30,7 +30,7 @@ def json_lines(spark: SparkSession, path: str, schema: str | T.StructType) -> Da
 
 def csv(spark: SparkSession, path: str, schema: str | None = None, *, header: bool = True, quote: str = '"') -> DataFrame:
     """Without the header line; commas inside quotes belong to the field."""
-    reader = spark.read.option("header", header).option("quote", quote).option("escape", quote)
+    reader = spark.read.option("header", header).option("quote", quote).option("escape", quote).option("ignoreLeadingWhiteSpace", False)
     return (reader.schema(schema) if schema else reader).csv(path)
 
 

@@ -16,7 +16,7 @@ def json_object(df: DataFrame) -> DataFrame:
 
 
 def csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").option("header", True).option("ignoreLeadingWhiteSpace", False).csv(path)
 
 
 def predictions_csv(df: DataFrame, path: str, names: tuple[str, ...] = ("user_id", " business_id", " prediction")) -> None:
