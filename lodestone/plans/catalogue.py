@@ -560,6 +560,20 @@ def streaming_bloom_fpr(spark, sf):
     return sketches.bloom(spark.read.parquet(f"{root}/rows"), 1000, 997, small).select("batch", "n_new", "n_false", F.round("fpr", 6).alias("fpr"), F.round("reported_fpr", 6).alias("reported_fpr"))
 
 
+@query
+def streaming_reservoir_hash(spark, sf):
+    root = shared(spark, "reservoir")
+    sketches.stream_reservoir(event_stream(spark, sf), 1000, 20, f"{root}/rows", f"{root}/log")
+    return sketches.reservoir(spark.read.parquet(f"{root}/rows"), 1000, 20)
+
+
+@query
+def streaming_exact_distinct(spark, sf):
+    root = shared(spark, "distinct")
+    sketches.stream_distinct(event_stream(spark, sf), 1000, f"{root}/rows", f"{root}/log")
+    return sketches.exact_distinct(spark.read.parquet(f"{root}/rows"), 1000)
+
+
 @query
 def streaming_key_counts(spark, sf):
     root = shared(spark, "counts")

@@ -177,3 +177,4 @@ SQL: dict[str, str] = {
     + "SELECT id, cluster, round(d, 5) AS distance FROM best WHERE r = 1 AND d < 16",
     "cs_merge_pairs": with_(LABEL_STATS, f"dist AS (SELECT p.cluster AS a, q.cluster AS b, least({between('p.m{i}', 'q.m{i}', 'q.s{i}')}, {between('p.m{i}', 'q.m{i}', 'p.s{i}')}) AS d FROM stats p JOIN stats q ON p.cluster < q.cluster)") + "SELECT a, b, round(d, 5) AS distance FROM dist WHERE d < 16",
 }
+SQL |= {f"streaming_{name}": SQL[name] for name in ("reservoir_hash", "exact_distinct")}

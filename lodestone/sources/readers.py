@@ -55,9 +55,9 @@ def stream(spark: SparkSession, folder: str, schema: str | T.StructType, *, form
 
 def drawn(df: DataFrame, key: str, ask: int, size: int, seed: int = 1) -> DataFrame:
     """(seq, key): `size` rows for each of `ask` asks, drawn uniformly with replacement; the same for the same seed."""
-    from pyspark.sql import Window
+    from lodestone.operators.relational import numbered as number
 
-    numbered = df.select(key, (F.row_number().over(Window.orderBy(key)) - 1).alias("i"))
+    numbered = number(df.select(key), key, "i")
     n = df.count()
     draws = df.sparkSession.range(ask * size).select(F.col("id").alias("seq"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(1, n))).alias("i"))
     return draws.join(numbered, "i").select("seq", key)

@@ -138,6 +138,17 @@ def stream_bloom(stream: DataFrame, table: str, checkpoint_dir: str) -> None:
     run(stream, handle, checkpoint_dir)
 
 
+def stream_reservoir(stream: DataFrame, size: int, k: int, table: str, checkpoint_dir: str, seed: int = 1) -> None:
+    """The k rows of the least seeded hashes of each batch within each micro-batch, appended to a table; `reservoir` over it gives the sample."""
+
+    def handle(df: DataFrame, epoch: int) -> None:
+        own = Window.partitionBy("batch").orderBy("h", "seq")
+        rows = batched(df.select("seq", "key"), size).withColumn("h", seeded(seed, "seq")).withColumn("r", F.row_number().over(own))
+        rows.where(F.col("r") <= k).select("seq", "key").write.mode("append").parquet(table)
+
+    run(stream, handle, checkpoint_dir)
+
+
 def stream_counts(stream: DataFrame, state_table: str, checkpoint_dir: str) -> None:
     """Rows and last seq of each key, by a state per key that lives across micro-batches."""
 
