@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,17 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
 
 
+#: What operators remember in a Python worker from task to task, by name, and how to forget it.
+REMEMBERED: dict[str, Callable[[], object]] = {}
+
+
+def remember_only(*names: str) -> None:
+    """Forget what other operators have left in this worker, which serves one stage after the other."""
+    for name, forget in REMEMBERED.items():
+        if name not in names:
+            forget()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, Store, keyed, tune
+from .common import NULL_ID, Store, keyed, remember_only, tune
 
 #: The sampled strings' bytes.
 GRAM = 32
@@ -126,6 +126,7 @@ def pack_place(th: np.ndarray, first: np.ndarray, windows: np.ndarray) -> np.nda
 
 
 def found(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
+    remember_only()
     for keys, base, data, ends in chunks(batches, length):
         a = anchors(data, ends, length)
         doc = np.searchsorted(ends, a["first"], side="right")

@@ -14,8 +14,10 @@ import re
 
 import numpy as np
 
-#: Entries of a worker's cache; it starts anew when it is full.
-CACHE = 800_000
+from .common import REMEMBERED, remember_only
+
+#: Entries of a worker's cache; its longer pieces go when it is full.
+CACHE = 1_000_000
 
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Characters whose class is beyond doubt; the apostrophe starts contractions, so it is not one.
@@ -56,6 +58,7 @@ class Encoder:
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
+        remember_only("tokens")
         if path not in cls._known:
             cls._known[path] = cls(path)
         return cls._known[path]
@@ -80,8 +83,14 @@ class Encoder:
         for at in range(0, len(texts), 128):
             cut = [self.pieces(t) for t in texts[at : at + 128]]
             if len(cache) > CACHE:
-                cache.clear()
+                # the shorter half stays: short words come again most
+                middle = sorted(map(len, cache))[len(cache) // 2]
+                for p in [p for p in cache if len(p) >= middle]:
+                    del cache[p]
             if new := set().union(*cut).difference(cache):
                 self.learn(new)
             out += [b"".join(map(cache.__getitem__, own)) for own in cut]
         return out
+
+
+REMEMBERED["tokens"] = Encoder._known.clear
