@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.plans.session import checkpoint
 
 # Projections and filters
 
@@ -72,7 +73,8 @@ def encoded(df: DataFrame, column: str, name: str) -> tuple[DataFrame, DataFrame
 
 def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
     """Numbers from 0 in order. Ranges are counted first, so that no task holds more than its own."""
-    ranged = df.repartitionByRange(order).withColumn("__p", F.spark_partition_id())
+    # stored, as a second run would sample other range bounds
+    ranged = checkpoint(df.repartitionByRange(order).withColumn("__p", F.spark_partition_id()))
     counts = ranged.groupBy("__p").count()
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("__p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__base"))
