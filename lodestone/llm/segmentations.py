@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -36,7 +37,7 @@ split_words = re.compile(f"{SPACE}[^{SPACE}]*").findall
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 TABLE = 20
 #: Characters of the texts whose words are drawn together, about.
-CHARS = 800_000
+CHARS = 500_000
 
 
 def uniform(state: np.ndarray) -> np.ndarray:
@@ -147,9 +148,10 @@ class Batch:
         self.lattices = lattices
         self.words = [split_words(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         self.first = np.cumsum([0, *map(len, self.words)])
-        number: dict[str, int] = {}
-        self.type = np.array([number.setdefault(w, len(number)) for own in self.words for w in own], np.int64)
-        self.types = list(number)
+        flat = list(chain.from_iterable(self.words))
+        self.types = list(dict.fromkeys(flat))
+        number = dict(zip(self.types, range(len(self.types))))
+        self.type = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
         by: dict[int, list[int]] = {}
         for i, w in enumerate(self.types):
             by.setdefault(len(w), []).append(i)
@@ -259,19 +261,6 @@ def segmentations(lattices: Lattices, texts: list[str], keys: list[int], k: int)
         parts = [rng.integers(0, 2**64, b - a, np.uint64) for rng, a, b in zip(rngs, batch.first, batch.first[1:])]
         return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
-    def ids_of(draw: dict, lo: int, hi: int) -> list[bytes]:
-        """The ids of words lo to hi in a draw."""
-        if draw["before"] is None or lo >= draw["start"]:
-            out, starts = draw["flat"]
-            return [out[starts[lo] : starts[hi]].tobytes()]
-        word, parts = draw["start"] - 1, []
-        if lo < word:
-            parts += ids_of(draw["before"], lo, min(hi, word))
-        if lo <= word < hi:
-            t = int(batch.type[word])
-            parts.append(np.array(lattices.ids(batch.types[t], batch.lattice[int(batch.length[t])], int(batch.row[t]), list(draw["paths"][word])), "<u4").tobytes())
-        return parts + (ids_of(draw, draw["start"], hi) if hi > draw["start"] else [])
-
     # a region: (value, word, barred paths of it, the draw that its prefix comes from); the whole is a region without a word
     queues = [[(float(-np.log(-np.log(rng.random()))), -1, (), None)] for rng in rngs]
     found: list[list[tuple]] = [[] for _ in texts]
@@ -318,7 +307,7 @@ def segmentations(lattices: Lattices, texts: list[str], keys: list[int], k: int)
     for d in range(many):
         threshold = max((q[0] for q in queues[d]), default=-np.inf)
         for rank, (value, draw, total) in enumerate(found[d], 1):
-            ids = b"".join(ids_of(draw, int(batch.first[d]), int(batch.first[d + 1])))
+            ids = b"".join(ids_of(batch, draw, int(batch.first[d]), int(batch.first[d + 1])))
             yield d, rank, ids, total, value, float(-np.expm1(-np.exp(min(50.0, total - threshold)))) if threshold > -np.inf else 1.0
 
 
@@ -332,6 +321,20 @@ def path_of(batch: Batch, draw: dict, word: int) -> tuple[int, ...]:
         draw = draw["before"]
 
 
+def ids_of(batch: Batch, draw: dict, lo: int, hi: int) -> list[bytes]:
+    """The ids of words lo to hi in a draw."""
+    if draw["before"] is None or lo >= draw["start"]:
+        out, starts = draw["flat"]
+        return [out[starts[lo] : starts[hi]].tobytes()]
+    word, parts = draw["start"] - 1, []
+    if lo < word:
+        parts += ids_of(batch, draw["before"], lo, min(hi, word))
+    if lo <= word < hi:
+        t = int(batch.type[word])
+        parts.append(np.array(batch.lattices.ids(batch.types[t], batch.lattice[int(batch.length[t])], int(batch.row[t]), list(draw["paths"][word])), "<u4").tobytes())
+    return parts + (ids_of(batch, draw, draw["start"], hi) if hi > draw["start"] else [])
+
+
 def decode(lattices: Lattices, ids: np.ndarray) -> str:
     """The text of ids, without the space that stands before every text."""
     out = b"".join(map(lattices.text.__getitem__, ids.tolist())).decode("utf-8", "replace")
