@@ -3,33 +3,42 @@
 A sketch takes the three least of a document's occurrence-labelled shingles
 under its own hash and keeps them in text order, so two documents share a
 sketch only where the same shingles stand in the same order. Documents that
-share one of 40 sketches are candidates; they are linked if the edit similarity
-of their word sequences, 1 - edits / longer length, is 0.8 or more. Two texts
-of shingle similarity J share a given sketch with probability about J ** 3:
-all but 1 in 10,000 pairs of J 0.6 or more are found, and of J 0.8 or more all.
-
-Copies (equal word sequences) count as one node. In a bucket every node is
-first aligned with the least one; only what that leaves in different
-components is paired further, and then only where a second sketch is shared,
-which for large buckets is part of the key. No pair of one component is made
-twice, no bucket is cut off. Components are found by alternating stars.
+share one of 32 sketches are candidates. They are linked if the Jaccard
+similarity of their labelled shingles is 0.8 or more, or if their word
+sequences align with an edit similarity (1 - edits / longer length) of 0.9 or
+more: a few changed words spoil many shingles, while a long passage that
+different documents share does not make them alike. Two texts of shingle similarity
+J share a given sketch with probability about J ** 3: of J 0.6 all but 1 in
+2,000 pairs share one, of J 0.8 practically all.
+
+Copies (equal word sequences) count as one node. Every node is first aligned
+with one leader (a bucket's shortest of about its length, of which most buckets
+agree); then with those of its leaders that are in other components. What that leaves apart is paired in small
+buckets, and, of all sizes, wherever the rarest shingles meet: two sets of
+similarity 0.8 share one of their rarest fifth (and one more), so no such pair
+is lost, and a frequent passage makes none. No pair within a component is
+made, no bucket is cut off. Components are found by alternating stars.
 """
 
 from __future__ import annotations
 
+import bisect
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, Store, keyed, tune
+from .common import NULL_ID, REMEMBERED, Store, keyed, remember_only, tune
 
-WORDS, SKETCHES, TAKEN, SIMILARITY = 5, 40, 3, 0.8
-#: Buckets with more nodes are dealt by a second sketch before they are paired.
-LARGE = 64
+WORDS, SKETCHES, TAKEN, SIMILARITY, EDIT = 5, 32, 3, 0.8, 0.9
+#: Buckets of so many nodes are paired as they are.
+SMALL = 8
+#: Word counts of one step of length differ by this factor at most.
+STEP = 1.12
 SEEDS = np.random.Generator(np.random.PCG64(11)).integers(1, 2**63, (SKETCHES, 2), np.uint64) | np.uint64(1)
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 find_words = re.compile(r"\w+").findall
@@ -41,13 +50,14 @@ class Vocabulary(dict):
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = x = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         return x
 
 
 VOCABULARY = Vocabulary()
+REMEMBERED["words"] = VOCABULARY.clear
 
 
 def fingerprints(text: str) -> np.ndarray:
@@ -55,9 +65,9 @@ def fingerprints(text: str) -> np.ndarray:
     return np.array([VOCABULARY[w] for w in find_words(text.lower())], np.uint64)
 
 
-def shingles(words: np.ndarray) -> np.ndarray:
-    """Hashes of the five-word shingles; texts under five words are one shingle."""
-    k = min(WORDS, len(words))
+def shingles(words: np.ndarray, k: int = WORDS) -> np.ndarray:
+    """Hashes of the shingles of k words; shorter texts are one shingle."""
+    k = min(k, len(words))
     n = len(words) - k + 1
     h = np.zeros(n, np.uint64)
     for i in range(k):
@@ -66,28 +76,47 @@ def shingles(words: np.ndarray) -> np.ndarray:
     return h
 
 
-def sketches(words: np.ndarray) -> np.ndarray:
-    """SKETCHES hashes, each of the least shingles of one order, kept in text order."""
-    h = shingles(words)
+def labelled_shingles(h: np.ndarray) -> np.ndarray:
+    """The hashes with the number of earlier occurrences worked in, so that each is there once; first ones stay as they are."""
     order = np.argsort(h, kind="stable")
     ranked = h[order]
     new = np.ones(len(h), bool)
     new[1:] = ranked[1:] != ranked[:-1]
-    labelled = h
-    if not new.all():
-        begin = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-        occurrence = np.empty(len(h), np.uint64)
-        occurrence[order] = (np.arange(len(h)) - begin).astype(np.uint64)
-        labelled = np.where(occurrence > 0, (h ^ occurrence * M2) * M1, h)
-    taken = min(TAKEN, len(h))
+    if new.all():
+        return h
+    begin = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+    occurrence = np.empty(len(h), np.uint64)
+    occurrence[order] = (np.arange(len(h)) - begin).astype(np.uint64)
+    return np.where(occurrence > 0, (h ^ occurrence * M2) * M1, h)
+
+
+def least(x: np.ndarray, taken: int) -> np.ndarray:
+    """The places of the least entries of each row."""
+    n = x.shape[1]
+    if taken == n:
+        return np.broadcast_to(np.arange(n), x.shape)
+    if n > 64:
+        # among the few that are under a bound, nearly always enough
+        row, col = np.nonzero(x < np.uint64(12 * (2**64 // n)))
+        count = np.bincount(row, minlength=len(x))
+        if count.min() >= taken:
+            order = np.lexsort((x[row, col], row))
+            return col[order[(np.cumsum(count) - count)[:, None] + np.arange(taken)]]
+    return np.argpartition(x, taken - 1, axis=1)[:, :taken]
+
+
+def sketches(words: np.ndarray) -> np.ndarray:
+    """SKETCHES hashes, each of the least shingles of one order, kept in text order."""
+    labelled = labelled_shingles(shingles(words))
+    taken = min(TAKEN, len(labelled))
     places = np.empty((SKETCHES, taken), np.int64)
-    step = max(1, 1_000_000 // len(h))
+    step = max(1, 1_000_000 // len(labelled))
     for at in range(0, SKETCHES, step):
         seed = SEEDS[at : at + step]
         x = (labelled ^ seed[:, :1]) * seed[:, 1:]
         x ^= x >> np.uint64(32)
         x *= M2
-        places[at : at + step] = np.argpartition(x, taken - 1, axis=1)[:, :taken] if taken < len(h) else np.arange(len(h))
+        places[at : at + step] = least(x, taken)
     places.sort(axis=1)
     out = SEEDS[:, 0].copy()
     for i in range(taken):
@@ -100,6 +129,7 @@ def described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """For each document its node (fingerprint of its words; of its text, if it has none), word count and sketches."""
     import xxhash
 
+    remember_only("words")
     for b in batches:
         known: dict[int, np.ndarray | None] = {}
         rows = []
@@ -112,8 +142,8 @@ def described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["d", "th", "node", "n", "sketch"])
 
 
-def edits(pairs: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
-    """Word edit distances, exact up to each pair's bound and otherwise over it, in a band around the diagonal, many pairs at once."""
+def edits(pairs: list[tuple[np.ndarray, np.ndarray, int]], band: int = 16) -> np.ndarray:
+    """Word edit distances, exact up to each pair's bound and otherwise over it, in a band around the diagonal (at first of this width), many pairs at once."""
     out = np.zeros(len(pairs), np.int64)
     todo = []
     for i, (a, b, most) in enumerate(pairs):
@@ -130,13 +160,17 @@ def edits(pairs: list[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
             out[i] = max(len(a), len(b))
         else:
             todo.append((i, a, b, most))
-    band = 16
     while todo:
         todo.sort(key=lambda x: len(x[1]))
         again = []
-        size = max(1, 2_000_000 // (len(todo[-1][1]) + 4 * band))
-        for at in range(0, len(todo), min(64, size)):
-            some = todo[at : at + min(64, size)]
+        at = 0
+        while at < len(todo):
+            # pairs of about the same length go together
+            first, z = len(todo[at][1]), at + 1
+            most = max(1, min(64, 2_000_000 // (first + 4 * min(band, todo[at][3]))))
+            while z < len(todo) and z - at < most and len(todo[z][1]) <= 1.25 * first + 16:
+                z += 1
+            some, at = todo[at:z], z
             k = min(band, max(x[3] for x in some))
             for x, d in zip(some, aligned([(a, b) for _, a, b, _ in some], k)):
                 if d <= min(k, x[3]) or k >= x[3]:
@@ -157,19 +191,23 @@ def aligned(pairs: list[tuple[np.ndarray, np.ndarray]], k: int) -> np.ndarray:
         A[i, : len(a)] = a
         x = b[: rows + width - k]
         B[i, k : k + len(x)] = x
-    far = 4 * (rows + width)
-    col = np.arange(width)
+    far = np.int32(4 * (rows + width))
+    col = np.arange(width, dtype=np.int32)
     inside = lambda i: (col + i - k >= 0) & (col + i - k <= m[:, None])
-    D = np.where(inside(0), col - k, far).astype(np.int32)
+    D = np.where(inside(0), col - np.int32(k), far).astype(np.int32)
     out = np.full(len(pairs), k + 1, np.int64)
+    shortest = int(m.min())
     for i in range(1, rows + 1):
         # column c stands for the first i words against the first i + c - k
         step = D + (A[:, i - 1 : i] != B[:, i - 1 : i - 1 + width])
-        step[:, :-1] = np.minimum(step[:, :-1], D[:, 1:] + 1)
+        np.minimum(step[:, :-1], D[:, 1:] + np.int32(1), out=step[:, :-1])
         if i <= k:
             step[:, k - i] = i
-        step = np.where(inside(i), step, far).astype(np.int32)
-        D = np.minimum.accumulate(step - col, axis=1) + col
+        if i < k or i + k > shortest:
+            step = np.where(inside(i), step, far)
+        step -= col
+        D = np.minimum.accumulate(step, axis=1)
+        D += col
         done = np.flatnonzero(n == i)
         c = m[done] - i + k
         ok = (c >= 0) & (c < width)
@@ -177,13 +215,62 @@ def aligned(pairs: list[tuple[np.ndarray, np.ndarray]], k: int) -> np.ndarray:
     return out
 
 
+def chained(a: np.ndarray, b: np.ndarray, k: int = WORDS) -> int:
+    """An upper bound of the edit distance: of a way along shingles of k words that occur once in either text, in the same order."""
+    x, y = shingles(a, k), shingles(b, k)
+    once = []
+    for h in (x, y):
+        values, at, count = np.unique(h, return_index=True, return_counts=True)
+        once.append((values[count == 1], at[count == 1]))
+    _, i, j = np.intersect1d(once[0][0], once[1][0], assume_unique=True, return_indices=True)
+    i, j = once[0][1][i], once[1][1][j]
+    order = np.argsort(i)
+    i, j = i[order], j[order]
+    if len(j) and (np.diff(j) <= 0).any():
+        # the longest increasing run of places
+        tails, ends, before = [], [], np.empty(len(j), np.int64)
+        for p, v in enumerate(j.tolist()):
+            k = bisect.bisect_left(tails, v)
+            before[p] = ends[k - 1] if k else -1
+            if k == len(tails):
+                tails.append(v)
+                ends.append(p)
+            else:
+                tails[k], ends[k] = v, p
+        keep, p = [], ends[-1]
+        while p >= 0:
+            keep.append(p)
+            p = before[p]
+        i, j = i[keep[::-1]], j[keep[::-1]]
+    i, j = np.concatenate([[0], i, [len(a)]]), np.concatenate([[0], j, [len(b)]])
+    di, dj = np.diff(i), np.diff(j)
+    total = 0
+    for k in np.flatnonzero((di > 1) | (dj > 1) | (di != dj)).tolist():
+        p, q, u, v = i[k], j[k], di[k], dj[k]
+        m = min(u, v)
+        ahead, behind = np.flatnonzero(a[p : p + m] != b[q : q + m]), np.flatnonzero(a[p + u - m : p + u] != b[q + v - m : q + v])
+        # alike from the front, from the back, or as much as meets from both
+        met = min(m, int(ahead[0]) + m - 1 - int(behind[-1])) if len(ahead) and len(behind) else m
+        total += min(len(ahead), len(behind), m - met) + max(u, v) - m
+    if di[0] == 1 and dj[0] == 1:
+        total += int(a[0] != b[0])
+    return total
+
+
 def similar(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Which pairs' edit similarity is SIMILARITY or more."""
+    """Which pairs are near duplicates: SIMILARITY of their shingles, or EDIT of their words by bounds where these decide, else by alignment."""
     out = np.zeros(len(pairs), bool)
     todo = []
     for i, (a, b) in enumerate(pairs):
+        x, y = labelled_shingles(shingles(a)), labelled_shingles(shingles(b))
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        if common >= SIMILARITY * (len(x) + len(y) - common) - 1e-9:
+            out[i] = True
+            continue
         longer = max(len(a), len(b))
-        most = int((1 - SIMILARITY) * longer + 1e-9)
+        most = int((1 - EDIT) * longer + 1e-9)
+        if common < max(len(x), len(y)) - WORDS * most:
+            continue  # an edit changes WORDS shingles at most
         # words that the other text has no match for each cost an edit
         both = np.concatenate([a, b])
         both.sort()
@@ -192,19 +279,23 @@ def similar(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         u = both[first]
         common = np.minimum(np.searchsorted(x, u, "right") - np.searchsorted(x, u), np.searchsorted(y, u, "right") - np.searchsorted(y, u)).sum()
         if longer - common <= most:
-            todo.append((i, a, b, most))
+            out[i] = chained(a, b) <= most or chained(a, b, 2) <= most
+            if not out[i]:
+                todo.append((i, a, b, most))
     if todo:
-        d = edits([x[1:] for x in todo])
+        # the bounds say that the distance is about the most that is allowed, so narrower bands would be in vain
+        d = edits([x[1:] for x in todo], max(x[3] for x in todo))
         for x, e in zip(todo, d):
             out[x[0]] = e <= x[3]
     return out
 
 
 def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    remember_only()
     for b in batches:
-        for at in range(0, len(b), 256):
-            some = b.iloc[at : at + 256]
-            ok = similar([(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(some.aw, some.bw)])
+        for at in range(0, len(b), 500):
+            some = b.iloc[at : at + 500]
+            ok = similar([(np.frombuffer(x, "<u4").astype(np.uint64), np.frombuffer(y, "<u4").astype(np.uint64)) for x, y in zip(some.aw, some.bw)])
             yield some.loc[ok, ["a", "b"]]
 
 
@@ -237,17 +328,22 @@ def classes(docs: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
     nodes = found.groupBy("node").agg(F.min(F.struct("d", "th")).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     nodes = store.write(nodes.where("n > 0").select("node", "first.d", "first.th", "n", "sketch"), "nodes")
     keys = nodes.select("node", "n", F.explode("sketch").alias("key"))
-    leaders = keys.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("l")).where("size > 1").select("key", "size", F.col("l.node").alias("leader"), F.col("l.n").alias("ln"))
-    keys = store.write(keys.join(leaders, "key"), "keys")
+    sizes = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    keys = store.write(keys.join(sizes, "key"), "keys")
     store.forget_shuffles()
-    stars = store.write(keys.where("node <> leader").where(near("n", "ln")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    # a bucket has a leader for each step of length, the shortest node; nodes meet those of their own step and of what is near below
+    step = F.floor(F.log("n") / math.log(STEP))
+    leaders = keys.groupBy("key", step.alias("step")).agg(F.min(F.struct("n", "node")).alias("l")).select("key", "step", F.col("l.node").alias("leader"), F.col("l.n").alias("ln"))
+    steps = F.explode(F.array(*(step - i for i in range(1 + math.ceil(math.log(1 / SIMILARITY) / math.log(STEP))))))
+    stars = keys.withColumn("step", steps).join(leaders, ["key", "step"]).where("node <> leader").where(near("n", "ln"))
+    stars = store.write(stars.groupBy(F.col("node").alias("b"), F.col("leader").alias("a")).agg(F.count("*").alias("shared")), "stars")
 
     used = keys.select("node").distinct().join(nodes.select("node", "d", "th"), "node")
 
     def words(batches):
         for b in batches:
             own = b[b.th == b.rth]
-            yield pd.DataFrame({"node": own.node, "w": [fingerprints(t).tobytes() for t in own.text]})
+            yield pd.DataFrame({"node": own.node, "w": [fingerprints(t).astype("<u4").tobytes() for t in own.text]})
 
     texts = docs.join(used.select("node", "d", F.col("th").alias("rth")), "d").mapInPandas(words, "node long, w binary")
     texts = store.write(texts.dropDuplicates(["node"]), "words")
@@ -257,29 +353,52 @@ def classes(docs: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
         both = pairs.join(texts.select(F.col("node").alias("a"), F.col("w").alias("aw")), "a").join(texts.select(F.col("node").alias("b"), F.col("w").alias("bw")), "b")
         return store.write(both.repartition(F.hash("a", "b")).mapInPandas(verified, "a long, b long"), name)
 
-    first = links(stars, "links")
-    roots = components(first, store, "star")
-    # what is left: nodes of different components that share two sketches
-    placed = keys.select("key", "size", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = store.write(placed, "placed")
+    def rooted(df: DataFrame, roots: DataFrame, node: str, root: str) -> DataFrame:
+        return df.join(roots.select(F.col("node").alias(node), F.col("root").alias(root)), node, "left").withColumn(root, F.coalesce(root, node))
+
+    def merged(roots: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+        """The components after these links too."""
+        over = rooted(rooted(pairs, roots, "a", "ra"), roots, "b", "rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        new = components(over, store, name)
+        nodes_ = roots.unionByName(new.select("node", F.col("node").alias("root")).join(roots, "node", "left_anti"))
+        return store.write(rooted(nodes_.withColumnRenamed("root", "r"), new, "r", "root").select("node", "root"), f"{name}-roots")
+
+    # one star for each node, then the others that would join components, then what several sketches suggest
+    tried = store.write(stars.groupBy("b").agg(F.min(F.struct(-F.col("shared"), "a")).alias("best")).select("b", F.col("best.a").alias("a")), "tried")
+    roots = components(links(tried, "links1"), store, "first")
+    more = rooted(rooted(stars, roots, "a", "ra"), roots, "b", "rb").where("ra <> rb").select("a", "b").join(tried, ["a", "b"], "left_anti")
+    roots = merged(roots, links(more, "links2"), "second")
+    placed = store.write(rooted(keys.select("key", "size", "node", "n"), roots, "node", "root"), "placed")
     open_ = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     left = store.write(placed.join(open_, "key"), "open")
     store.drop("placed")
 
-    def paired(rows: DataFrame, *on: str) -> DataFrame:
-        a = rows.select(*on, F.col("node").alias("a"), F.col("n").alias("an"), F.col("root").alias("ar"))
-        b = rows.select(*on, F.col("node").alias("b"), F.col("n").alias("bn"), F.col("root").alias("br"))
-        return a.join(b, list(on)).where("a < b and ar <> br").where(near("an", "bn")).select("a", "b")
-
-    small = paired(left.where(F.col("size") <= LARGE), "key").groupBy("a", "b").count().where("count > 1").select("a", "b")
-    large = left.where(F.col("size") > LARGE).join(nodes.select("node", "sketch"), "node").withColumn("second", F.explode("sketch")).where("second <> key")
-    shared = large.groupBy("key", "second").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", "second")
-    more = paired(large.join(shared, ["key", "second"]), "key", "second")
-    rest = small.unionByName(more).distinct().join(stars, ["a", "b"], "left_anti")
-    second = links(rest, "more")
-    store.drop("open", "keys", "stars")
-    roots = components(first.unionByName(second), store, "all")
-    store.drop("words", "links", "more")
+    def paired(rows: DataFrame, on: str, *more: str, that: F.Column | None = None) -> DataFrame:
+        """Pairs of different components that meet on a key; that: a condition on columns of both, with a or b before their names."""
+        named = lambda s: rows.select(on, F.col("node").alias(s), *(F.col(c).alias(s + c) for c in ("n", "root", *more)))
+        pairs = named("a").join(named("b"), on).where("a < b and aroot <> broot").where(near("an", "bn"))
+        return (pairs if that is None else pairs.where(that)).select("a", "b")
+
+    def cut(batches):
+        for b in batches:
+            for node, w, n, root in zip(b.node, b.w, b.n, b.root):
+                h = labelled_shingles(shingles(np.frombuffer(w, "<u4").astype(np.uint64)))
+                yield pd.DataFrame({"h": h.view(np.int64), "node": node, "n": n, "root": root, "size": len(h)})
+
+    # the rarest shingles of two documents of SIMILARITY or more meet, whatever frequent passages they share
+    rows = left.select("node", "n", "root").distinct().join(texts, "node").mapInPandas(cut, "h long, node long, n int, root long, size int")
+    rows = store.write(rows, "shingles")
+    frequent = rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    own = Window.partitionBy("node")
+    # shingles that no other has come first, and only the others can be common
+    shared = F.count("*").over(own)
+    rank = F.row_number().over(own.orderBy("df", "h")) + F.col("size") - shared
+    enough = F.least("ashared", "bshared") >= SIMILARITY / (1 + SIMILARITY) * (F.col("asize") + F.col("bsize")) - 1e-6
+    rarest = rows.join(frequent, "h").withColumn("shared", shared).withColumn("rank", rank).where(F.col("rank") <= F.col("size") - F.ceil(SIMILARITY * F.col("size") - 1e-9) + 1)
+    rest = paired(rarest, "h", "size", "shared", that=enough).unionByName(paired(left.where(F.col("size") <= SMALL), "key"))
+    rest = rest.distinct().join(stars, ["a", "b"], "left_anti")
+    roots = merged(roots, links(rest, "links3"), "third")
+    store.drop("open", "keys", "stars", "tried", "words", "links1", "links2", "links3")
     store.forget_shuffles()
     return found, roots
 
