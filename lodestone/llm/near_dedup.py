@@ -13,11 +13,13 @@ J share a given sketch with probability about J ** 3: of J 0.6 all but 1 in
 
 Copies (equal word sequences) count as one node. Every node is first aligned
 with one leader (a bucket's shortest of about its length, of which most buckets
-agree); then with those of its leaders that are in other components. What that leaves apart is paired in small
-buckets, and, of all sizes, wherever the rarest shingles meet: two sets of
-similarity 0.8 share one of their rarest fifth (and one more), so no such pair
-is lost, and a frequent passage makes none. No pair within a component is
-made, no bucket is cut off. Components are found by alternating stars.
+agree); then with those of its leaders that are in other components. What that leaves apart is paired, in buckets
+of all sizes, wherever the rarest shingles meet: two sets of similarity 0.8
+share one of their rarest fifth (and one more), and as an edit changes two word
+pairs at most, texts of edit similarity 0.9 share one of the rarest fifth of
+their word pairs (and one more). So no such pair is lost, and a frequent
+passage makes none. No pair within a component is made, no bucket is cut off.
+Components are found by alternating stars.
 """
 
 from __future__ import annotations
@@ -35,8 +37,8 @@ from pyspark.sql import functions as F
 from .common import NULL_ID, REMEMBERED, Store, keyed, remember_only, tune
 
 WORDS, SKETCHES, TAKEN, SIMILARITY, EDIT = 5, 32, 3, 0.8, 0.9
-#: Buckets of so many nodes are paired as they are.
-SMALL = 8
+#: Shingles of so many words are counted for edit links.
+SHORT = 2
 #: Word counts of one step of length differ by this factor at most.
 STEP = 1.12
 SEEDS = np.random.Generator(np.random.PCG64(11)).integers(1, 2**63, (SKETCHES, 2), np.uint64) | np.uint64(1)
@@ -379,23 +381,38 @@ def classes(docs: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
         pairs = named("a").join(named("b"), on).where("a < b and aroot <> broot").where(near("an", "bn"))
         return (pairs if that is None else pairs.where(that)).select("a", "b")
 
-    def cut(batches):
-        for b in batches:
-            for node, w, n, root in zip(b.node, b.w, b.n, b.root):
-                h = labelled_shingles(shingles(np.frombuffer(w, "<u4").astype(np.uint64)))
-                yield pd.DataFrame({"h": h.view(np.int64), "node": node, "n": n, "root": root, "size": len(h)})
+    source = store.write(left.select("node", "n", "root").distinct().join(texts, "node"), "apart")
+
+    def rarest(name: str, k: int, least: F.Column) -> DataFrame:
+        """The rarest shingles of k words of each node, so many that any two nodes with `least` or more in common share one of them."""
+
+        def cut(batches):
+            for b in batches:
+                for node, w, n, root in zip(b.node, b.w, b.n, b.root):
+                    h = labelled_shingles(shingles(np.frombuffer(w, "<u4").astype(np.uint64), k))
+                    yield pd.DataFrame({"h": h.view(np.int64), "node": node, "n": n, "root": root, "size": len(h)})
+
+        rows = store.write(source.mapInPandas(cut, "h long, node long, n int, root long, size int"), name)
+        frequent = rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+        own = Window.partitionBy("node")
+        # shingles that no other has come first, and only the others can be common
+        shared = F.count("*").over(own)
+        rank = F.row_number().over(own.orderBy("df", "h")) + F.col("size") - shared
+        found = rows.join(frequent, "h").withColumn("shared", shared).withColumn("rank", rank).where(F.col("rank") <= F.col("size") - least + 1).where(F.col("shared") >= least)
+        found = store.write(found.select("h", "node", "n", "root", "size", "shared"), f"{name}-rarest")
+        apart = found.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
+        return found.join(apart, "h", "left_semi")
 
     # the rarest shingles of two documents of SIMILARITY or more meet, whatever frequent passages they share
-    rows = left.select("node", "n", "root").distinct().join(texts, "node").mapInPandas(cut, "h long, node long, n int, root long, size int")
-    rows = store.write(rows, "shingles")
-    frequent = rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    own = Window.partitionBy("node")
-    # shingles that no other has come first, and only the others can be common
-    shared = F.count("*").over(own)
-    rank = F.row_number().over(own.orderBy("df", "h")) + F.col("size") - shared
     enough = F.least("ashared", "bshared") >= SIMILARITY / (1 + SIMILARITY) * (F.col("asize") + F.col("bsize")) - 1e-6
-    rarest = rows.join(frequent, "h").withColumn("shared", shared).withColumn("rank", rank).where(F.col("rank") <= F.col("size") - F.ceil(SIMILARITY * F.col("size") - 1e-9) + 1)
-    rest = paired(rarest, "h", "size", "shared", that=enough).unionByName(paired(left.where(F.col("size") <= SMALL), "key"))
+    alike = paired(rarest("shingles", WORDS, F.ceil(SIMILARITY * F.col("size") - 1e-9)), "h", "size", "shared", that=enough)
+    # and so do the rarest word pairs of two documents that EDIT links, as each edit changes SHORT of the longer one's at most
+    longer = F.greatest("an", "bn")
+    enough = F.least("ashared", "bshared") >= longer - SHORT + 1 - SHORT * F.floor((1 - EDIT) * longer + 1e-9)
+    enough &= F.abs(F.col("an") - F.col("bn")) <= (1 - EDIT) * longer + 1e-9
+    kept = F.ceil((1 - SHORT * (1 - EDIT)) * F.col("n") - SHORT + 1 - 1e-6)
+    edited = paired(rarest("short", SHORT, kept).where(F.col("n") >= 9), "h", "shared", that=enough)
+    rest = alike.unionByName(edited)
     rest = rest.distinct().join(stars, ["a", "b"], "left_anti")
     roots = merged(roots, links(rest, "links3"), "third")
     store.drop("open", "keys", "stars", "tried", "words", "links1", "links2", "links3")

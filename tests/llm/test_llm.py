@@ -219,6 +219,20 @@ def test_near_duplicates(spark, docs, texts, odd):
     assert near_dedup.near_duplicates(odd.limit(0)).count() == 0 and near_dedup.one_of_each(odd.limit(0)).count() == 0
 
 
+def test_edited_copies_in_large_buckets(spark):
+    """Variants of one base link to it alone (edit similarity 0.94, to each other 0.88), and it leads no bucket: it is the longest."""
+    r = random.Random(11)
+    base = [f"v{r.randrange(4000)}" for _ in range(100)]
+    rows = {0: " ".join([*base, "last"])}
+    for i in range(1, 241):
+        w = base[:]
+        for p in r.sample(range(100), 6):
+            w[p] = f"e{r.randrange(10**9)}"
+        rows[i] = " ".join(w)
+    got = {x.doc_id: x.class_id for x in near_dedup.near_duplicates(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows)
+
+
 def test_secret_patterns(spark, odd):
     key = "AKIA" + "Z9" * 8
     text = f'é Password: "abcd1234" token=short secret = {"0af9" * 10} {key} {"deadbeef" * 4}g API_KEY=x.y/z+w=1'
