@@ -12,7 +12,8 @@ the highest one, draws its segmentation, and splits what is left of it, each
 part's noise truncated at the value just found. The value of the best region
 left over is the threshold for inclusion scores.
 
-Pieces never cross a space, so a text's lattice is a chain of words' lattices:
+Pieces never go from a character into a space after it (those of several spaces
+stand within a run of spaces, which goes with the word after it), so a text's lattice is a chain of words' lattices:
 forward sums are made once for each different word of a batch, and all words
 of all texts of a batch are drawn at once.
 """
@@ -33,7 +34,8 @@ from .common import keyed, tune
 SPACE = "▁"
 #: Characters of the longest piece, and of words whose lattices are kept in one array.
 LONGEST = 16
-split_words = re.compile(f"{SPACE}[^{SPACE}]*").findall
+#: Spaces and the word after them: no piece goes over the end of one.
+split_words = re.compile(f"{SPACE}+[^{SPACE}]*").findall
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 TABLE = 20
 #: Characters of the texts whose words are drawn together, about.
@@ -74,7 +76,7 @@ class Lattices:
             if m.is_byte(i):
                 self.bytes[int(p[3:5], 16)] = i
             self.text.append(bytes([int(p[3:5], 16)]) if m.is_byte(i) else p.replace(SPACE, " ").encode() if plain else b"")
-            if plain and SPACE not in p[1:] and len(p) <= LONGEST:
+            if plain and SPACE not in p.lstrip(SPACE) and len(p) <= LONGEST:
                 pieces.append(p)
                 ids.append(i)
                 weights.append(-np.log(-s + 2))

@@ -373,6 +373,36 @@ def test_segmentations_follow_the_distribution():
         assert pairs.get((a, b), 0) / n == pytest.approx(p[a] * p[b] / (1 - p[a]), abs=0.02)
 
 
+@pytest.mark.parametrize("text", ["a   b", "   a", "a  \n   b", "a    "])
+def test_segmentations_over_runs_of_spaces(text):
+    """All segmentations of a text by enumeration, those with pieces of several spaces among them."""
+    lattices = segmentations.Lattices.of(PIECE)
+    m, w, p = lattices.model, "▁" + text.replace(" ", "▁"), {}
+
+    def walk(i, ids, total):
+        if i == len(w):
+            p[tuple(ids)] = math.exp(total)
+        for j in range(i + 1, len(w) + 1):
+            piece = m.piece_to_id(w[i:j])
+            if piece != m.unk_id():
+                walk(j, [*ids, piece], total - math.log(2 - m.get_score(piece)))
+            elif j == i + 1:
+                raw = w[i:j].encode()
+                walk(j, [*ids, *(m.piece_to_id(f"<0x{b:02X}>") for b in raw)], total - len(raw) * math.log(m.get_piece_size()))
+
+    walk(0, [], 0.0)
+    p = {k: v / sum(p.values()) for k, v in p.items()}
+    own, n = tuple(m.encode(text)), 2000
+    first = {}
+    for _, rank, ids, total, _, _ in segmentations.segmentations(lattices, [text] * n, list(range(n)), 2):
+        found = tuple(np.frombuffer(ids, "<u4").tolist())
+        assert math.exp(total) == pytest.approx(p[found], rel=1e-6)
+        if rank == 1:
+            first[found] = first.get(found, 0) + 1
+    top = max(p, key=p.get)
+    assert own in p and first[top] / n == pytest.approx(p[top], abs=0.05)
+
+
 def labelled(spark, n=900):
     r = random.Random(3)
     rows, labels = [], []
