@@ -46,11 +46,11 @@ def next_level(df: DataFrame, level: DataFrame, k: int, support: int) -> DataFra
     return found.select(F.array(*(f"i{n}" for n in range(1, k + 1))).alias("items"), "freq")
 
 
-def apriori(df: DataFrame, support: int, most: int = 4) -> DataFrame:
-    """(items, freq): all itemsets of up to `most` items in at least so many baskets, exactly."""
+def apriori(df: DataFrame, support: int, most: int | None = None) -> DataFrame:
+    """(items, freq): all itemsets (of up to `most` items) in at least so many baskets, exactly; level by level until one is empty."""
     levels = [checkpoint(frequent_items(df, support))]
-    for k in range(2, most + 1):
-        level = checkpoint(next_level(df, levels[-1], k, support))
+    while most is None or len(levels) < most:
+        level = checkpoint(next_level(df, levels[-1], len(levels) + 1, support))
         if level.isEmpty():
             break
         levels.append(level)

@@ -201,7 +201,7 @@ def frequent_triples(spark, sf):
 
 @query
 def frequent_itemsets_fpgrowth(spark, sf):
-    return flat(itemsets.fp_growth(readers.brand_baskets(spark, sf), 20, 3))
+    return flat(itemsets.fp_growth(readers.brand_baskets(spark, sf), 20))
 
 
 @query

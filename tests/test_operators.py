@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import scalar
 from lodestone.operators import clustering, graph, itemsets, models, recommend, relational, similarity
+from lodestone.plans import catalogue
 from lodestone.sources import readers, sinks
 from lodestone.streaming import sketches
 
@@ -50,6 +51,14 @@ def test_itemsets_at_the_support(spark):
     assert report == ["Frequent Itemsets:", "('a'),('b'),('c')", "", "('a', 'b'),('a', 'c'),('b', 'c')", "", "('a', 'b', 'c')", ""]
 
 
+def test_registered_itemsets_of_all_sizes(spark, monkeypatch):
+    df = spark.createDataFrame([(b, i) for b in range(20) for i in "vwxyz"] + [(20, "a")], "basket long, item string")
+    monkeypatch.setattr(catalogue.readers, "brand_baskets", lambda *_: df)
+    want = {(",".join(c), 20) for k in range(1, 6) for c in itertools.combinations("vwxyz", k)}
+    assert {(r["items"], r.freq) for r in catalogue.QUERIES["frequent_itemsets_fpgrowth"](spark, "").collect()} == want
+    assert {(",".join(r["items"]), r.freq) for r in itemsets.apriori(df, 20).collect()} == want
+
+
 def test_lsh_is_within_exact(spark):
     r = random.Random(1)
     df = spark.createDataFrame([(i, u) for i in range(30) for u in r.sample(range(40), 10 + i % 5)], "item long, user long")
