@@ -496,7 +496,7 @@ def modularity(spark, sf):
 
 @query
 def girvan_newman(spark, sf):
-    found, _ = graph.girvan_newman(shared_days(spark, sf), patience=1)
+    found, _ = graph.girvan_newman(shared_days(spark, sf))
     return found
 
 

@@ -119,6 +119,41 @@ def brute_betweenness(pairs):
     return total
 
 
+def brute_girvan_newman(pairs):
+    """The partition of the best modularity on the way to no edges, as sorted tuples of members."""
+    def parts(now):
+        left, out = {v for e in pairs for v in e}, []
+        while left:
+            own, new = set(), {min(left)}
+            while new:
+                own |= new
+                new = {b for e in now for a, b in (e, e[::-1]) if a in own} - own
+            out.append(tuple(sorted(own)))
+            left -= own
+        return sorted(out)
+
+    m, now, best = len(pairs), list(pairs), None
+    while True:
+        found = parts(now)
+        q = sum(sum(a in c and b in c for a, b in pairs) / m - (sum((a in c) + (b in c) for a, b in pairs) / (2 * m)) ** 2 for c in found)
+        if best is None or q > best[0] + 1e-12:
+            best = (q, found)
+        if not now:
+            return best[1]
+        score = {k: round(v, 9) for k, v in brute_betweenness(now).items()}
+        now = [e for e in now if score[e] < max(score.values())]
+
+
+def test_registered_girvan_newman(spark, monkeypatch):
+    pairs = [(1, 2), (1, 3), (2, 3), (4, 5), (4, 6), (5, 6), (3, 4), (2, 5), (3, 7)]
+    monkeypatch.setattr(catalogue, "shared_days", lambda *_: edges(spark, pairs))
+    got = {}
+    for r in catalogue.QUERIES["girvan_newman"](spark, "").collect():
+        got.setdefault(r.component, []).append(r.id)
+    want = brute_girvan_newman(pairs)
+    assert len(want) > 1 and sorted(tuple(sorted(v)) for v in got.values()) == want
+
+
 def test_betweenness_on_a_deep_graph(spark):
     r = random.Random(3)
     pairs = sorted({(i, i + 1) for i in range(11)} | {tuple(sorted(r.sample(range(12), 2))) for _ in range(5)})
