@@ -254,6 +254,12 @@ def lsh_verified(spark, sf):
     return similarity.jaccard(rows, 0.1, pairs).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
+@query
+def similar_items(spark, sf):
+    """60 hashes, 30 bands of 2 rows, pairs of Jaccard 0.5 or more."""
+    return similarity.similar_items(buyers(spark, sf)).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
 # Recommenders
 
 

@@ -67,6 +67,18 @@ def test_lsh_is_within_exact(spark):
     assert found <= exact and len(found) > 0.9 * len(exact)
 
 
+def test_registered_similar_items_miss_few(spark, monkeypatch):
+    r = random.Random(2)
+    rows = []
+    for i in range(60):
+        common = r.sample(range(1000 * i, 1000 * i + 1000), 20)
+        rows += [(2 * i, u) for u in common] + [(2 * i + 1, u) for u in [*common[:14], *range(10**6 + 10 * i, 10**6 + 10 * i + 6)]]
+    monkeypatch.setattr(catalogue, "buyers", lambda *_: spark.createDataFrame(rows, "item long, user long"))
+    found = {(x.a, x.b) for x in catalogue.QUERIES["similar_items"](spark, "").collect()}
+    exact = {(x.a, x.b) for x in similarity.jaccard(catalogue.buyers(), 0.5).collect()}
+    assert len(exact) == 60 and found <= exact and len(found) >= 0.99 * len(exact)
+
+
 def test_prediction_ladder(spark):
     rows = [(1, 1, 5.0), (2, 1, 1.0), (3, 1, 3.0), (1, 2, 5.0), (2, 2, 1.0), (3, 2, 3.0), (4, 1, 4.0), (5, 3, 2.0)]
     ratings = spark.createDataFrame(rows, "user_id long, item_id long, stars double")
