@@ -2,24 +2,27 @@
 
 A byte goes if a string of `length` bytes that covers it also starts earlier
 (smaller doc_id, or the same document further left). Positions carry ranks:
-fingerprints of the text that starts there, so that equal ranks mean equal
-prefixes. Up to 32 bytes a rank doubles inside its document, from those of its
-two halves. From there on Spark sorts and groups (rank, position) pairs:
-
-1. Of each window of `length` bytes only the start of its least-ranked 32-byte
-   string enters (its anchor; the leftmost of ties). Equal windows have their
-   anchor at the same place, and neighbouring windows share it, so about one
-   position in 35 stands for all of them. Anchors of a unique rank go.
-2. The rest are reranked by all bytes that their windows cover (100 to 168).
-   Of those with equal rank all but the first are repeats as a whole.
-3. Where a 32-byte rank has several such classes, the first of each class is
-   compared window by window, again by rank pairs: (64 bytes, 64 bytes from 36
-   on), which is past the threshold and ends the doubling.
+equal ranks mean equal prefixes. Spark sorts (rank, position) pairs round by
+round, for prefixes of growing length; a position whose rank no other has is
+unique and leaves, the others are reranked by the rank at a further offset:
+
+1. 32 bytes. No document needs another one for these, so the first five
+   doublings run in place. Of each window of `length` bytes only the start of
+   its least-ranked 32-byte string is sampled (its anchor; the leftmost of
+   ties). Equal windows have their anchor at the same place and neighbouring
+   windows share it, so about one position in 35 stands for all of them.
+2. The anchors left are reranked by all bytes that their windows cover. All
+   but the first of a rank repeat as a whole, and the first stands for them.
+3. The windows of the anchors left are positions of their own from here on.
+   64 bytes: the rank is that of the 32 bytes there and the 32 after them.
+4. `length` bytes, past the threshold, which ends the doubling: the rank is the
+   pair of the 64 bytes there and the last 64. Of those with equal rank, all but
+   the first are repeats.
 
 Ranks are 64-bit fingerprints and two of them decide, 128 bits in all.
 Nothing of the corpus reaches the driver; texts are read three times and no
-stage holds more than a document, a batch of anchors, or the classes of one
-32-byte string.
+task holds more than a batch of texts. A rank that very many positions have is
+counted in partial sums, and its positions are split over tasks by the joins.
 """
 
 from __future__ import annotations
@@ -29,9 +32,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.relational import numbered
+
 from .common import NULL_ID, Store, keyed, remember_only, tune
 
 #: The sampled strings' bytes.
@@ -40,9 +45,8 @@ GRAM = 32
 CHUNK, PLACE = 1 << 19, 21
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 BYTES = np.random.Generator(np.random.PCG64(7)).integers(0, 2**64, 256, np.uint64)
-WINDOWS, TEXT = 7, 51
-#: Classes of one 32-byte string that a task resolves in memory; larger groups are resolved by rows.
-GROUP = 20_000
+#: Bits of a place for the windows of a run; what is above them is its first window.
+WINDOWS = 7
 
 
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -103,7 +107,7 @@ def chunks(batches: Iterator[pd.DataFrame], length: int) -> Iterator[tuple[list,
     """(keys, base, data, ends): texts of about CHUNK bytes together; longer ones in parts whose windows follow on."""
     keys, base, own, size = [], [], [], 0
     for b in batches:
-        for d, th, text in zip(b.d, b.th, b.text):
+        for d, o, text in zip(b.d, b.o, b.text):
             data = text.encode("utf-8", "surrogatepass")
             for at in range(0, max(1, len(data) - length + 1), CHUNK):
                 part = data[at : at + CHUNK + length - 1]
@@ -112,7 +116,7 @@ def chunks(batches: Iterator[pd.DataFrame], length: int) -> Iterator[tuple[list,
                 if size and size + len(part) > CHUNK + length:
                     yield keys, np.array(base), np.frombuffer(b"".join(own), np.uint8), np.cumsum([len(x) for x in own])
                     keys, base, own, size = [], [], [], 0
-                keys.append((d, th))
+                keys.append((d, o))
                 base.append(at)
                 own.append(part)
                 size += len(part)
@@ -120,160 +124,151 @@ def chunks(batches: Iterator[pd.DataFrame], length: int) -> Iterator[tuple[list,
         yield keys, np.array(base), np.frombuffer(b"".join(own), np.uint8), np.cumsum([len(x) for x in own])
 
 
-def pack_place(th: np.ndarray, first: np.ndarray, windows: np.ndarray) -> np.ndarray:
-    """One long that orders the rows of a doc_id: by text where ids repeat, then by place."""
-    return (th.astype(np.int64) << TEXT) | (first.astype(np.int64) << WINDOWS) | windows.astype(np.int64)
-
-
 def found(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
+    """The sampled positions with their ranks; place: a run's first window and the number of its windows."""
     remember_only()
     for keys, base, data, ends in chunks(batches, length):
         a = anchors(data, ends, length)
         doc = np.searchsorted(ends, a["first"], side="right")
         start = np.concatenate([[0], ends[:-1]])
-        d, th = np.array([k[0] for k in keys], np.int64), np.array([k[1] for k in keys], np.int64)
-        place = pack_place(th[doc], a["first"] - start[doc] + base[doc], a["windows"])
-        yield pd.DataFrame({"rank": a["rank"].view(np.int64), "cover": a["cover"].view(np.int64), "d": d[doc], "place": place})
+        d, o = np.array([k[0] for k in keys], np.int64), np.array([k[1] for k in keys], np.int64)
+        place = (a["first"] - start[doc] + base[doc]) << WINDOWS | a["windows"]
+        yield pd.DataFrame({"rank": a["rank"].view(np.int64), "cover": a["cover"].view(np.int64), "d": d[doc], "o": o[doc], "place": place})
 
 
-def with_text(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
-    """The bytes that the windows of each pending run cover, their number, and where the anchor is."""
-    for b in batches:
-        out = []
-        for d, th, text, places, own in zip(b.d, b.th, b.text, b.places, b["ranks"]):
-            data = text.encode("utf-8", "surrogatepass")
-            for place, rank in zip(places.tolist(), own.tolist()):
-                if place >> TEXT == th:
-                    first, n = (place & ((1 << TEXT) - 1)) >> WINDOWS, place & ((1 << WINDOWS) - 1)
-                    out.append((rank, d, place, data[first : first + n + length - 1]))
-        yield pd.DataFrame(out, columns=["rank", "d", "place", "data"])
-
-
-def resolve(rows: pd.DataFrame, length: int) -> pd.DataFrame:
-    """Of rows sorted by (rank, d, place): runs of windows that equal an earlier row's window of the same rank."""
-    wide = 2 * length - GRAM
-    rows = rows.drop_duplicates(["rank", "d", "place"])  # a row that repeats an id and a text
-    data = np.zeros((len(rows), wide), np.uint8)
-    place = rows.place.to_numpy()
-    n = place & ((1 << WINDOWS) - 1)
-    for i, x in enumerate(rows.data):
-        data[i, : len(x)] = np.frombuffer(x, np.uint8)
-    r32, r64 = ranks(data)
-    rank = rows["rank"].to_numpy()
-    match = r32.view(np.int64) == rank[:, None]
-    match &= np.arange(r32.shape[1]) < length
-    # the anchor is the least of every window's 32-byte strings, so it lies in all of them: the first one from the last window on
-    match &= np.arange(r32.shape[1]) >= (n - 1)[:, None]
-    anchor = match.argmax(axis=1)
-    a64, b64 = r64, r64[:, length - 64 :]
-    repeat = np.zeros((len(rows), length), bool)
-    for o in range(length - GRAM + 1):
-        own = np.flatnonzero((anchor - o >= 0) & (anchor - o < n))
-        if len(own) < 2:
-            continue
-        at = anchor[own] - o
-        x, y, g = a64[own, at], b64[own, at], rank[own]
-        order = np.lexsort((np.arange(len(own)), y, x, g))
-        x, y, g = x[order], y[order], g[order]
-        same = (x[1:] == x[:-1]) & (y[1:] == y[:-1]) & (g[1:] == g[:-1])
-        hit = order[1:][same]
-        repeat[own[hit], at[hit]] = True
-    edge = np.diff(np.pad(repeat, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-    i, a = np.nonzero(edge == 1)
-    _, z = np.nonzero(edge == -1)
-    th, first = place[i] >> TEXT, (place[i] & ((1 << TEXT) - 1)) >> WINDOWS
-    return pd.DataFrame({"d": rows.d.to_numpy()[i], "place": pack_place(th, first + a, z - a)})
-
-
-def resolved(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
-    """Whole groups of a rank at a time, of what comes in sorted by it."""
-    kept: list[pd.DataFrame] = []
+def windows(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
+    """A row for each window of the pending runs: the ranks of its first and its last 64 bytes, and its place."""
+    remember_only()
+    wide = np.arange(2 * length - GRAM)
+    held: list[tuple] = []
     size = 0
+
+    def ranked() -> pd.DataFrame:
+        data = np.concatenate([h[0] for h in held])
+        d, o, place = (np.concatenate([h[i] for h in held]) for i in (1, 2, 3))
+        _, r64 = ranks(data)
+        i, w = np.nonzero(np.arange(length - GRAM + 1) < (place & ((1 << WINDOWS) - 1))[:, None])
+        return pd.DataFrame({"x": r64[i, w].view(np.int64), "y": r64[i, w + length - 64].view(np.int64), "d": d[i], "o": o[i], "place": (((place[i] >> WINDOWS) + w) << WINDOWS) | 1})
+
     for b in batches:
-        kept.append(b)
-        size += len(b)
-        if size >= 4000 and kept[0]["rank"].iloc[0] != b["rank"].iloc[-1]:
-            rows = pd.concat(kept, ignore_index=True)
-            whole = int((rows["rank"] != b["rank"].iloc[-1]).sum())
-            yield resolve(rows.iloc[:whole], length)
-            kept = [rows.iloc[whole:].reset_index(drop=True)]
-            size = len(kept[0])
-    if size:
-        yield resolve(pd.concat(kept, ignore_index=True), length)
-
-
-def exploded(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
-    """A row for each window: its rank pair and place."""
-    for b in batches:
-        for at in range(0, len(b), 2000):
-            rows = b.iloc[at : at + 2000]
-            data = np.zeros((len(rows), 2 * length - GRAM), np.uint8)
-            for i, x in enumerate(rows.data):
-                data[i, : len(x)] = np.frombuffer(x, np.uint8)
-            _, r64 = ranks(data)
-            place = rows.place.to_numpy()
-            n = place & ((1 << WINDOWS) - 1)
-            i, w = np.nonzero(np.arange(length) < n[:, None])
-            th, first = place[i] >> TEXT, (place[i] & ((1 << TEXT) - 1)) >> WINDOWS
-            yield pd.DataFrame({"x": r64[i, w].view(np.int64), "y": r64[i, w + length - 64].view(np.int64), "d": rows.d.to_numpy()[i], "place": pack_place(th, first + w, np.ones(len(i)))})
+        for d, o, text, places in zip(b.d, b.o, b.text, b.places):
+            data, places = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), np.asarray(places, np.int64)
+            for at in range(0, len(places), 2000):
+                own = places[at : at + 2000]
+                held.append((data[np.minimum((own >> WINDOWS)[:, None] + wide, len(data) - 1)], np.full(len(own), d), np.full(len(own), o), own))
+                size += len(own)
+                if size >= 2000:
+                    yield ranked()
+                    held, size = [], 0
+    if held:
+        yield ranked()
+
+
+#: The order of positions: documents by id, then those that share one, then places.
+ORDER = ("d", "o", "place")
+
+
+def later(first: Column) -> Column:
+    """Whether a position comes after another one."""
+    a, b = [F.col(c) for c in ORDER], [first[c] for c in ORDER]
+    return (a[0] > b[0]) | (a[0] == b[0]) & ((a[1] > b[1]) | (a[1] == b[1]) & (a[2] > b[2]))
+
+
+def shared_ranks(rows: DataFrame, store: Store, name: str, *rank: str) -> DataFrame:
+    """The ranks that more than one position has."""
+    out = store.write(rows.groupBy(*rank).agg(F.count("*").alias("n")).where("n > 1").select(*rank), name)
+    store.forget_shuffles()
+    return out
+
+
+def firsts(rows: DataFrame, store: Store, name: str, *rank: str) -> DataFrame:
+    """The first position of each rank."""
+    out = rows.groupBy(*rank).agg(F.min(F.struct(*ORDER)).alias("first"))
+    out = store.write(out.select(*rank, *(F.col("first")[c].alias(f"f{c}") for c in ORDER)), name)
+    store.forget_shuffles()
+    return out
 
 
 def repeats(docs: DataFrame, store: Store, *, length: int = 100) -> DataFrame:
-    """(d, places): for each document with repeats, its runs of windows that also start earlier."""
-    anchored = store.write(docs.mapInPandas(lambda it: found(it, length), "rank long, cover long, d long, place long"), "anchors")
-    groups = anchored.groupBy("rank").agg(F.count("*").alias("n"), (F.min("cover") != F.max("cover")).alias("multi"))
-    shared = store.write(groups.where("n > 1").select("rank", "multi"), "shared")
+    """(d, o, places): for each document with repeats, its runs of windows that also start earlier."""
+    is_later = later({c: F.col(f"f{c}") for c in ORDER})
+    kind = "d long, o long, place long"
+    # 32 bytes: the anchors
+    positions = store.write(docs.mapInPandas(lambda it: found(it, length), f"rank long, cover long, {kind}"), "anchors")
+    positions = store.write(positions.join(shared_ranks(positions, store, "ranks32", "rank"), "rank"), "left32")
+    store.drop("anchors", "ranks32")
     store.forget_shuffles()
-    rows = store.write(anchored.join(shared, "rank"), "rows")
-    store.drop("anchors", "shared")
+    # what their windows cover: copies fall to their first
+    classes = firsts(positions, store, "classes", "rank", "cover")
+    whole = store.write(positions.join(classes, ["rank", "cover"]).where(is_later).select(*ORDER), "whole")
+    store.drop("left32")
     store.forget_shuffles()
-    classes = rows.groupBy("rank", "cover").agg(F.min(F.struct("d", "place")).alias("first"), F.first("multi").alias("multi"))
-    classes = store.write(classes.select("rank", "cover", "multi", F.col("first.d").alias("fd"), F.col("first.place").alias("fp")), "classes")
-    whole = rows.drop("multi").join(classes.drop("multi"), ["rank", "cover"]).where("d > fd or (d = fd and place > fp)").select("d", "place")
-    whole = store.write(whole, "whole")
-    store.drop("rows")
+    several = shared_ranks(classes, store, "several", "rank")
+    pending = classes.join(several, "rank").groupBy(F.col("fd").alias("d"), F.col("fo").alias("o")).agg(F.collect_list("fplace").alias("places"))
+    positions = docs.join(pending, ["d", "o"]).mapInPandas(lambda it: windows(it, length), f"x long, y long, {kind}")
+    positions = store.write(positions, "windows")
+    store.drop("classes", "several")
     store.forget_shuffles()
-
-    pending = classes.where("multi").groupBy(F.col("fd").alias("d")).agg(F.collect_list(F.struct("fp", "rank")).alias("runs"))
-    pending = pending.select("d", F.col("runs.fp").alias("places"), F.col("runs.rank").alias("ranks"))
-    kind = "rank long, d long, place long, data binary"
-    runs = store.write(docs.join(pending, "d").mapInPandas(lambda it: with_text(it, length), kind), "pending")
-    store.drop("classes")
+    # 64 bytes
+    positions = store.write(positions.join(shared_ranks(positions, store, "ranks64", "x"), "x"), "left64")
+    store.drop("windows", "ranks64")
     store.forget_shuffles()
-    large = store.write(runs.groupBy("rank").count().where(F.col("count") > GROUP).select("rank"), "large")
-    few = runs.join(large, "rank", "left_anti").repartition("rank").sortWithinPartitions("rank", "d", "place")
-    parts = few.mapInPandas(lambda it: resolved(it, length), "d long, place long")
-    window = runs.join(large, "rank", "left_semi").mapInPandas(lambda it: exploded(it, length), "x long, y long, d long, place long")
-    first = window.groupBy("x", "y").agg(F.min(F.struct("d", "place")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = window.join(first, ["x", "y"]).where("d > first.d or (d = first.d and place > first.place)").select("d", "place")
-    parts = store.write(parts.unionByName(later), "parts")
-    store.drop("pending", "large")
+    # past the threshold
+    repeated = positions.groupBy("x", "y").agg(F.min(F.struct(*ORDER)).alias("first"), F.count("*").alias("n")).where("n > 1")
+    repeated = store.write(repeated.select("x", "y", *(F.col("first")[c].alias(f"f{c}") for c in ORDER)), "ranks100")
     store.forget_shuffles()
-    return whole.unionByName(parts).groupBy("d").agg(F.collect_list("place").alias("places"))
+    parts = store.write(positions.join(repeated, ["x", "y"]).where(is_later).select(*ORDER), "parts")
+    store.drop("left64", "ranks100")
+    store.forget_shuffles()
+    return whole.unionByName(parts).groupBy("d", "o").agg(F.collect_list("place").alias("places"))
 
 
-def spans(places: np.ndarray, th: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+def spans(places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Maximal removed runs (starts, ends) of one text, in bytes."""
-    places = np.sort(places[places >> TEXT == th])
-    first = (places & ((1 << TEXT) - 1)) >> WINDOWS
-    end = np.maximum.accumulate(first + (places & ((1 << WINDOWS) - 1)) - 1 + length) if len(first) else first
+    places = np.sort(places)
+    first = places >> WINDOWS
+    if not len(first):
+        return first, first
+    end = np.maximum.accumulate(first + (places & ((1 << WINDOWS) - 1)) - 1 + length)
     new = np.ones(len(first), bool)
     new[1:] = first[1:] > end[:-1]
-    return first[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(first) - 1)] if len(first) else first
+    return first[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(first) - 1)]
+
+
+def text_key(text: Column) -> list[Column]:
+    """What tells the texts of one id apart: a 64-bit hash and the length."""
+    return [F.xxhash64(text).alias("h"), F.length(text).alias("l")]
+
+
+def with_order(rows: DataFrame, text: Column) -> DataFrame:
+    """The rows, which have an id d, with o: 0 where an id has a single text, else the text's number among all such texts.
+
+    Texts that share an id are numbered by ranges of (d, h, l), so an id that
+    very many rows have (a missing one, say) is spread over tasks.
+    """
+    key = {"h": F.xxhash64(text), "l": F.length(text)}
+    keys = rows.select("d", *(c.alias(k) for k, c in key.items()))
+    shared = keys.groupBy("d").agg(F.min(F.struct("h", "l")).alias("a"), F.max(F.struct("h", "l")).alias("z")).where("a <> z").select("d")
+    several = keys.join(shared, "d").distinct().withColumn("k", F.struct("d", "h", "l"))
+    numbers = numbered(several, "k", "o").select("d", "h", "l", (F.col("o") + 1).alias("o"))
+    if numbers.isEmpty():
+        return rows.withColumn("o", F.lit(0).cast("long"))
+    out = rows.withColumns(key).join(numbers, ["d", "h", "l"], "left")
+    return out.withColumn("o", F.coalesce("o", F.lit(0).cast("long"))).drop("h", "l")
 
 
 def prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rows = keyed(docs, id_col, text_col)
-    return rows.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("d"), F.hash("text").bitwiseAND(F.lit(4095)).alias("th"), "text")
+    rows = keyed(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("d"), "text")
+    return with_order(rows, F.col("text")).select("d", "o", "text")
 
 
 def digest(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row.
 
-    A null text is empty. Rows without an id come before all others. Of rows
-    that repeat an id and a text neither is earlier than the other, and both
-    get the same result; texts that share an id are ordered by hash. Texts
-    under `length` bytes lose nothing; no rows give no rows.
+    A null text is empty. Rows without an id come before all others. Rows that
+    repeat an id and a text are one document, and get the same result; different
+    texts that share an id are documents of their own, in the order of their
+    hashes. Texts under `length` bytes lose nothing; no rows give no rows.
     """
     tune(docs.sparkSession)
     rows = prepared(docs, id_col, text_col)
@@ -282,44 +277,43 @@ def digest(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id", text_c
     def kept(batches):
         for b in batches:
             out = []
-            for d, th, text, places in zip(b.d, b.th, b.text, b.places):
+            for d, text, places in zip(b.d, b.text, b.places):
                 data = text.encode("utf-8", "surrogatepass")
-                a, z = spans(np.asarray([] if places is None else places, np.int64), th, length)
+                a, z = spans(np.asarray([] if places is None else places, np.int64), length)
                 rest = b"".join(data[x:y] for x, y in zip([0, *z], [*a, len(data)]))
                 out.append((None if d == NULL_ID else d, len(data), len(data) - len(rest), len(a), hashlib.sha256(rest).hexdigest()))
             out = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
             yield out.assign(doc_id=out.doc_id.astype("Int64"))
 
-    return rows.join(found_, "d", "left").mapInPandas(kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    joined = rows.join(found_, ["d", "o"], "left").select("d", "text", "places")
+    return joined.mapInPandas(kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without the repeats, with all their columns; those of which nothing is left go.
 
     Characters of which a part is cut go as a whole. Texts without repeats,
-    null ones too, stay as they are.
+    null ones too, stay as they are. Missing and repeated ids are as in `digest`.
     """
     tune(docs.sparkSession)
-    rows = prepared(docs, id_col, text_col)
-    found_ = repeats(rows, Store(docs.sparkSession, "suffix"), length=length)
+    found_ = repeats(prepared(docs, id_col, text_col), Store(docs.sparkSession, "suffix"), length=length)
 
     @F.pandas_udf("string")
-    def cut(text: pd.Series, th: pd.Series, places: pd.Series) -> pd.Series:
+    def cut(text: pd.Series, places: pd.Series) -> pd.Series:
         out = []
-        for t, h, p in zip(text, th, places):
+        for t, p in zip(text, places):
             if t is not None and p is not None:
                 data = t.encode("utf-8", "surrogatepass")
-                a, z = spans(np.asarray(p, np.int64), h, length)
+                a, z = spans(np.asarray(p, np.int64), length)
                 t = "".join(data[x:y].decode("utf-8", "ignore") for x, y in zip([0, *z], [*a, len(data)]))
             out.append(t)
         return pd.Series(out, dtype=object)
 
-    key, places = "__lodestone_d", "__lodestone_places"
-    joined = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))).join(found_.select(F.col("d").alias(key), F.col("places").alias(places)), key, "left")
-    text = F.col(text_col)
-    new = F.when(F.col(places).isNull(), text).otherwise(cut(text, F.hash(F.coalesce(text.cast("string"), F.lit(""))).bitwiseAND(F.lit(4095)), F.col(places)))
-    out = joined.withColumn("__lodestone_new", new).where(F.col(places).isNull() | (F.length("__lodestone_new") > 0))
-    out = out.withColumn(text_col, F.col("__lodestone_new"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("d"), F.struct(*docs.columns).alias("row"))
+    text, was = F.col("row")[text_col].cast("string"), F.col("places").isNull()
+    joined = with_order(rows, F.coalesce(text, F.lit(""))).join(found_, ["d", "o"], "left")
+    joined = joined.withColumn("new", F.when(was, text).otherwise(cut(text, F.col("places")))).where(was | (F.length("new") > 0))
+    out = {c: F.col("row")[c].alias(c) for c in docs.columns} | {text_col: F.col("new").alias(text_col)}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col(places).isNull(), F.col("n_chars")).otherwise(F.length(text_col).cast("long")))
-    return out.select(*docs.columns)
+        out["n_chars"] = F.when(was, F.col("row")["n_chars"]).otherwise(F.length("new").cast("long")).alias("n_chars")
+    return joined.select(*out.values())

@@ -138,9 +138,7 @@ def brute_removal(rows, length=100):
     return out
 
 
-@pytest.mark.parametrize("group", [suffix_dedup.GROUP, 2])
-def test_suffix_dedup(spark, docs, texts, odd, monkeypatch, group):
-    monkeypatch.setattr(suffix_dedup, "GROUP", group)
+def test_suffix_dedup(spark, docs, texts, odd):
     r = random.Random(5)
     passage = "".join(r.choice("abcdé ") for _ in range(180))
     planted = {i: "".join(r.choice("abc é") for _ in range(r.randint(0, 300))) + passage[r.randint(0, 60) :] + "z" * r.randint(0, 250) for i in range(60)}
@@ -152,6 +150,30 @@ def test_suffix_dedup(spark, docs, texts, odd, monkeypatch, group):
     assert kept.columns == odd.columns and kept.where("doc_id = 1").first().text == "plain words stand here in a row"
 
 
+@pytest.mark.parametrize("id_", [None, 7])
+def test_suffix_dedup_where_rows_share_an_id(spark, id_):
+    """Different texts of one id: exactly one of them keeps the passage they share, unique texts stay, and so do copies of a row."""
+    r = random.Random(9)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(160))
+    own = ["".join(r.choice("abcdefgh ") for _ in range(r.randint(100, 300))) for _ in range(600)]
+    texts_ = [t + "#" + passage + "#" if i % 2 else t for i, t in enumerate(own)]
+    frame = spark.createDataFrame([(id_, t) for t in [*texts_, texts_[0], texts_[0], None]], "doc_id long, text string")
+    rows = suffix_dedup.digest(frame).collect()
+    assert len(rows) == 603 and {x.doc_id for x in rows} == {id_}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    got = sorted((x.n_bytes, x.n_removed, x.kept_sha256) for x in rows)
+    plain = [(len(t), 0, sha(t)) for t in [*texts_[::2], texts_[0], texts_[0], ""]]
+    # a character or two before the passage may happen to be those of an earlier text
+    cut = {(len(t), n, sha(t[:-n])) for t in texts_[1::2] for n in range(162, 168)}
+    whole = {(len(t), 0, sha(t)) for t in texts_[1::2]}
+    rest = list(got)
+    for x in plain:
+        rest.remove(x)
+    assert len(rest) == 300 and sum(x in whole for x in rest) == 1 and sum(x in cut for x in rest) == 299
+    left = [x.text for x in suffix_dedup.remove(frame).collect()]
+    assert len(left) == 603 and left.count(None) == 1 and sum(passage in (x or "") for x in left) == 1 and set(texts_[::2]) <= set(left)
+
+
 def levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
