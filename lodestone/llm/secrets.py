@@ -5,8 +5,9 @@ tags them as begin, inside or outside of a secret from their shape, the words
 around them and features of the whole file, and Viterbi finds the best tags.
 Its labels are bounded by the model itself: a secret can only begin at a token
 that is dense (`DENSE`) or follows a keyword, and goes on only over tokens that
-touch. All other tokens are outside, so a text can be decoded in the
-neighbourhoods of such tokens alone, with the tags that the whole would get.
+touch. All other tokens are outside whatever comes before and after them, so
+the best tags of a text are those of the chains between them, each decoded by
+itself with the few tokens before it that features look at.
 
 It is trained here, on generated lines (`examples`): no labelled secrets exist
 in the tables, and none are shipped.
@@ -39,11 +40,11 @@ ASSIGNED = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Words that announce a secret.
 KEYWORDS = ("password", "passwd", "pwd", "secret", "token", "apikey", "key", "auth", "bearer", "credential", "credentials", "private", "access", "signature")
 DENSE = re.compile(r"(?=[A-Za-z]*[0-9])[A-Za-z0-9]{10,}|[A-Za-z0-9]{24,}")
-INTEREST = re.compile(rf"(?<![A-Za-z0-9])(?:{DENSE.pattern})|(?i:{'|'.join(k for k in KEYWORDS)})")
+LONG, KEYWORD = re.compile("[A-Za-z0-9]{10,}"), re.compile("|".join(KEYWORDS), re.I)
 TOKEN = re.compile(r"[A-Za-z0-9]+|[^\sA-Za-z0-9]")
 JOINERS = frozenset("+/_.=-")
-#: Tokens after a keyword at which a secret may begin, the least length there, and the characters looked at on either side of what is of interest.
-REACH, LEAST, MARGIN = 6, 6, 160
+#: Tokens after a keyword at which a secret may begin, the least length there, and the tokens before one that its features depend on.
+REACH, LEAST, BEFORE = 6, 6, 9
 O, B, I = 0, 1, 2
 
 SLOTS = ("shape", "length", "turns", "variety", "word", "before", "previous", "next", "second", "glued", "after", "reach", "assigns", "size", "prefix")
@@ -90,7 +91,7 @@ def features(text: str, lo: int, hi: int, whole: tuple[int, int]) -> tuple[list[
         turns = sum(a.isdigit() != b.isdigit() or a.isupper() != b.isupper() for a, b in zip(w, w[1:])) if word else 0
         x[i] = (
             shapes[i], bucket(len(w), (2, 3, 5, 8, 12, 16, 20, 32, 40)), bucket(turns, (1, 2, 4, 8)), bucket(len(set(w)) / len(w), (0.2, 0.4, 0.6, 0.8)), own, key,
-            shapes[i - 1] if i else 23, shapes[i + 1] if i + 1 < len(w) and i + 1 < len(words) else 23, shapes[i - 2] if i > 1 else 23, glued, sign, min(since, 8), *whole,
+            shapes[i - 1] if i else 23, shapes[i + 1] if i + 1 < len(words) else 23, shapes[i - 2] if i > 1 else 23, glued, sign, min(since, 8), *whole,
             1 + ("AKIA", "ghp", "eyJ", "sk").index(p) if (p := next((p for p in ("AKIA", "ghp", "eyJ", "sk") if w.startswith(p)), None)) else 0,
         )
         may[i, B] = word and bool(DENSE.fullmatch(w) or since <= REACH and len(w) >= LEAST)
@@ -243,41 +244,95 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def crf_spans(text: str, crf: Model) -> list[tuple[int, int]]:
-    """Runs of tokens tagged begin and inside, from the neighbourhoods of what is of interest."""
-    near: list[list[int]] = []
-    for m in INTEREST.finditer(text):
-        a, z = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
-        if near and a <= near[-1][1]:
-            near[-1][1] = z
-        else:
-            near.append([a, z])
-    out = []
-    whole = file_features(text) if near else (0, 0)
-    for a, z in near:
-        # to the ends of the tokens there
-        while a > 0 and text[a - 1].isalnum() and text[a].isalnum():
-            a -= 1
-        while z < len(text) and text[z - 1].isalnum() and text[z].isalnum():
-            z += 1
-        spans, x, may = features(text, a, z, whole)
-        if not may[:, B].any():
-            continue
-        begin = 0
-        tags = crf.tags(x, may)
-        for i, t in enumerate(tags):
-            if t == B:
-                begin = spans[i][0]
-            if t != O and (i + 1 == len(tags) or tags[i + 1] != I):
-                out.append((begin, spans[i][1]))
+def context(text: str, at: int, floor: int) -> int:
+    """Where the BEFORE tokens before the token at this place begin; floor, if that is further up than all of them."""
+    wide = 80
+    while True:
+        lo = max(floor, at - wide)
+        starts = [m.start() for m in TOKEN.finditer(text, lo, at)]
+        # the first of them may be the end of a token
+        if len(starts) > BEFORE:
+            return starts[-BEFORE]
+        if lo == floor:
+            return floor
+        wide *= 4
+
+
+def interesting(text: str) -> list[int]:
+    """Where dense tokens and keywords stand, in order."""
+    out = [m.start() for m in LONG.finditer(text) if DENSE.fullmatch(m.group())]
+    low = text.lower()
+    if any(k in low for k in KEYWORDS):
+        out = sorted(out + [m.start() for m in KEYWORD.finditer(text)])
     return out
 
 
+def regions(text: str) -> Iterator[tuple[int, int]]:
+    """The parts of a text outside of which no token can begin a secret or go on with one, with what their features look at."""
+    begin = end = 0
+    for a in interesting(text):
+        if a < end:
+            continue
+        while a > end and text[a].isascii() and text[a].isalnum() and text[a - 1].isascii() and text[a - 1].isalnum():
+            a -= 1
+        lo = context(text, a, end)
+        if lo > end:
+            if end:
+                yield begin, end
+            begin = lo
+        # on until a token that neither follows a keyword closely nor is dense nor touches the one before
+        since, last = 99, -1
+        for t in TOKEN.finditer(text, a):
+            w = t.group()
+            glued = t.start() == last and (w in JOINERS or w.isascii() and w.isalnum())
+            last = end = t.end()
+            since = 0 if w.lower() in KEYWORDS else since + 1
+            if since > REACH + 1 and not glued and not DENSE.fullmatch(w):
+                break
+    if end:
+        yield begin, end
+
+
+def chains(may: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of tokens from one that may begin a secret on to one that can be neither begin nor inside."""
+    i = 0
+    starts = np.flatnonzero(may[:, B])
+    ends = np.flatnonzero(~may[:, B] & ~may[:, I])
+    while len(own := starts[np.searchsorted(starts, i) :]):
+        a = int(own[0])
+        k = np.searchsorted(ends, a)
+        i = int(ends[k]) if k < len(ends) else len(may)
+        yield a, i
+
+
+def crf_spans(text: str, crf: Model) -> list[tuple[int, int]]:
+    """Runs of tokens tagged begin and inside."""
+    out, whole = [], None
+    for lo, hi in regions(text):
+        whole = whole or file_features(text)
+        spans, x, may = features(text, lo, hi, whole)
+        for a, z in chains(may):
+            a, z = max(0, a - 1), min(len(spans), z + 1)
+            begin, tags = 0, crf.tags(x[a:z], may[a:z])
+            for i, t in enumerate(tags):
+                if t == B:
+                    begin = spans[a + i][0]
+                if t != O and (i + 1 == len(tags) or tags[i + 1] != I):
+                    out.append((begin, spans[a + i][1]))
+    return sorted(set(out))
+
+
 def all_spans(text: str, crf: Model) -> list[tuple[int, int, int]]:
     """(start, kind, end) by start and kind: the patterns' spans, and the CRF's where they touch none of those."""
-    base = base_spans(text)
-    added = [(a, 3, z) for a, z in crf_spans(text, crf) if not any(a < e and s < z for s, _, e in base)]
-    return sorted(base + added)
+    base = sorted(base_spans(text))
+    out, k, reached = list(base), 0, 0
+    for a, z in crf_spans(text, crf):
+        while k < len(base) and base[k][0] < z:
+            reached = max(reached, base[k][2])
+            k += 1
+        if reached <= a:
+            out.append((a, 3, z))
+    return sorted(out)
 
 
 def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

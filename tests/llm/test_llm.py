@@ -267,6 +267,99 @@ def test_secret_patterns(spark, odd):
     assert secrets.redact(odd).count() == len(odd_rows()) and secrets.find(odd.limit(0)).count() == 0
 
 
+def scanned(text):
+    """The base spans by a scan of its own, character by character: (kind, start, end)."""
+    plain, alnum = set("+/_.=-"), set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    lower = "".join(c.lower() if c.isascii() else c for c in text)
+    out, i = [], 0
+    while i < len(text):
+        name = next((n for n in ("password", "passwd", "secret", "token", "api_key", "apikey") if lower.startswith(n, i)), None)
+        at = i + len(name or "")
+        if name:
+            at += text[at : at + 1] in ("'", '"') and at < len(text)
+            while text[at : at + 1] == " ":
+                at += 1
+            name = name if text[at : at + 1] in (":", "=") and at < len(text) else None
+        if name:
+            at += 1
+            while text[at : at + 1] == " ":
+                at += 1
+            at += text[at : at + 1] in ("'", '"') and at < len(text)
+            z = at
+            while z < len(text) and text[z] in plain | alnum:
+                z += 1
+            name = name if z > at else None
+        if name:
+            out += [("assign", at, z)] if z - at >= 8 else []
+            i = z
+        else:
+            i += 1
+    for kind, begin, own, least in (("access", "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 16), ("hex", "", set("0123456789abcdef"), 32)):
+        i = 0
+        while i < len(text):
+            z = i + len(begin)
+            while text.startswith(begin, i) and z < len(text) and text[z] in own:
+                z += 1
+            if text.startswith(begin, i) and z > i + len(begin):
+                out += [(kind, i, z)] if z - i >= least else []
+                i = z
+            else:
+                i += 1
+    return sorted(out, key=lambda x: (x[1], ("assign", "access", "hex").index(x[0])))
+
+
+def whole_text_spans(text, crf):
+    """Runs of begin and inside in the best tags of the whole text, decoded in one go."""
+    spans, x, may = secrets.features(text, 0, len(text), secrets.file_features(text))
+    tags, out, begin = crf.tags(x, may) if len(spans) else [], [], 0
+    for i, t in enumerate(tags):
+        begin = spans[i][0] if t == secrets.B else begin
+        if t != secrets.O and (i + 1 == len(tags) or tags[i + 1] != secrets.I):
+            out.append((begin, spans[i][1]))
+    return out
+
+
+def test_secrets_of_documents(spark, docs, odd):
+    """Counts, hash and spans against the scan above and decoding of whole texts."""
+    crf = secrets.model()
+    hard = ["token=" + "x" * 7, "token: 'abcdefgh", 'PASSWD" = ' + "a" * 9, "secret=\"\"abcdefghij", "password token=abcdefgh1", "api_key:=abcdefgh", "apikey=" + "=" * 9, "AKIAAKIA" + "Z" * 12, "AKIA" * 3 + "x", "0" * 31 + "g" + "a" * 32, "é secret = abcdefgh\u212a", "", None]
+    frame = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(hard)], "doc_id long, text string")).unionByName(odd.select("doc_id", "text"))
+    by = {}
+    for r in frame.collect():
+        text = r.text or ""
+        base = scanned(text)
+        joined = lambda spans: ",".join(f"{k}:{a}:{z}" for k, a, z in spans)
+        added = [("crf", a, z) for a, z in whole_text_spans(text, crf) if not any(a < e and s < z for _, s, e in base)]
+        kinds = [sum(k == kind for k, *_ in base) for kind in ("assign", "access", "hex")]
+        spans = sorted(base + added, key=lambda x: (x[1], secrets.KINDS.index(x[0])))
+        by.setdefault(r.doc_id, []).append((*kinds, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)))
+    got = {}
+    for r in secrets.digest(secrets.find(frame)).collect():
+        got.setdefault(r.doc_id, []).append((r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in by.items()}
+    clean = {(r.doc_id, r.text) for r in secrets.redact(frame).collect()}
+    assert (10**6 + 12, None) in clean and (10**6 + 1, "token: '<secret>") in clean
+
+
+def test_chains_are_decoded_as_whole_texts_are():
+    crf, r = secrets.model(), random.Random(4)
+    lines = [t for t, _ in secrets.examples(400, seed=77)]
+    texts = list(lines)
+    for _ in range(600):
+        parts = []
+        for _ in range(r.randint(1, 5)):
+            parts.append(r.choice(lines))
+            if r.random() < 0.4:
+                n = r.randint(20, 2000)
+                tail = "".join(r.choice("-/_.") + "".join(r.choice("abcdefgh123") for _ in range(r.randint(2, 9))) for _ in range(n // 7))
+                parts.append(r.choice(("secret ", "password: ", 'key="', " ", "")) + "".join(r.choice("Ab3dEf9k") for _ in range(9)) + tail)
+            parts.append(" " * r.choice((0, 1, 1, 1, 300)) + r.choice(("", "\n", "é ", "key " * 4)))
+        texts.append("".join(parts))
+    assert all(secrets.crf_spans(t, crf) == whole_text_spans(t, crf) for t in texts)
+    text = "secret Ab3dEfgh9k" + "-abcdefg" * 60
+    assert secrets.crf_spans(text, crf) == [(7, len(text))]
+
+
 def test_tagger_on_new_lines():
     lines = secrets.examples(200, seed=99)
     crf = secrets.model()
