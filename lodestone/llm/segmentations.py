@@ -13,9 +13,11 @@ part's noise truncated at the value just found. The value of the best region
 left over is the threshold for inclusion scores.
 
 Pieces never go from a character into a space after it (those of several spaces
-stand within a run of spaces, which goes with the word after it), so a text's lattice is a chain of words' lattices:
-forward sums are made once for each different word of a batch, and all words
-of all texts of a batch are drawn at once.
+stand within a run of spaces, which goes with the word after it), so a text's
+lattice is a chain of words' lattices: forward sums are made once for each
+different word of a block of text, whose words are all drawn at once, k times
+each. Very long words have their lattices made window by window, from forward
+sums alone.
 """
 
 from __future__ import annotations
@@ -29,17 +31,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import keyed, tune
+from .common import keyed, remember_only, tune
 
 SPACE = "▁"
-#: Characters of the longest piece, and of words whose lattices are kept in one array.
-LONGEST = 16
 #: Spaces and the word after them: no piece goes over the end of one.
 split_words = re.compile(f"{SPACE}+[^{SPACE}]*").findall
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 TABLE = 20
-#: Characters of the texts whose words are drawn together, about.
+#: Characters, about, of the texts that go together and of the words that are drawn together.
 CHARS = 500_000
+#: Words of more characters are Wide; ends of pieces in one of their windows.
+LONG, WINDOW = 2_000, 4_096
 
 
 def uniform(state: np.ndarray) -> np.ndarray:
@@ -52,8 +54,24 @@ def uniform(state: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(12)).astype(np.float64) + 0.5) / 2.0**52
 
 
+def stepped(state: np.ndarray, step: int) -> np.ndarray:
+    """The states of the piece drawn after so many others of the word."""
+    return state + np.uint64(step * int(M2) % 2**64)
+
+
+def characters(words: list[str]) -> np.ndarray:
+    """The code points of words of equal length, plus one."""
+    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(words), -1).astype(np.uint64) + np.uint64(1)
+
+
 class Lattices:
-    """A model's pieces, looked up by the hash of their characters."""
+    """A model's pieces, looked up by the hash of their characters, and what makes words' lattices of them.
+
+    Words of equal length n share arrays: for each word, end and length of the
+    last piece its number (-1: none; -1 - b: a character that goes by its b
+    bytes); the share of the forward sum that comes through it, cumulated over
+    lengths; the forward sums.
+    """
 
     _known: dict[str, "Lattices"] = {}
 
@@ -76,241 +94,333 @@ class Lattices:
             if m.is_byte(i):
                 self.bytes[int(p[3:5], 16)] = i
             self.text.append(bytes([int(p[3:5], 16)]) if m.is_byte(i) else p.replace(SPACE, " ").encode() if plain else b"")
-            if plain and SPACE not in p.lstrip(SPACE) and len(p) <= LONGEST:
+            if plain and SPACE in p.lstrip(SPACE):
+                raise ValueError(f"a piece goes over a space after a character: {p!r}")
+            if plain:
                 pieces.append(p)
                 ids.append(i)
                 weights.append(-np.log(-s + 2))
-        self.byte_weight = -np.log(m.get_piece_size())
-        codes = np.zeros((len(pieces), LONGEST), np.uint64)
+        self.spelled, self.spelling = np.frombuffer(b"".join(self.text), np.uint8), np.cumsum([0, *map(len, self.text)])
+        self.longest = max(map(len, pieces))
+        codes = np.zeros((len(pieces), self.longest), np.uint64)
         for r, p in enumerate(pieces):
             codes[r, : len(p)] = [ord(c) + 1 for c in p]
         h = np.zeros(len(pieces), np.uint64)
-        for k in range(LONGEST):
+        for k in range(self.longest):
             h = np.where(codes[:, k] > 0, (h + codes[:, k]) * M1, h)
-        # an open table: two places for each hash, the rest by search
+        # an open table: one place for each hash, the rest by search
         order = np.argsort(h)
-        self.hash, self.id, self.weight = h[order], np.array(ids)[order], np.array(weights)[order]
+        self.hash, self.id = h[order], np.array(ids)[order]
+        # of pieces -5 to -2, which are characters of 4 to 1 bytes, of none (-1), and of the model's
+        self.weight = np.concatenate([np.arange(4, 0, -1) * -np.log(m.get_piece_size()), [-np.inf], np.array(weights)[order]])
         self.table = np.full(1 << TABLE, -1, np.int32)
         self.table[(self.hash >> np.uint64(64 - TABLE)).astype(np.int64)] = np.arange(len(h))
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The number of the piece with each hash, or -1."""
-        got = self.table[(h >> np.uint64(64 - TABLE)).astype(np.int64)]
-        hit = (got >= 0) & (self.hash[got] == h)
-        other = (got >= 0) & ~hit
-        out = np.where(hit, got, -1)
+        got = self.table.take((h >> np.uint64(64 - TABLE)).view(np.int64))
+        there = got >= 0
+        hit = self.hash.take(got, mode="wrap") == h
+        hit &= there
+        out = np.where(hit, got, np.int32(-1))
+        other = there
+        other &= ~hit
         if other.any():
             at = np.minimum(np.searchsorted(self.hash, h[other]), len(self.hash) - 1)
             out[other] = np.where(self.hash[at] == h[other], at, -1)
         return out
 
-    def build(self, words: list[str]) -> dict[str, np.ndarray]:
-        """Lattices of words of equal length n: for each end and piece length the piece, and the share of the forward sum that comes through it, cumulated over lengths."""
-        n, rows = len(words[0]), len(words)
-        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(rows, n).astype(np.uint64) + np.uint64(1)
-        longest = min(n, LONGEST)
+    def pieces(self, codes: np.ndarray) -> np.ndarray:
+        """The pieces that end at each place of rows of characters, by length."""
+        rows, n = codes.shape
+        longest = min(n, self.longest)
         piece = np.full((rows, n + 1, longest), -1, np.int32)
         h = np.zeros((rows, n), np.uint64)
         for k in range(longest):
             h = (h[:, : n - k] + codes[:, k:]) * M1
             piece[:, k + 1 :, k] = self.find(h)
-        weight = np.where(piece >= 0, self.weight[piece], -np.inf)
-        # characters without a piece of their own go by bytes
-        size = 1 + (codes > 0x80).astype(np.int64) + (codes > 0x800) + (codes > 0x10000)
-        alone = piece[:, 1:, 0] < 0
-        weight[:, 1:, 0] = np.where(alone, size * self.byte_weight, weight[:, 1:, 0])
-        forward = np.full((rows, n + 1), -np.inf)
+        alone = piece[:, 1:, 0]
+        size = 1 + (codes > 0x80).astype(np.int32) + (codes > 0x800) + (codes > 0x10000)
+        piece[:, 1:, 0] = np.where(alone < 0, -1 - size, alone)
+        return piece
+
+    def weights(self, piece: np.ndarray) -> np.ndarray:
+        return self.weight.take(piece + 5)
+
+    def build(self, words: list[str]) -> dict[str, np.ndarray]:
+        """Lattices of words of equal length."""
+        piece = self.pieces(characters(words))
+        rows, n, longest = len(words), piece.shape[1] - 1, piece.shape[2]
+        weight = self.weights(piece)
+        forward, share = np.full((rows, n + 1), -np.inf), np.ones((rows, n + 1, longest))
         forward[:, 0] = 0
-        share = np.zeros((rows, n + 1, longest))
         for e in range(1, n + 1):
             k = min(e, longest)
-            ways = forward[:, e - k : e][:, ::-1] + weight[:, e, :k]
+            ways = weight[:, e, :k] + forward[:, e - k : e][:, ::-1]
             most = ways.max(axis=1)
             w = np.exp(ways - most[:, None])
-            total = w.sum(axis=1)
-            forward[:, e] = most + np.log(total)
-            share[:, e, :k] = np.cumsum(w, axis=1) / total[:, None]
-            share[:, e, k - 1 :] = 1.0
-        return {"piece": piece, "weight": weight, "forward": forward, "share": share}
-
-    def ids(self, word: str, lattice: dict, row: int, ends: list[int]) -> list[int]:
-        """Piece ids of a path, given by its ends."""
+            np.cumsum(w, axis=1, out=w)
+            forward[:, e] = most + np.log(w[:, -1])
+            np.divide(w[:, :-1], w[:, -1:], out=share[:, e, : k - 1])
+        return {"piece": piece, "forward": forward, "share": share}
+
+
+def draw(lattice: dict[str, np.ndarray], row: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """Paths of words of equal length, each from its state, as flags of the ends of pieces."""
+    share = lattice["share"]
+    n, flat = share.shape[1] - 1, share.reshape(-1, share.shape[2])
+    on = np.zeros((len(row), n + 1), bool)
+    on[:, n] = True
+    live, at, step = np.arange(len(row)), np.full(len(row), n), 0
+    while len(live):
+        # the first share above the number
+        at -= 1 + (flat.take(row * (n + 1) + at, axis=0) <= uniform(stepped(state, step))[:, None]).argmin(axis=1)
+        more = at > 0
+        live, at, row, state = live[more], at[more], row[more], state[more]
+        on[live, at] = True
+        step += 1
+    return on
+
+
+class Narrow:
+    """The lattice of one word."""
+
+    def __init__(self, lattices: Lattices, word: str, lattice: dict[str, np.ndarray]):
+        self.lattices, self.word, self.n, self.lattice = lattices, word, len(word), lattice
+        self.total = float(lattice["forward"][self.n])
+
+    def at(self, e: int) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces that end at a place, by length, and their cumulated shares."""
+        return self.lattice["piece"][e], self.lattice["share"][e]
+
+    def path(self, state: np.uint64) -> tuple[int, ...]:
+        """The path drawn from a state, as the ends of its pieces."""
+        out, at, step, u = [], self.n, 0, []
+        while at > 0:
+            if len(out) == step + len(u):
+                step, u = len(out), uniform(state + (np.arange(step + len(u), step + len(u) + min(self.n, WINDOW), dtype=np.uint64) * M2)).tolist()
+            out.append(at)
+            at -= 1 + int(self.at(at)[1].searchsorted(u[len(out) - 1 - step], "right"))
+        return tuple(out[::-1])
+
+    def logp(self, path: tuple[int, ...]) -> float:
+        total, a = -self.total, 0
+        for e in path:
+            total += float(self.lattices.weights(self.at(e)[0][e - a - 1]))
+            a = e
+        return min(0.0, total)
+
+    def ids(self, path: tuple[int, ...]) -> np.ndarray:
         out, a = [], 0
-        for e in ends:
-            p = int(lattice["piece"][row, e, e - a - 1])
-            out += [int(self.id[p])] if p >= 0 else [int(self.bytes[b]) for b in word[a:e].encode("utf-8", "surrogatepass")]
+        for e in path:
+            p = int(self.at(e)[0][e - a - 1])
+            out += [int(self.lattices.id[p])] if p >= 0 else self.lattices.bytes[list(self.word[a:e].encode("utf-8", "surrogatepass"))].tolist()
             a = e
-        return out
+        return np.array(out, "<u4")
+
+    def leaving(self, e: int, ahead: set[int], reach: float) -> tuple[np.ndarray, list[float]]:
+        """The probabilities of the lengths of the piece that ends at a place, without those to the places ahead, and the latter's."""
+        p = self.at(e)[1] * reach
+        p[1:] -= p[:-1].copy()
+        gone = [float(p[e - a - 1]) for a in ahead]
+        for a in ahead:
+            p[e - a - 1] = 0.0
+        return p, gone
+
+    def apart(self, barred: list[tuple[int, ...]]) -> tuple[list[tuple], np.ndarray]:
+        """Where paths can leave all of the barred ones, from the end of the word on: (barred path, place in it from its end, lengths' probabilities), and the probability of each."""
+        back = [(*path[::-1], 0) for path in barred]
+        nodes, mass = [], []
+        todo = [(back, 0, 1.0)]
+        while todo:
+            own, i, reach = todo.pop()
+            # what is reached with less counts for nothing beside the rest
+            while own[0][i] > 0 and reach > 1e-290:
+                ahead = sorted({path[i + 1] for path in own})
+                p, gone = self.leaving(own[0][i], ahead, reach)
+                nodes.append((own[0], i, ahead, reach))
+                mass.append(float(p.sum()))
+                if len(ahead) > 1:
+                    todo += [([path for path in own if path[i + 1] == a], i + 1, r) for a, r in zip(ahead, gone)]
+                    break
+                i, reach = i + 1, gone[0]
+        return nodes, np.array(mass)
+
+    def other(self, barred: list[tuple[int, ...]], rng: np.random.Generator) -> tuple[int, ...]:
+        """A path given that it is none of the barred ones: the place where it leaves them is drawn, the rest is free."""
+        nodes, mass = self.apart(barred)
+        path, i, ahead, reach = nodes[int(rng.choice(len(mass), p=mass / mass.sum()))]
+        p, _ = self.leaving(path[i], ahead, reach)
+        out = list(path[: i + 1])
+        at = out[-1] - 1 - int(rng.choice(len(p), p=p / p.sum()))
+        while at > 0:
+            out.append(at)
+            at -= 1 + int(self.at(at)[1].searchsorted(rng.random(), "right"))
+        return tuple(out[::-1])
+
+
+class Wide(Narrow):
+    """The lattice of one very long word: forward sums for all of it, the rest for one window at a time."""
+
+    def __init__(self, lattices: Lattices, word: str):
+        self.lattices, self.word, self.n = lattices, word, len(word)
+        self.forward = np.zeros(self.n + 1)
+        for a in range(0, self.n, WINDOW):
+            weight = lattices.weights(self.window(a))
+            for i in range(1, len(weight)):
+                e = a + i
+                k = min(e, weight.shape[1])
+                own = weight[i, :k] + self.forward[e - k : e][::-1]
+                most = own.max()
+                self.forward[e] = most + np.log(np.exp(own - most).sum())
+        self.total, self.held = float(self.forward[self.n]), None
+
+    def window(self, a: int) -> np.ndarray:
+        """The pieces that end at places a to a + WINDOW."""
+        first = max(0, a - self.lattices.longest)
+        return self.lattices.pieces(characters([self.word[first : a + WINDOW]]))[0, a - first :]
+
+    def at(self, e: int) -> tuple[np.ndarray, np.ndarray]:
+        a = (e - 1) // WINDOW * WINDOW
+        if self.held is None or self.held[0] != a:
+            piece = self.window(a)
+            ends = np.arange(a, a + len(piece))
+            from_ = ends[:, None] - 1 - np.arange(piece.shape[1])
+            ways = np.where(from_ >= 0, self.lattices.weights(piece) + self.forward[np.maximum(from_, 0)], -np.inf)
+            share = np.cumsum(np.exp(ways - np.where(ends > 0, self.forward[ends], 0.0)[:, None]), axis=1)
+            share[share >= share[:, -1:]] = 1.0
+            self.held = (a, piece, share)
+        return self.held[1][e - a], self.held[2][e - a]
 
 
 class Batch:
-    """The words of some texts, each with its lattice; draws paths for all of them."""
+    """The words of some texts, and k drawn paths of each word: log-probabilities, and ids with where each word's begin."""
 
-    def __init__(self, lattices: Lattices, texts: list[str]):
+    def __init__(self, lattices: Lattices, texts: list[str], rngs: list[np.random.Generator], k: int):
         self.lattices = lattices
-        self.words = [split_words(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        self.first = np.cumsum([0, *map(len, self.words)])
-        flat = list(chain.from_iterable(self.words))
-        self.types = list(dict.fromkeys(flat))
-        number = dict(zip(self.types, range(len(self.types))))
-        self.type = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
-        by: dict[int, list[int]] = {}
-        for i, w in enumerate(self.types):
-            by.setdefault(len(w), []).append(i)
-        self.row, self.length = np.zeros(len(self.types), np.int64), np.array([len(w) for w in self.types], np.int64)
-        self.lattice: dict[int, dict] = {}
-        for n, own in by.items():
-            self.row[own] = np.arange(len(own))
-            self.lattice[n] = lattices.build([self.types[i] for i in own])
-        self.of_length = {n: np.flatnonzero(self.length[self.type] == n) for n in by}
-
-    def draw(self, state: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
-        """For each word a path from its state: log-probabilities, and by length the ends of pieces as a matrix of flags."""
-        logp, flags = np.zeros(len(self.type)), {}
-        for n, words in self.of_length.items():
-            lat, row = self.lattice[n], self.row[self.type[words]]
-            at, on = np.full(len(words), n), np.zeros((len(words), n + 1), bool)
-            on[:, n] = True
-            live, step = np.arange(len(words)), 0
-            own = state[words]
-            total = -lat["forward"][row, n]
-            while len(live):
-                e, r = at[live], row[live]
-                u = uniform(own[live] + np.uint64(step * int(M2) % 2**64))
-                k = (lat["share"][r, e] <= u[:, None]).sum(axis=1)
-                total[live] += lat["weight"][r, e, k]
-                at[live] = e - k - 1
-                live = live[at[live] > 0]
-                on[live, at[live]] = True
-                step += 1
-            logp[words], flags[n] = np.minimum(total, 0), on
-        return logp, flags
-
-    def flat(self, flags: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all words' drawn paths one after another, and where each word's begin."""
-        word, piece, end = [], [], []
-        for n, words in self.of_length.items():
-            w, e = np.nonzero(flags[n][:, 1:])
-            e += 1
-            a = np.concatenate([[0], e[:-1]])
-            a[np.flatnonzero(np.diff(w, prepend=-1))] = 0
-            word.append(words[w])
-            piece.append(self.lattice[n]["piece"][self.row[self.type[words[w]]], e, e - a - 1])
-            end.append(e)
-        if not word:
-            return np.zeros(0, "<u4"), np.zeros(1, np.int64)
-        word, piece, end = np.concatenate(word), np.concatenate(piece), np.concatenate(end)
-        order = np.argsort(word, kind="stable")
-        word, piece, end = word[order], piece[order], end[order]
-        size = np.ones(len(word), np.int64)
-        odd = np.flatnonzero(piece < 0)
-        raw = [self.types[self.type[word[i]]][end[i] - 1].encode("utf-8", "surrogatepass") for i in odd]
-        size[odd] = [len(x) for x in raw]
-        at = np.cumsum(size) - size
-        out = np.zeros(int(size.sum()), "<u4")
-        out[at] = self.lattices.id[piece]
-        for i, x in zip(odd, raw):
-            out[at[i] : at[i] + len(x)] = self.lattices.bytes[list(x)]
-        starts = np.searchsorted(word, np.arange(len(self.type) + 1))
-        return out, np.append(at, len(out))[starts]
-
-    def path(self, word: int, flags: dict[int, np.ndarray]) -> tuple[int, ...]:
-        n = int(self.length[self.type[word]])
-        return tuple(np.flatnonzero(flags[n][np.searchsorted(self.of_length[n], word)]).tolist())
-
-    def logp(self, word: int, path: tuple[int, ...]) -> float:
-        n = int(self.length[self.type[word]])
-        lat, r, a, total = self.lattice[n], self.row[self.type[word]], 0, 0.0
-        for e in path:
-            total += lat["weight"][r, e, e - a - 1]
-            a = e
-        return min(0.0, float(total - lat["forward"][r, n]))
-
-    def other(self, word: int, barred: list[tuple[int, ...]], rng: np.random.Generator) -> tuple[int, ...]:
-        """A path of a word given that it is none of the barred ones: the place where it leaves the first of them is drawn, the rest is free; the others by rejection."""
-        n = int(self.length[self.type[word]])
-        lat, r = self.lattice[n], self.row[self.type[word]]
-        first = list(barred[0])[::-1]  # drawn from the end of the word to its beginning
-        shares = lambda e: np.maximum(np.diff(lat["share"][r, e], prepend=0.0), 0)
-        steps, leave, stay = [], [], 1.0
-        for e, a in zip(first, [*first[1:], 0]):
-            p = shares(e)
-            rest = p.copy()
-            rest[e - a - 1] = 0
-            leave.append(stay * rest.sum())
-            steps.append((e, rest))
-            stay *= p[e - a - 1]
-        leave = np.array(leave)
-        while True:
-            k = int(rng.choice(len(leave), p=leave / leave.sum()))
-            out, (e, rest) = first[: k + 1], steps[k]
-            at = e - 1 - int(rng.choice(len(rest), p=rest / rest.sum()))
-            while at > 0:
-                out.append(at)
-                p = shares(at)
-                at -= 1 + int(rng.choice(len(p), p=p / p.sum()))
-            found = tuple(out[::-1])
-            if found not in barred:
-                return found
+        words = [split_words(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        self.first = np.cumsum([0, *map(len, words)])
+        self.words = list(chain.from_iterable(words))
+        self.states = np.concatenate([np.zeros((k, 0), np.uint64), *(rng.integers(0, 2**64, (k, len(own)), np.uint64) for rng, own in zip(rngs, words))], axis=1)
+        self.logp, self.sizes = np.zeros((k, len(self.words))), np.zeros((k, len(self.words)), np.int64)
+        self.number: dict[str, int] = {}
+        self.last: Wide | None = None
+        ids: list[list[np.ndarray]] = [[np.zeros(0, "<u4")] for _ in range(k)]
+        length = np.fromiter(map(len, self.words), np.int64, len(self.words))
+        # a long word stands alone, other blocks have about as many characters
+        block = np.cumsum(length) // (2 * CHARS) + np.cumsum(length > LONG) + np.cumsum(np.append(False, (length > LONG)[:-1]))
+        cuts = np.flatnonzero(np.diff(block, prepend=-1))
+        for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(self.words)]):
+            for out, own in zip(ids, self.wide(a) if length[a] > LONG else self.narrow(a, z, length[a:z])):
+                out.append(own)
+        self.ids = [np.concatenate(own) for own in ids]
+        self.starts = np.concatenate([np.zeros((k, 1), np.int64), np.cumsum(self.sizes, axis=1)], axis=1)
+
+    def wide(self, a: int) -> list[np.ndarray]:
+        """Draws a long word; its ids."""
+        word, out = self.one(self.words[a]), []
+        for j, state in enumerate(self.states[:, a]):
+            path = word.path(state)
+            out.append(word.ids(path))
+            self.logp[j, a], self.sizes[j, a] = word.logp(path), len(out[-1])
+        return out
+
+    def narrow(self, a: int, z: int, length: np.ndarray) -> list[np.ndarray]:
+        """Draws words a to z; their ids."""
+        own = self.words[a:z]
+        self.number = number = dict.fromkeys(own)
+        number.update(zip(number, range(len(number))))
+        types = list(number)
+        kind, n_of = np.fromiter(map(number.__getitem__, own), np.int64, len(own)), np.fromiter(map(len, types), np.int64, len(types))
+        self.row, self.of_length = np.zeros(len(types), np.int64), {}
+        groups = []
+        for n in np.unique(n_of).tolist():
+            which = np.flatnonzero(n_of == n)
+            self.row[which] = np.arange(len(which))
+            self.of_length[n] = self.lattices.build([types[i] for i in which.tolist()])
+            groups.append((self.of_length[n], np.flatnonzero(length == n)))
+        out = []
+        for j, state in enumerate(self.states[:, a:z]):
+            parts = []
+            for lat, members in groups:
+                row = self.row[kind[members]]
+                w, e = np.nonzero(draw(lat, row, state[members])[:, 1:])
+                first = np.flatnonzero(np.diff(w, prepend=-1))
+                before = np.concatenate([[-1], e[:-1]])
+                before[first] = -1
+                pieces = lat["piece"]
+                piece = pieces.ravel().take((row[w] * pieces.shape[1] + e + 1) * pieces.shape[2] + e - before - 1)
+                size = np.where(piece >= 0, 1, -1 - piece)
+                at = np.cumsum(size) - size
+                self.logp[j, a + members] = np.minimum(np.add.reduceat(self.lattices.weights(piece), first) - lat["forward"][row, -1], 0)
+                self.sizes[j, a + members] = np.diff(np.append(at[first], size.sum()))
+                parts.append((members, w, e, piece, at - at[first][w]))
+            starts = np.cumsum(self.sizes[j, a:z]) - self.sizes[j, a:z]
+            ids = np.zeros(int(self.sizes[j, a:z].sum()), "<u4")
+            for members, w, e, piece, at in parts:
+                at += starts[members][w]
+                ids[at] = self.lattices.id.take(piece, mode="wrap")
+                for i in np.flatnonzero(piece < 0).tolist():
+                    raw = own[members[w[i]]][e[i]].encode("utf-8", "surrogatepass")
+                    ids[at[i] : at[i] + len(raw)] = self.lattices.bytes[list(raw)]
+            out.append(ids)
+        return out
+
+    def one(self, word: str) -> Narrow:
+        """The lattice of a word: that of the last block, or made anew."""
+        if len(word) > LONG:
+            if self.last is None or self.last.word is not word:
+                self.last = Wide(self.lattices, word)
+            return self.last
+        i = self.number.get(word)
+        lat, r = (self.of_length[len(word)], self.row[i]) if i is not None else (self.lattices.build([word]), 0)
+        return Narrow(self.lattices, word, {k: v[r] for k, v in lat.items()})
 
 
 def segmentations(lattices: Lattices, texts: list[str], keys: list[int], k: int) -> Iterator[tuple[int, int, bytes, float, float, float]]:
     """(text, rank, ids, log-probability, perturbed value, inclusion) of up to k distinct segmentations of each text."""
-    batch = Batch(lattices, texts)
-    many = len(texts)
     rngs = [np.random.Generator(np.random.PCG64(key % 2**64)) for key in keys]
-    def fresh() -> np.ndarray:
-        parts = [rng.integers(0, 2**64, b - a, np.uint64) for rng, a, b in zip(rngs, batch.first, batch.first[1:])]
-        return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-
-    # a region: (value, word, barred paths of it, the draw that its prefix comes from); the whole is a region without a word
-    queues = [[(float(-np.log(-np.log(rng.random()))), -1, (), None)] for rng in rngs]
-    found: list[list[tuple]] = [[] for _ in texts]
-    for _ in range(k):
-        logp, flags = batch.draw(fresh())
-        flat = batch.flat(flags)
-        for d in range(many):
-            if not queues[d]:
-                continue
-            queues[d].sort(key=lambda x: -x[0])
-            value, word, barred, before = queues[d].pop(0)
-            a, b = int(batch.first[d]), int(batch.first[d + 1])
-            own, paths = logp[a:b].copy(), {}
+    batch = Batch(lattices, texts, rngs, k)
+    for d, rng in enumerate(rngs):
+        # a region: (value, word, barred paths of it, the draw that its prefix comes from, whose path for the word is barred too); the whole is a region without a word
+        queue: list[tuple] = [(float(-np.log(-np.log(rng.random()))), -1, (), None)]
+        found: list[tuple] = []
+        a, b = int(batch.first[d]), int(batch.first[d + 1])
+        for j in range(k):
+            if not queue:
+                break
+            value, word, barred, before = queue.pop(max(range(len(queue)), key=lambda i: queue[i][0]))
+            own, paths = batch.logp[j, a:b], {}
             if before is not None:
                 # up to the word as the region has it, then another path for it
+                own = own.copy()
                 own[: word - a] = before["logp"][: word - a]
                 paths = {w: p for w, p in before["paths"].items() if w < word}
-                paths[word] = batch.other(word, list(barred), rngs[d])
-                own[word - a] = batch.logp(word, paths[word])
-            start = a if before is None else word + 1
-            draw = {"logp": own, "paths": paths, "flags": flags, "flat": flat, "start": start, "before": before}
-            found[d].append((value, draw, float(own.sum())))
+                lattice, barred = batch.one(batch.words[word]), (*barred, path_of(batch, before, word))
+                paths[word] = lattice.other(list(barred), rng)
+                own[word - a] = lattice.logp(paths[word])
+            draw = {"logp": own, "paths": paths, "number": j, "start": a if before is None else word + 1, "before": before}
+            found.append((value, draw, float(own.sum())))
             if a == b:
                 continue
             # what is left of the region, by the first word that differs
-            prefix = np.concatenate([[0.0], np.cumsum(own)[:-1]])
-            with np.errstate(divide="ignore"):
-                mass = np.log(-np.expm1(np.minimum(own, 0)))
             lo = a if before is None else word
-            if before is not None:
-                gone = sum(np.exp(batch.logp(word, p)) for p in barred) + np.exp(own[word - a])
-                mass[word - a] = np.log(max(0.0, 1 - gone)) if 1 - gone > 1e-12 else -np.inf
-            location = (prefix + mass)[lo - a :]
-            noise = -np.log(1 - rngs[d].random(len(location)))
+            prefix = np.cumsum(own) - own
+            with np.errstate(divide="ignore"):
+                location = prefix[lo - a :] + np.log(-np.expm1(np.minimum(own[lo - a :], 0)))
+                if before is not None:
+                    location[0] = prefix[word - a] + np.log(lattice.apart([*barred, paths[word]])[1].sum())
+            noise = -np.log(1 - rng.random(len(location)))
             with np.errstate(divide="ignore", invalid="ignore"):
                 values = np.where(location > -np.inf, -np.logaddexp(-value, np.log(noise) - location), -np.inf)
-            best = np.argpartition(-values, min(k, len(values) - 1))[: k + 1]
-            for i in best.tolist():
+            # of these no more than k can come before the end, and one is the threshold
+            for i in np.argpartition(-values, min(k, len(values) - 1))[: k + 1].tolist():
                 if values[i] > -np.inf:
                     w = lo + i
-                    was = barred if w == word else ()
-                    queues[d].append((float(values[i]), w, (*was, path_of(batch, draw, w)), draw))
-
-    for d in range(many):
-        threshold = max((q[0] for q in queues[d]), default=-np.inf)
-        for rank, (value, draw, total) in enumerate(found[d], 1):
-            ids = b"".join(ids_of(batch, draw, int(batch.first[d]), int(batch.first[d + 1])))
-            yield d, rank, ids, total, value, float(-np.expm1(-np.exp(min(50.0, total - threshold)))) if threshold > -np.inf else 1.0
+                    queue.append((float(values[i]), w, barred if w == word else (), draw))
+        threshold = max((q[0] for q in queue), default=-np.inf)
+        for rank, (value, draw, total) in enumerate(found, 1):
+            yield d, rank, b"".join(ids_of(batch, draw, a, b)), total, value, float(-np.expm1(-np.exp(min(50.0, total - threshold)))) if threshold > -np.inf else 1.0
 
 
 def path_of(batch: Batch, draw: dict, word: int) -> tuple[int, ...]:
@@ -319,27 +429,34 @@ def path_of(batch: Batch, draw: dict, word: int) -> tuple[int, ...]:
         if word in draw["paths"]:
             return draw["paths"][word]
         if word >= draw["start"]:
-            return batch.path(word, draw["flags"])
+            return batch.one(batch.words[word]).path(batch.states[draw["number"], word])
         draw = draw["before"]
 
 
 def ids_of(batch: Batch, draw: dict, lo: int, hi: int) -> list[bytes]:
     """The ids of words lo to hi in a draw."""
     if draw["before"] is None or lo >= draw["start"]:
-        out, starts = draw["flat"]
+        out, starts = batch.ids[draw["number"]], batch.starts[draw["number"]]
         return [out[starts[lo] : starts[hi]].tobytes()]
     word, parts = draw["start"] - 1, []
     if lo < word:
         parts += ids_of(batch, draw["before"], lo, min(hi, word))
     if lo <= word < hi:
-        t = int(batch.type[word])
-        parts.append(np.array(batch.lattices.ids(batch.types[t], batch.lattice[int(batch.length[t])], int(batch.row[t]), list(draw["paths"][word])), "<u4").tobytes())
+        parts.append(batch.one(batch.words[word]).ids(draw["paths"][word]).tobytes())
     return parts + (ids_of(batch, draw, draw["start"], hi) if hi > draw["start"] else [])
 
 
+def spelled(lattices: Lattices, ids: np.ndarray) -> bytes:
+    """What the pieces spell, one after another."""
+    first = lattices.spelling[ids]
+    size = lattices.spelling[1:][ids] - first
+    end = np.cumsum(size)
+    return lattices.spelled[np.repeat(first - end + size, size) + np.arange(end[-1] if len(end) else 0)].tobytes()
+
+
 def decode(lattices: Lattices, ids: np.ndarray) -> str:
     """The text of ids, without the space that stands before every text."""
-    out = b"".join(map(lattices.text.__getitem__, ids.tolist())).decode("utf-8", "replace")
+    out = spelled(lattices, ids).decode("utf-8", "replace")
     return out[1:] if out[:1] == " " else out
 
 
@@ -381,16 +498,17 @@ def sample(docs: DataFrame, model: str, *, k: int = 2, seed: int = 1, id_col: st
     tune(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        remember_only()
         lattices = Lattices.of(model)
         for b in batches:
             size = b.text.str.len().cumsum().to_numpy() // CHARS
             for _, some in b.groupby(size, sort=False):
                 names = [None if x else int(i) for i, x in zip(some.doc_id, some.doc_id.isna())]
                 texts = some.text.tolist()
-                rows = []
+                rows, wanted = [], [(" " + t.replace(SPACE, " ") if t else "").encode("utf-8", "surrogatepass") for t in texts]
                 for d, rank, ids, total, value, inclusion in segmentations(lattices, texts, [zlib.crc32(f"{seed} {i}".encode()) << 20 | seed for i in names], k):
                     numbers = np.frombuffer(ids, "<u4")
-                    same = decode(lattices, numbers) == texts[d].replace(SPACE, " ")
+                    same = spelled(lattices, numbers) == wanted[d]
                     rows.append((names[d], rank, len(numbers), zlib.crc32(ids), total, value, inclusion, same, *([numbers] if with_ids else [])))
                 out = pd.DataFrame(rows, columns=[c.split()[0] for c in kind.split(", ")])
                 yield out.assign(doc_id=out.doc_id.astype("Int64"))

@@ -518,6 +518,44 @@ def test_segmentations_over_runs_of_spaces(text):
     assert own in p and first[top] / n == pytest.approx(p[top], abs=0.05)
 
 
+def test_all_segmentations_of_a_short_text():
+    """With k above their number: every one once, the masses left over exact (probabilities add up to 1), and no endless draws."""
+    lattices = segmentations.Lattices.of(PIECE)
+    for text in ("a", "an", "in a", "é", "你"):
+        by = {}
+        for d, _, ids, total, value, inclusion in segmentations.segmentations(lattices, [text] * 20, list(range(20)), 40):
+            by.setdefault(d, []).append((ids, total, value, inclusion))
+        for own in by.values():
+            assert len({x[0] for x in own}) == len(own) == len(by[0]) and all(a[2] >= b[2] for a, b in zip(own, own[1:]))
+            assert len(own) == 40 or sum(math.exp(x[1]) for x in own) == pytest.approx(1) and all(x[3] == 1 for x in own)
+            assert all(segmentations.decode(lattices, np.frombuffer(x[0], "<u4")) == text for x in own)
+
+
+def test_long_unbroken_texts(monkeypatch):
+    """Words without a space have the same paths and probabilities window by window, and their lattice is never held as a whole."""
+    lattices, r = segmentations.Lattices.of(PIECE), random.Random(2)
+    word = "▁" + "".join(r.choice("thequickbrownfxé你") for _ in range(1500))
+    monkeypatch.setattr(segmentations, "WINDOW", 64)
+    wide, narrow = segmentations.Wide(lattices, word), segmentations.Narrow(lattices, word, {k: v[0] for k, v in lattices.build([word]).items()})
+    assert wide.total == pytest.approx(narrow.total)
+    for state in np.arange(10, dtype=np.uint64) * np.uint64(2**60 + 1):
+        path = wide.path(state)
+        assert path == narrow.path(state) and wide.ids(path).tolist() == narrow.ids(path).tolist() and wide.logp(path) == pytest.approx(narrow.logp(path))
+    other = [wide.other([path, narrow.path(np.uint64(7))], np.random.default_rng(i)) for i in range(5)]
+    assert path not in other
+    monkeypatch.undo()
+    text = "".join(r.choice("thequickbrownfx") for _ in range(60_000))
+    build = segmentations.Lattices.build
+
+    def small(self, words):
+        assert len(words[0]) <= segmentations.LONG
+        return build(self, words)
+
+    monkeypatch.setattr(segmentations.Lattices, "build", small)
+    rows = list(segmentations.segmentations(lattices, ["a b", text, "c " + text[:5000] + " d"], [1, 2, 3], 3))
+    assert len(rows) == 9 and {segmentations.decode(lattices, np.frombuffer(ids, "<u4")) for d, _, ids, *_ in rows if d == 1} == {text}
+
+
 def labelled(spark, n=900):
     r = random.Random(3)
     rows, labels = [], []
