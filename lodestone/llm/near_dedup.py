@@ -15,11 +15,12 @@ Copies (equal word sequences) count as one node. Every node is first aligned
 with one leader (a bucket's shortest of about its length, of which most buckets
 agree); then with those of its leaders that are in other components. What that leaves apart is paired, in buckets
 of all sizes, wherever the rarest shingles meet: two sets of similarity 0.8
-share one of their rarest fifth (and one more), and as an edit changes two word
-pairs at most, texts of edit similarity 0.9 share one of the rarest fifth of
-their word pairs (and one more). So no such pair is lost, and a frequent
-passage makes none. No pair within a component is made, no bucket is cut off.
-Components are found by alternating stars.
+share one of their rarest fifth (and one more). An edit changes three shingles
+of three words at most and moves the others by one place, so texts of edit
+similarity 0.9 share one of the rarest three tenths of those (and one more), at
+places that differ by a tenth of their length at most. So no such pair is lost,
+and a frequent passage makes none. No pair within a component is made, no
+bucket is cut off. Components are found by alternating stars.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from .common import NULL_ID, REMEMBERED, Store, keyed, remember_only, tune
 
 WORDS, SKETCHES, TAKEN, SIMILARITY, EDIT = 5, 32, 3, 0.8, 0.9
 #: Shingles of so many words are counted for edit links.
-SHORT = 2
+SHORT = 3
 #: Word counts of one step of length differ by this factor at most.
 STEP = 1.12
 SEEDS = np.random.Generator(np.random.PCG64(11)).integers(1, 2**63, (SKETCHES, 2), np.uint64) | np.uint64(1)
@@ -326,7 +327,7 @@ def near(n: str, m: str) -> F.Column:
 
 def classes(docs: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
     """The described documents, and (node, root) for the nodes that have links."""
-    found = store.write(docs.mapInPandas(described, "d long, th int, node long, n int, sketch array<long>"), "described")
+    found = store.write(docs.mapInPandas(described, "d long, th long, node long, n int, sketch array<long>"), "described")
     nodes = found.groupBy("node").agg(F.min(F.struct("d", "th")).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     nodes = store.write(nodes.where("n > 0").select("node", "first.d", "first.th", "n", "sketch"), "nodes")
     keys = nodes.select("node", "n", F.explode("sketch").alias("key"))
@@ -344,10 +345,9 @@ def classes(docs: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
 
     def words(batches):
         for b in batches:
-            own = b[b.th == b.rth]
-            yield pd.DataFrame({"node": own.node, "w": [fingerprints(t).astype("<u4").tobytes() for t in own.text]})
+            yield pd.DataFrame({"node": b.node, "w": [fingerprints(t).astype("<u4").tobytes() for t in b.text]})
 
-    texts = docs.join(used.select("node", "d", F.col("th").alias("rth")), "d").mapInPandas(words, "node long, w binary")
+    texts = docs.join(used.select("node", "d", "th"), ["d", "th"]).mapInPandas(words, "node long, w binary")
     texts = store.write(texts.dropDuplicates(["node"]), "words")
     store.forget_shuffles()
 
@@ -389,39 +389,44 @@ def classes(docs: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
         def cut(batches):
             for b in batches:
                 for node, w, n, root in zip(b.node, b.w, b.n, b.root):
-                    h = labelled_shingles(shingles(np.frombuffer(w, "<u4").astype(np.uint64), k))
-                    yield pd.DataFrame({"h": h.view(np.int64), "node": node, "n": n, "root": root, "size": len(h)})
+                    h = shingles(np.frombuffer(w, "<u4").astype(np.uint64), k)
+                    _, kind, count = np.unique(h, return_inverse=True, return_counts=True)
+                    place = np.where(count[kind] == 1, np.arange(len(h)), -1)
+                    yield pd.DataFrame({"h": labelled_shingles(h).view(np.int64), "node": node, "n": n, "root": root, "size": len(h), "place": place})
 
-        rows = store.write(source.mapInPandas(cut, "h long, node long, n int, root long, size int"), name)
+        # the place is -1 for shingles that a text repeats: which of them are the same is open
+        rows = store.write(source.mapInPandas(cut, "h long, node long, n int, root long, size int, place int"), name)
         frequent = rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
         own = Window.partitionBy("node")
         # shingles that no other has come first, and only the others can be common
         shared = F.count("*").over(own)
         rank = F.row_number().over(own.orderBy("df", "h")) + F.col("size") - shared
         found = rows.join(frequent, "h").withColumn("shared", shared).withColumn("rank", rank).where(F.col("rank") <= F.col("size") - least + 1).where(F.col("shared") >= least)
-        found = store.write(found.select("h", "node", "n", "root", "size", "shared"), f"{name}-rarest")
+        found = store.write(found.select("h", "node", "n", "root", "size", "shared", "place"), f"{name}-rarest")
         apart = found.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
         return found.join(apart, "h", "left_semi")
 
     # the rarest shingles of two documents of SIMILARITY or more meet, whatever frequent passages they share
     enough = F.least("ashared", "bshared") >= SIMILARITY / (1 + SIMILARITY) * (F.col("asize") + F.col("bsize")) - 1e-6
     alike = paired(rarest("shingles", WORDS, F.ceil(SIMILARITY * F.col("size") - 1e-9)), "h", "size", "shared", that=enough)
-    # and so do the rarest word pairs of two documents that EDIT links, as each edit changes SHORT of the longer one's at most
+    # and so do the rarest short shingles of two documents that EDIT links, as each edit changes SHORT of the longer one's at most
     longer = F.greatest("an", "bn")
-    enough = F.least("ashared", "bshared") >= longer - SHORT + 1 - SHORT * F.floor((1 - EDIT) * longer + 1e-9)
-    enough &= F.abs(F.col("an") - F.col("bn")) <= (1 - EDIT) * longer + 1e-9
+    most = F.floor((1 - EDIT) * longer + 1e-9)
+    enough = F.least("ashared", "bshared") >= longer - SHORT + 1 - SHORT * most
+    enough &= F.abs(F.col("an") - F.col("bn")) <= most
+    enough &= (F.col("aplace") < 0) | (F.col("bplace") < 0) | (F.abs(F.col("aplace") - F.col("bplace")) <= most)
     kept = F.ceil((1 - SHORT * (1 - EDIT)) * F.col("n") - SHORT + 1 - 1e-6)
-    edited = paired(rarest("short", SHORT, kept).where(F.col("n") >= 9), "h", "shared", that=enough)
+    edited = paired(rarest("short", SHORT, kept).where(F.col("n") >= 9), "h", "shared", "place", that=enough)
     rest = alike.unionByName(edited)
     rest = rest.distinct().join(stars, ["a", "b"], "left_anti")
     roots = merged(roots, links(rest, "links3"), "third")
-    store.drop("open", "keys", "stars", "tried", "words", "links1", "links2", "links3")
+    store.drop("open", "keys", "stars", "tried", "words", "apart", "shingles", "shingles-rarest", "short", "short-rarest", "nodes", "links1", "links2", "links3")
     store.forget_shuffles()
     return found, roots
 
 
 def prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return keyed(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("d"), F.hash("text").alias("th"), "text")
+    return keyed(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("d"), F.xxhash64("text").alias("th"), "text")
 
 
 def labelled(docs: DataFrame, store: Store) -> DataFrame:
@@ -452,7 +457,7 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     rows = labelled(prepared(docs, id_col, text_col), store)
     keep = store.write(rows.groupBy("root").agg(F.min(F.struct("d", "th")).alias("k")).select(F.col("k.d").alias("__lodestone_d"), F.col("k.th").alias("__lodestone_th")).distinct(), "keep")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    tagged = docs.withColumn("__lodestone_d", F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))).withColumn("__lodestone_th", F.hash(text))
+    tagged = docs.withColumn("__lodestone_d", F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))).withColumn("__lodestone_th", F.xxhash64(text))
     kept = tagged.join(keep, ["__lodestone_d", "__lodestone_th"], "left_semi")
     repeated = rows.groupBy("d", "th").count().where("count > 1").join(keep.select(F.col("__lodestone_d").alias("d"), F.col("__lodestone_th").alias("th")), ["d", "th"], "left_semi")
     if not repeated.isEmpty():

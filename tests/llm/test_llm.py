@@ -267,6 +267,38 @@ def test_secret_patterns(spark, odd):
     assert secrets.redact(odd).count() == len(odd_rows()) and secrets.find(odd.limit(0)).count() == 0
 
 
+def test_families_of_two_that_only_edits_link(spark):
+    """Of 400 pairs with an edit similarity of 0.92 and a low Jaccard similarity none that shares a sketch is lost, in buckets of every size: half of the texts share a passage."""
+    r = random.Random(13)
+    passage = [f"p{j}" for j in range(30)]
+    rows = {}
+    for i in range(400):
+        own = [f"v{r.randrange(3000)}" for _ in range(100 if i % 2 else 70)]
+        base = own if i % 2 else own[:35] + passage + own[35:]
+        other = base[:]
+        for p in r.sample([p for p in range(100) if i % 2 or not 35 <= p < 65], 8):
+            other[p] = f"e{r.randrange(10**9)}"
+        rows[2 * i], rows[2 * i + 1] = " ".join(base), " ".join(other)
+    frame = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = {x.doc_id: x.class_id for x in near_dedup.near_duplicates(frame).collect()}
+    words = {d: near_dedup.fingerprints(t) for d, t in rows.items()}
+    meet = [i for i in range(400) if (near_dedup.sketches(words[2 * i]) == near_dedup.sketches(words[2 * i + 1])).any()]
+    assert len(meet) > 250 and near_dedup.similar([(words[2 * i], words[2 * i + 1]) for i in range(400)]).all()
+    assert [i for i in meet if got[2 * i] != got[2 * i + 1]] == []
+    assert all(got[d] in (d, d - d % 2) for d in rows)
+
+
+def test_near_duplicates_without_ids(spark):
+    """Very many different texts without an id are texts of their own; copies among them are one."""
+    r = random.Random(3)
+    texts_ = [" ".join(f"v{r.randrange(3000)}" for _ in range(30)) for _ in range(300)]
+    frame = spark.createDataFrame([(None, t) for t in [*texts_, *texts_[:50]]] + [(5, texts_[0])], "doc_id long, text string")
+    kept = near_dedup.one_of_each(frame)
+    assert sorted(x.text for x in kept.collect()) == sorted(texts_)
+    rows = near_dedup.near_duplicates(frame).collect()
+    assert len(rows) == 351 and sum(x.class_id == 5 for x in rows) == 3
+
+
 def scanned(text):
     """The base spans by a scan of its own, character by character: (kind, start, end)."""
     plain, alnum = set("+/_.=-"), set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
