@@ -13,14 +13,15 @@ unique and leaves, the others are reranked by the rank at a further offset:
    windows share it, so about one position in 35 stands for all of them.
 2. The anchors left are reranked by all bytes that their windows cover. All
    but the first of a rank repeat as a whole, and the first stands for them.
-3. The windows of the anchors left are positions of their own from here on.
-   64 bytes: the rank is that of the 32 bytes there and the 32 after them.
-4. `length` bytes, past the threshold, which ends the doubling: the rank is the
-   pair of the 64 bytes there and the last 64. Of those with equal rank, all but
-   the first are repeats.
+3. 64 bytes: the ranks of the 32 before and the 32 at the anchor, and of the 64
+   from it on. Every window covers one of these strings or both; those that
+   cover a unique one leave.
+4. `length` bytes, past the threshold, which ends the doubling: the windows left
+   are positions of their own, ranked by the pair of their first 64 bytes and
+   the last 64. Of those with equal rank all but the first are repeats.
 
 Ranks are 64-bit fingerprints and two of them decide, 128 bits in all.
-Nothing of the corpus reaches the driver; texts are read three times and no
+Nothing of the corpus reaches the driver; texts are read three times, and no
 task holds more than a batch of texts. A rank that very many positions have is
 counted in partial sums, and its positions are split over tasks by the joins.
 """
@@ -45,8 +46,11 @@ GRAM = 32
 CHUNK, PLACE = 1 << 19, 21
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 BYTES = np.random.Generator(np.random.PCG64(7)).integers(0, 2**64, 256, np.uint64)
-#: Bits of a place for the windows of a run; what is above them is its first window.
-WINDOWS = 7
+#: Bits of a place for the windows of a run, and for where its anchor is from the first of them on; what is above them is that first window.
+WINDOWS, ANCHOR = 7, 8
+FIRST = WINDOWS + ANCHOR
+#: Bytes of a string that this layout and the three rounds hold for.
+LENGTHS = (3 * GRAM, 128 + GRAM - 2)
 
 
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -72,7 +76,7 @@ def ranks(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> dict[str, np.ndarray]:
     """The runs of windows of equal anchor in texts that stand one after another in data.
 
-    first: a run's first window; windows: how many; rank: of its anchor's 32 bytes; cover: of all its bytes.
+    first: a run's first window; windows: how many; anchor: where it is from the first on; rank: of its 32 bytes; cover: of all bytes.
     """
     r32, r64 = ranks(data)
     grams = length - GRAM + 1
@@ -100,7 +104,7 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> dict[str, np.nda
     last = np.flatnonzero(stop)
     anchor, size = at[first], last - first + length
     cover = mix(mix(r64[first], r64[first + (size - 64) // 2]), mix(r64[last + length - 64], (size * 256 + anchor - first).astype(np.uint64) * M1))
-    return {"first": first, "windows": last - first + 1, "rank": r32[anchor], "cover": cover}
+    return {"first": first, "windows": last - first + 1, "anchor": anchor - first, "rank": r32[anchor], "cover": cover}
 
 
 def chunks(batches: Iterator[pd.DataFrame], length: int) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
@@ -125,43 +129,64 @@ def chunks(batches: Iterator[pd.DataFrame], length: int) -> Iterator[tuple[list,
 
 
 def found(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
-    """The sampled positions with their ranks; place: a run's first window and the number of its windows."""
+    """The sampled positions with their ranks; place: a run's first window, where its anchor is, and the number of its windows."""
     remember_only()
     for keys, base, data, ends in chunks(batches, length):
         a = anchors(data, ends, length)
         doc = np.searchsorted(ends, a["first"], side="right")
         start = np.concatenate([[0], ends[:-1]])
         d, o = np.array([k[0] for k in keys], np.int64), np.array([k[1] for k in keys], np.int64)
-        place = (a["first"] - start[doc] + base[doc]) << WINDOWS | a["windows"]
+        place = (a["first"] - start[doc] + base[doc]) << FIRST | a["anchor"] << WINDOWS | a["windows"]
         yield pd.DataFrame({"rank": a["rank"].view(np.int64), "cover": a["cover"].view(np.int64), "d": d[doc], "o": o[doc], "place": place})
 
 
-def windows(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
-    """A row for each window of the pending runs: the ranks of its first and its last 64 bytes, and its place."""
+def with_bytes(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
+    """The pending runs with the bytes that their windows cover."""
     remember_only()
-    wide = np.arange(2 * length - GRAM)
-    held: list[tuple] = []
-    size = 0
+    for b in batches:
+        for d, o, text, places in zip(b.d, b.o, b.text, b.places):
+            data = text.encode("utf-8", "surrogatepass")
+            first, n = np.asarray(places) >> FIRST, np.asarray(places) & ((1 << WINDOWS) - 1)
+            for at in range(0, len(places), 10_000):
+                own = slice(at, at + 10_000)
+                yield pd.DataFrame({"d": d, "o": o, "place": places[own], "data": [data[x : x + y + length - 1] for x, y in zip(first[own].tolist(), n[own].tolist())]})
+
 
-    def ranked() -> pd.DataFrame:
-        data = np.concatenate([h[0] for h in held])
-        d, o, place = (np.concatenate([h[i] for h in held]) for i in (1, 2, 3))
-        _, r64 = ranks(data)
-        i, w = np.nonzero(np.arange(length - GRAM + 1) < (place & ((1 << WINDOWS) - 1))[:, None])
-        return pd.DataFrame({"x": r64[i, w].view(np.int64), "y": r64[i, w + length - 64].view(np.int64), "d": d[i], "o": o[i], "place": (((place[i] >> WINDOWS) + w) << WINDOWS) | 1})
+def matrix(rows: pd.DataFrame, length: int) -> tuple[np.ndarray, ...]:
+    """The bytes of runs as rows of equal width; the bytes there are, where the anchor is, and the number of windows."""
+    size = rows.data.str.len().to_numpy()
+    data = np.zeros((len(rows), 2 * length - GRAM), np.uint8)
+    data[np.arange(data.shape[1]) < size[:, None]] = np.frombuffer(b"".join(rows.data), np.uint8)
+    place = rows.place.to_numpy()
+    return data, size, place >> WINDOWS & ((1 << ANCHOR) - 1), place & ((1 << WINDOWS) - 1)
 
+
+def sides(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
+    """The ranks of the 64 bytes around the anchor (side 0) and from it on (1), where windows cover them."""
+    remember_only()
     for b in batches:
-        for d, o, text, places in zip(b.d, b.o, b.text, b.places):
-            data, places = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), np.asarray(places, np.int64)
-            for at in range(0, len(places), 2000):
-                own = places[at : at + 2000]
-                held.append((data[np.minimum((own >> WINDOWS)[:, None] + wide, len(data) - 1)], np.full(len(own), d), np.full(len(own), o), own))
-                size += len(own)
-                if size >= 2000:
-                    yield ranked()
-                    held, size = [], 0
-    if held:
-        yield ranked()
+        for at in range(0, len(b), 2000):
+            rows = b.iloc[at : at + 2000]
+            data, size, anchor, n = matrix(rows, length)
+            _, r64 = ranks(data)
+            for side, begin in enumerate((anchor - GRAM, anchor)):
+                own = np.flatnonzero((begin >= 0) & (begin + 64 <= size))
+                yield pd.DataFrame({"rank": r64[own, begin[own]].view(np.int64), "side": side, "d": rows.d.to_numpy()[own], "o": rows.o.to_numpy()[own], "place": rows.place.to_numpy()[own]})
+
+
+def windows(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
+    """A row for each window that covers no unique string: the ranks of its first and its last 64 bytes, and its place."""
+    remember_only()
+    for b in batches:
+        for at in range(0, len(b), 2000):
+            rows = b.iloc[at : at + 2000]
+            data, size, anchor, n = matrix(rows, length)
+            _, r64 = ranks(data)
+            w = np.arange(length - GRAM + 1)
+            left, right = w <= (anchor - GRAM)[:, None], w + length >= (anchor + 64)[:, None]
+            i, w = np.nonzero((w < n[:, None]) & (~left | rows.left.to_numpy()[:, None]) & (~right | rows.right.to_numpy()[:, None]))
+            place = ((rows.place.to_numpy()[i] >> FIRST) + w) << FIRST | 1
+            yield pd.DataFrame({"x": r64[i, w].view(np.int64), "y": r64[i, w + length - 64].view(np.int64), "d": rows.d.to_numpy()[i], "o": rows.o.to_numpy()[i], "place": place})
 
 
 #: The order of positions: documents by id, then those that share one, then places.
@@ -191,6 +216,8 @@ def firsts(rows: DataFrame, store: Store, name: str, *rank: str) -> DataFrame:
 
 def repeats(docs: DataFrame, store: Store, *, length: int = 100) -> DataFrame:
     """(d, o, places): for each document with repeats, its runs of windows that also start earlier."""
+    if not LENGTHS[0] <= length <= LENGTHS[1]:
+        raise ValueError(f"length must lie between {LENGTHS[0]} and {LENGTHS[1]}")
     is_later = later({c: F.col(f"f{c}") for c in ORDER})
     kind = "d long, o long, place long"
     # 32 bytes: the anchors
@@ -205,28 +232,32 @@ def repeats(docs: DataFrame, store: Store, *, length: int = 100) -> DataFrame:
     store.forget_shuffles()
     several = shared_ranks(classes, store, "several", "rank")
     pending = classes.join(several, "rank").groupBy(F.col("fd").alias("d"), F.col("fo").alias("o")).agg(F.collect_list("fplace").alias("places"))
-    positions = docs.join(pending, ["d", "o"]).mapInPandas(lambda it: windows(it, length), f"x long, y long, {kind}")
-    positions = store.write(positions, "windows")
+    runs = store.write(docs.join(pending, ["d", "o"]).mapInPandas(lambda it: with_bytes(it, length), f"{kind}, data binary"), "pending")
     store.drop("classes", "several")
     store.forget_shuffles()
-    # 64 bytes
-    positions = store.write(positions.join(shared_ranks(positions, store, "ranks64", "x"), "x"), "left64")
-    store.drop("windows", "ranks64")
+    # 64 bytes, on either side of the anchor
+    around = store.write(runs.mapInPandas(lambda it: sides(it, length), f"rank long, side int, {kind}"), "sides")
+    around = around.join(shared_ranks(around, store, "ranks64", "rank", "side"), ["rank", "side"])
+    alike = around.groupBy(*ORDER).agg(F.max(F.col("side") == 0).alias("left"), F.max(F.col("side") == 1).alias("right"))
+    runs = store.write(runs.join(alike, [*ORDER]), "left64")
+    store.drop("pending", "sides", "ranks64")
     store.forget_shuffles()
-    # past the threshold
-    repeated = positions.groupBy("x", "y").agg(F.min(F.struct(*ORDER)).alias("first"), F.count("*").alias("n")).where("n > 1")
-    repeated = store.write(repeated.select("x", "y", *(F.col("first")[c].alias(f"f{c}") for c in ORDER)), "ranks100")
-    store.forget_shuffles()
-    parts = store.write(positions.join(repeated, ["x", "y"]).where(is_later).select(*ORDER), "parts")
+    # past the threshold: the windows
+    positions = runs.mapInPandas(lambda it: windows(it, length), f"x long, y long, {kind}")
+    positions = store.write(positions.join(shared_ranks(positions, store, "ranks100", "x", "y"), ["x", "y"]), "left100")
     store.drop("left64", "ranks100")
     store.forget_shuffles()
+    first = firsts(positions, store, "first100", "x", "y")
+    parts = store.write(positions.join(first, ["x", "y"]).where(is_later).select(*ORDER), "parts")
+    store.drop("left100", "first100")
+    store.forget_shuffles()
     return whole.unionByName(parts).groupBy("d", "o").agg(F.collect_list("place").alias("places"))
 
 
 def spans(places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Maximal removed runs (starts, ends) of one text, in bytes."""
     places = np.sort(places)
-    first = places >> WINDOWS
+    first = places >> FIRST
     if not len(first):
         return first, first
     end = np.maximum.accumulate(first + (places & ((1 << WINDOWS) - 1)) - 1 + length)
@@ -235,11 +266,6 @@ def spans(places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return first[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(first) - 1)]
 
 
-def text_key(text: Column) -> list[Column]:
-    """What tells the texts of one id apart: a 64-bit hash and the length."""
-    return [F.xxhash64(text).alias("h"), F.length(text).alias("l")]
-
-
 def with_order(rows: DataFrame, text: Column) -> DataFrame:
     """The rows, which have an id d, with o: 0 where an id has a single text, else the text's number among all such texts.
 
