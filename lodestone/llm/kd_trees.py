@@ -4,7 +4,7 @@ Nodes are split at the median of their widest dimension and have tight
 bounding boxes. No row in a box can score more than the sum of the larger of
 query * low and query * high over the dimensions, so nodes are taken best bound
 first, and a shard is done when the best bound is below the k-th score, which
-goes along from shard to shard.
+goes along from shard to shard; those with the longest vectors come first.
 """
 
 from __future__ import annotations
@@ -44,12 +44,15 @@ def build(names: list[np.ndarray], x: np.ndarray) -> dict:
     return {"names": names, "x": x, "low": np.array(low), "high": np.array(high), "children": children, "leaves": leaves}
 
 
-def look(index: dict, queries: np.ndarray, best: Best) -> None:
-    x, names = index["x"], index["names"]
+def look(index: dict, best: Best) -> None:
+    x, names, queries = index["x"], index["names"], best.queries
     if max(np.abs(x).max(), np.abs(queries).max()) > EXACT:
         big, own = exactly(x), exactly(queries)
         for q in range(len(queries)):
-            best.offer(q, np.clip(big @ own[q], -(2**63), 2**63 - 1), names)
+            scores = big @ own[q]
+            if max(map(abs, scores)) >= 2**63:
+                raise OverflowError("an inner product does not fit into 64 bits")
+            best.offer(q, scores, names)
         return
     bounds = np.maximum(queries, 0) @ index["high"].T + np.minimum(queries, 0) @ index["low"].T
     for q in range(len(queries)):
@@ -82,6 +85,8 @@ def top(vectors: DataFrame, *, every: int = 50, k: int = 5, scale: int = 256, id
     """(query_id, rank, vec_id, score long): for each row whose id is divisible by `every` its k highest inner products of floor(scale * x).
 
     Vectors that are null or hold a null or a non-finite component take no
-    part, nor do rows without an id; zero vectors do.
+    part, nor do rows without an id; zero vectors do. Repeated rows, repeated
+    ids, ties and empty tables are as in `search`. A score beyond 64 bits is an
+    error.
     """
     return search(vectors, "kd", F.col("id") % every == 0, k, build, look, id_col=id_col, vector_col=vector_col, nonzero=False, convert=lambda x: np.floor(scale * x), score_type="long")

@@ -72,4 +72,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for what it can express: the integer products of all pairs. The rest are scores, alignments, encodings and packings."""
+    x = ", ".join(f"CAST(floor(256 * CAST(embedding[{i}] AS DOUBLE)) AS BIGINT) AS x{i}" for i in range(1, 65))
+    product = " + ".join(f"q.x{i} * c.x{i}" for i in range(1, 65))
+    whole = "embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR isnan(v) OR isinf(v))) = 0"
+    return {
+        "op7_exact_top": f"""WITH ints AS (SELECT vec_id, {x} FROM embeddings WHERE vec_id IS NOT NULL AND {whole}),
+            scored AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, {product} AS score FROM ints q JOIN ints c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+            ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored)
+            SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 5"""
+    }

@@ -472,6 +472,48 @@ def test_forest_recall(spark, sf):
     assert np.mean(hits) >= 0.9
 
 
+def test_ties_and_recall_over_several_shards(spark, monkeypatch):
+    """Copies in all shards have equal scores and stand by id; odd columns and repeated ids; recall at 20,000 rows."""
+    r = np.random.default_rng(5)
+    x = r.standard_normal((20_000, 64)).astype("float32")
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    copies = list(range(40, 20_000, 333))
+    x[copies] = x[40]
+    rows = [(i, v.tolist(), 1, 2, "x") for i, v in enumerate(x)]
+    rows += rows[:50] + [(7, x[11].tolist(), 1, 2, "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, id long, `rank` int, score string")
+    asked = df.where("vec_id % 400 = 40 or vec_id % 20 <> 0")
+    found = {}
+    for row in rp_forest.nearest(asked).orderBy("query_id", "rank").collect():
+        found.setdefault(row.query_id, []).append((row.vec_id, row.score))
+    assert all([n for n, _ in enumerate(v, 1)] == list(range(1, 21)) for v in found.values()) and len(found) == 50
+    # of its copies a query has the 20 least ids but its own, all with the same score
+    assert [i for i, _ in found[40]] == [i for i in copies if i != 40 and (i % 400 == 40 or i % 20)][:20] and len({s for _, s in found[40]}) == 1
+    m, hits = x.astype(float), []
+    others = [i for i in range(20_000) if i % 400 == 40 or i % 20]
+    for q, own in found.items():
+        s = m[others] @ m[q]
+        best = [others[j] for j in np.argsort(-s, kind="stable") if others[j] != q][:20]
+        hits.append(len(set(best) & {i for i, _ in own}) / 20)
+        assert all(a[1] > b[1] or a[1] == b[1] and a[0] < b[0] for a, b in zip(own, own[1:]))
+        assert all(s == pytest.approx(m[i] @ m[q], abs=1e-9) for i, s in own if i != 7)
+    assert np.mean(hits) >= 0.9
+    monkeypatch.setattr(kd_trees, "LEAF", 16)
+    few = df.where("vec_id < 9000 and (vec_id % 500 = 0 or vec_id % 50 <> 0)")
+    ints = np.floor(256 * m)
+    got = {}
+    for row in kd_trees.top(few).orderBy("query_id", "rank").collect():
+        got.setdefault(row.query_id, []).append((row.vec_id, row.score))
+    ids = [i for i in range(9000) if i % 500 == 0 or i % 50]
+    for q in range(0, 9000, 500):
+        s = {i: int(ints[i] @ ints[q]) for i in ids if i != q}
+        s[7] = max(s[7], int(ints[11] @ ints[q]))  # an id that repeats has its best vector
+        assert got[q] == sorted(s.items(), key=lambda p: (-p[1], p[0]))[:5]
+    big = spark.createDataFrame([(0, [1e30]), (1, [1e30])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        kd_trees.top(big).collect()
+
+
 def test_segmentations(spark, docs, odd):
     lattices = segmentations.Lattices.of(PIECE)
     rows = segmentations.sample(docs, PIECE, with_ids=True).collect()
