@@ -88,9 +88,9 @@ def clipped(c: Column | str, low: float = 1.0, high: float = 5.0) -> Column:
 
 
 def quantized(c: Column | str) -> Column:
-    """1 to 5 by the steps -3, -1, 1 and 3."""
+    """1 to 5 by the steps -3, -1, 1 and 3; a value on a step belongs above it."""
     c = col(c)
-    return F.when(c <= -3, 1).when(c <= -1, 2).when(c <= 1, 3).when(c <= 3, 4).otherwise(5)
+    return F.when(c < -3, 1).when(c < -1, 2).when(c < 1, 3).when(c < 3, 4).otherwise(5)
 
 
 def mahalanobis(x: Column, mean: Column, std: Column, floor: float = 1e-9) -> Column:
@@ -104,11 +104,12 @@ def spread(n: Column, total: Column, squares: Column) -> Column:
     return F.zip_with(squares, total, lambda q, s: F.sqrt(F.greatest(q / n - F.pow(s / n, F.lit(2.0)), F.lit(0.0))))
 
 
-def vote(a: Column, b: Column, c: Column) -> Column:
-    """Of three predictions the mean of those that round alike; of all three where none or all do."""
-    ra, rb, rc = F.bround(a), F.bround(b), F.bround(c)
-    mean = (a + b + c) / 3
-    return F.when((ra == rb) & (rb == rc), mean).when(ra == rb, (a + b) / 2).when(ra == rc, (a + c) / 2).when(rb == rc, (b + c) / 2).otherwise(mean)
+def vote(x: Column, y: Column, z: Column) -> Column:
+    """The second of three predictions, clipped; rounded where all three round alike (halves to even) and two of them lie near that number, within 0.1, 0.2 and 0.1."""
+    near = lambda c, within: (F.abs(c - F.bround(c)) <= within).cast("int")
+    alike = (F.bround(x) == F.bround(y)) & (F.bround(z) == F.bround(y))
+    agreed = alike & (near(x, 0.1) + near(y, 0.2) + near(z, 0.1) >= 2)
+    return clipped(F.when(agreed, F.bround(y)).otherwise(y))
 
 
 def weighted(w: Column | float, a: Column, b: Column) -> Column:

@@ -20,6 +20,10 @@ from lodestone.plans.session import checkpoint, ship
 from .relational import loads
 
 
+#: Clusters that are sent to all tasks at once.
+CLUSTERS = 1024
+
+
 def summaries(assigned: DataFrame, cluster: str = "cluster") -> DataFrame:
     """(cluster, n, total, squares) of assigned points, by dimension, with partial sums before the shuffle."""
     each = assigned.select(cluster, F.posexplode("features").alias("d", "x"))
@@ -46,13 +50,18 @@ def with_shape(summary: DataFrame) -> DataFrame:
 def nearest(points: DataFrame, summary: DataFrame, within: float | None = None) -> DataFrame:
     """(id, features, cluster, distance): the nearest cluster of each point, the least number of ties; only below `within`.
 
-    There are a few clusters of a fixed number of dimensions, as many as asked
-    for when fitting, so they are sent to all tasks.
+    Clusters are sent to all tasks in groups of CLUSTERS, each group as one
+    array: a point finds its nearest in one expression, and only where there
+    are more groups a shuffle finds the best of them (ids must not repeat).
     """
-    d = scalar.mahalanobis(F.col("features"), F.col("mean"), F.col("std"))
-    best = F.min(F.struct(F.round(d, 9).alias("distance"), "cluster"))
-    rows = points.crossJoin(F.broadcast(with_shape(summary))).groupBy("id").agg(best.alias("b"), F.first("features").alias("features"))
-    out = rows.select("id", "features", "b.cluster", "b.distance")
+    n = summary.count()
+    groups = max(1, -(-n // CLUSTERS))
+    shaped = with_shape(summary).groupBy(F.pmod(F.hash("cluster"), F.lit(groups)).alias("group")).agg(F.collect_list(F.struct("cluster", "mean", "std")).alias("all"))
+    near = F.array_min(F.transform("all", lambda c: F.struct(F.round(scalar.mahalanobis(F.col("features"), c["mean"], c["std"]), 9).alias("distance"), c["cluster"].alias("cluster"))))
+    rows = points.crossJoin(F.broadcast(shaped) if groups == 1 else shaped).select("id", "features", near.alias("b"))
+    if groups > 1:
+        rows = rows.groupBy("id").agg(F.first("features").alias("features"), F.min("b").alias("b"))
+    out = rows.where("b is not null").select("id", "features", "b.cluster", "b.distance")
     return out if within is None else out.where(F.col("distance") < within)
 
 
@@ -138,14 +147,13 @@ def fit(points: DataFrame, k: int, *, rounds: int = 5, seed: int = 1, factor: fl
         cs, cs_members = checkpoint(added(cs, summaries(new_cs))), checkpoint(cs_members.unionByName(new_cs))
         n = rs.count()
         if n > 1:
-            found, rest = crowded(kmeans(rs, n // 2 + 1 if n < 1000 else 5 * k, seed))
+            found, rest = crowded(kmeans(rs, n // 2 + 1, seed))
             made = renumbered(found)
             rs = checkpoint(rest.select("id", "features"))
             cs, cs_members = checkpoint(cs.unionByName(summaries(made))), checkpoint(cs_members.unionByName(made))
-        for _ in range(20):
-            close = greedy([tuple(x) for x in mergeable(cs, cs, within).collect()])
-            if not close:
-                break
+        # each cluster merges once a round at most
+        close = greedy([tuple(x) for x in mergeable(cs, cs, within).collect()])
+        if close:
             names = spark.createDataFrame([(int(b), int(a)) for a, b in close.items()], "cluster int, into int")
             cs_members = checkpoint(cs_members.join(names, "cluster", "left").select("id", "features", F.coalesce("into", "cluster").alias("cluster")))
             cs = checkpoint(summaries(cs_members))

@@ -29,6 +29,7 @@ def vertices(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(id, component): the least id that a vertex is connected with. Labels travel along edges and jump to the label of their label."""
+    edges = checkpoint(edges.select("src", "dst"))  # they may be dear, and are read four times
     both = checkpoint(both_ways(edges))
     now = checkpoint((nodes if nodes is not None else vertices(edges)).select("id", F.col("id").alias("component")))
     while True:
@@ -43,6 +44,7 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
 
 def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     """(id, label): every round each vertex takes its neighbours' most frequent label, the least of ties."""
+    edges = checkpoint(edges.select("src", "dst"))
     both = checkpoint(both_ways(edges))
     now = vertices(edges).select("id", F.col("id").alias("label"))
     for _ in range(rounds):
@@ -118,18 +120,18 @@ def modularity(edges: DataFrame, labels: DataFrame, label: str = "component", cu
 def girvan_newman(edges: DataFrame, patience: int = 10, compat: bool = False) -> tuple[DataFrame, float]:
     """(id, component) of the best modularity, and that. Each round cuts all edges tied at the highest betweenness.
 
-    Ends without edges, or after so many rounds in a row that do not improve.
-    The driver keeps the best modularity; the cut set of a round is a join.
+    Ends without edges, or after so many rounds in a row that are no better than
+    the round before. The driver keeps the best modularity; the cut set of a round is a join.
     """
     nodes, original = checkpoint(vertices(edges)), checkpoint(edges.select("src", "dst"))
-    now, best, kept, waited = original, None, None, 0
+    now, best, kept, waited, last = original, None, None, 0, -1.0
     while True:
         found = components(now, nodes)
         score = modularity(original, found, current=now if compat else None).first()[0] or 0.0
+        waited = 0 if score > last + 1e-12 else waited + 1
         if best is None or score > best + 1e-12:
-            best, kept, waited = score, found, 0
-        else:
-            waited += 1
+            best, kept = score, found
+        last = score
         if waited >= patience or now.isEmpty():
             return kept, best
         scored = checkpoint(betweenness(now, compat))

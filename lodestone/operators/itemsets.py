@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.ml.fpm import FPGrowth
@@ -66,31 +67,44 @@ def fp_growth(df: DataFrame, support: int, most: int | None = None) -> DataFrame
     return found.where(F.size("items") <= most) if most else found
 
 
-def candidates_by_partition(df: DataFrame, support: int, most: int = 3) -> DataFrame:
-    """Items' and pairs' local candidates of the two-phase scheme: those that reach their share of the support in some slice.
-
-    Slices are by hash of the basket. A globally frequent set reaches its share in one of them, so none is lost.
-    """
-    sliced = df.distinct().withColumn("slice", F.pmod(F.xxhash64("basket"), F.lit(8)))
+def local_levels(df: DataFrame, support: int, most: int | None, slices: int) -> Iterator[DataFrame]:
+    """Level by level the sets (i1, ..., ik) that reach their share of the support in some slice; slices are by hash of the basket."""
+    rows = checkpoint(df.distinct().withColumn("slice", F.pmod(F.xxhash64("basket"), F.lit(slices))))
     total = df.select("basket").distinct().count()
-    size = sliced.groupBy("slice").agg(F.count_distinct("basket").alias("n"))
-    local = sliced.groupBy("slice", "item").agg(F.count("*").alias("c")).join(size, "slice").where(F.col("c") >= F.floor(F.lit(support) * F.col("n") / max(1, total)))
-    singles = local.select(F.array("item").alias("items")).distinct()
-    if most < 2:
-        return singles
-    kept = sliced.join(local.select("slice", "item"), ["slice", "item"], "left_semi")
-    both = kept.join(kept.withColumnRenamed("item", "other"), ["slice", "basket"]).where("item < other")
-    pairs = both.groupBy("slice", "item", "other").agg(F.count("*").alias("c")).join(size, "slice").where(F.col("c") >= F.floor(F.lit(support) * F.col("n") / max(1, total)))
-    return singles.unionByName(pairs.select(F.array("item", "other").alias("items")).distinct())
-
-
-def two_phase(df: DataFrame, support: int) -> DataFrame:
-    """Local candidates of up to two items, then their exact counts."""
-    wanted = candidates_by_partition(df, support, 2)
-    rows = df.distinct()
-    single = rows.groupBy(F.array("item").alias("items")).agg(F.count("*").alias("freq"))
-    pair = rows.join(rows.withColumnRenamed("item", "other"), "basket").where("item < other").groupBy(F.array("item", "other").alias("items")).agg(F.count("*").alias("freq"))
-    return single.unionByName(pair).join(wanted, "items", "left_semi").where(F.col("freq") >= support)
+    least = rows.groupBy("slice").agg(F.count_distinct("basket").alias("n")).select("slice", F.greatest(F.lit(1), F.ceil(F.lit(support) * F.col("n") / max(1, total))).alias("least"))
+    held, k = rows.select("slice", "basket", F.col("item").alias("i1")), 1
+    while most is None or k <= most:
+        names = [f"i{n}" for n in range(1, k + 1)]
+        local = held.groupBy("slice", *names).agg(F.count("*").alias("c")).join(least, "slice").where("c >= least").select("slice", *names)
+        local = checkpoint(local)
+        if local.isEmpty():
+            return
+        yield local.select(*names).distinct()
+        # the baskets' sets that are left, each longer by a later item
+        held = held.join(local, ["slice", *names], "left_semi").join(rows.select("slice", "basket", F.col("item").alias(f"i{k + 1}")), ["slice", "basket"]).where(F.col(f"i{k + 1}") > F.col(f"i{k}"))
+        k += 1
+
+
+def candidates_by_partition(df: DataFrame, support: int, most: int | None = None, slices: int = 8) -> DataFrame:
+    """(items): local candidates of the two-phase scheme, of all sizes (of up to `most` items).
+
+    A globally frequent set reaches its share of the support in some slice, so none is lost.
+    """
+    levels = [level.select(F.array(*level.columns).alias("items")) for level in local_levels(df, support, most, slices)]
+    return reduce(DataFrame.unionByName, levels) if levels else df.select(F.array("item").alias("items")).limit(0)
+
+
+def two_phase(df: DataFrame, support: int, most: int | None = None, slices: int = 8) -> DataFrame:
+    """(items, freq): local candidates of all sizes, then the exact counts of those alone."""
+    rows = checkpoint(df.distinct())
+    counted = []
+    for level in local_levels(rows, support, most, slices):
+        held = rows.withColumnRenamed("item", "i1").join(level, "i1")
+        for name in level.columns[1:]:
+            held = held.join(rows.withColumnRenamed("item", name), ["basket", name], "left_semi")
+        found = held.groupBy(F.array(*level.columns).alias("items")).agg(F.count("*").alias("freq"))
+        counted.append(found.where(F.col("freq") >= support))
+    return reduce(DataFrame.unionByName, counted) if counted else df.select(F.array("item").alias("items"), F.lit(0).cast("long").alias("freq")).limit(0)
 
 
 def pair_buckets(df: DataFrame, buckets: int = 500, number: Column | None = None) -> DataFrame:

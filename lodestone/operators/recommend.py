@@ -49,7 +49,8 @@ def predict(targets: DataFrame, ratings: DataFrame, pairs: DataFrame, n: int = 8
     The weighted mean of the neighbours' ratings. Without neighbours the mean
     of the user's and the item's averages; the known one where the other is
     missing; a constant where both are. Confidence is the similarity of the
-    last neighbour; 0.1, 0.05 and 0 on the steps below.
+    last neighbour; 0.1, 0.05 and 0 on the steps below. An item is no neighbour
+    of its own, so the prediction of a rated pair does not come from its rating.
     """
     near = neighbours(targets, ratings, pairs, n)
     w = F.pow(F.abs("correlation"), F.lit(float(power)))
@@ -91,7 +92,7 @@ def hybrid(cf: DataFrame, model: DataFrame, weight: float | str = 0.1) -> DataFr
 
 
 def voted(a: DataFrame, b: DataFrame, c: DataFrame) -> DataFrame:
-    """Of three models' predictions, by agreement after rounding."""
+    """Of three models' predictions the second, rounded where all agree."""
     on = ["user_id", "item_id"]
     rows = a.select(*on, F.col("prediction").alias("pa")).join(b.select(*on, F.col("prediction").alias("pb")), on).join(c.select(*on, F.col("prediction").alias("pc")), on)
     return rows.select(*on, scalar.vote(F.col("pa"), F.col("pb"), F.col("pc")).alias("prediction"))

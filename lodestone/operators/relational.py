@@ -168,5 +168,7 @@ def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
 
 
 def loads(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """Each row's load from 0 to n - 1, by the seeded hash."""
-    return df.withColumn("load", (F.conv(F.substring(seeded(seed, key), 1, 7), 16, 10).cast("long") % n).cast("int"))
+    """Each row's load from 0 to n - 1: slices of the order by seeded hash, of a rounded nth of the rows each, the rest in the last."""
+    size = max(1, round(df.count() / n))
+    placed = numbered(df.withColumn("__h", F.struct(seeded(seed, key), F.col(key))), "__h", "__n")
+    return placed.withColumn("load", F.least(F.floor(F.col("__n") / size), F.lit(n - 1)).cast("int")).drop("__h", "__n")

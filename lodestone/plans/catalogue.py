@@ -94,15 +94,15 @@ def semi_known(spark, sf):
     return relational.known(ratings(spark, sf), some, "user_id").groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.avg("stars"), 6).alias("mean"))
 
 
-def sampled_pairs(spark, sf):
-    users = relational.sample_fraction(table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id")), "user_id", 5, 1)
-    items = relational.sample_fraction(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("item_id")), "item_id", 20, 2)
-    return users.join(items, how="cross")  # two stated samples
+def pairs_of(spark, sf):
+    """Every rated pair, and each user with the item after every one that they rated."""
+    rated = ratings(spark, sf).select("user_id", "item_id")
+    return rated.unionByName(rated.select("user_id", (F.col("item_id") + 1).alias("item_id"))).distinct()
 
 
 @query
 def anti_unrated(spark, sf):
-    return relational.unknown(sampled_pairs(spark, sf), ratings(spark, sf), ["user_id", "item_id"])
+    return relational.unknown(pairs_of(spark, sf), ratings(spark, sf), ["user_id", "item_id"])
 
 
 @query
@@ -166,6 +166,12 @@ def five_loads(spark, sf):
     return relational.loads(table(spark, sf, "embeddings", "vec_id"), "vec_id", 5, 1).groupBy("load").agg(F.count("*").alias("n"), F.sum("vec_id").alias("s"))
 
 
+@query
+def dearest_parts(spark, sf):
+    """All parts that tie at the highest price."""
+    return relational.largest(table(spark, sf, "part", "p_partkey", "p_retailprice"), "p_retailprice")
+
+
 # Itemsets
 
 
@@ -174,10 +180,6 @@ def basket_build(spark, sf):
     return itemsets.baskets(readers.brand_baskets(spark, sf), 2).select("basket", F.array_join("items", ",").alias("items"), F.size("items").alias("n"))
 
 
-def orders_of(spark, sf):
-    return table(spark, sf, "orders").count()
-
-
 def flat(df):
     return df.select(F.array_join("items", ",").alias("items"), "freq")
 
@@ -206,6 +208,11 @@ def frequent_itemsets_fpgrowth(spark, sf):
 
 @query
 def two_phase_pairs(spark, sf):
+    return flat(itemsets.two_phase(readers.brand_baskets(spark, sf), 20, most=2))
+
+
+@query
+def two_phase_itemsets(spark, sf):
     return flat(itemsets.two_phase(readers.brand_baskets(spark, sf), 20))
 
 
@@ -233,13 +240,13 @@ def buyers(spark, sf):
 
 @query
 def minhash_signatures(spark, sf):
-    signed = similarity.signatures(buyers(spark, sf), similarity.coefficients(6))
-    return signed.select("item", *(F.col("signature")[i].alias(f"h{i}") for i in range(6)))
+    signed = similarity.signatures(buyers(spark, sf), similarity.coefficients(60))
+    return signed.select("item", *(F.col("signature")[i].alias(f"h{i}") for i in range(60)))
 
 
 @query
 def lsh_candidates(spark, sf):
-    return similarity.candidates(similarity.signatures(buyers(spark, sf), similarity.coefficients(6)), 3, 2)
+    return similarity.candidates(similarity.signatures(buyers(spark, sf), similarity.coefficients(60)), 30, 2)
 
 
 @query
@@ -250,7 +257,7 @@ def jaccard_exact(spark, sf):
 @query
 def lsh_verified(spark, sf):
     rows = buyers(spark, sf)
-    pairs = similarity.candidates(similarity.signatures(rows, similarity.coefficients(6)), 3, 2)
+    pairs = similarity.candidates(similarity.signatures(rows, similarity.coefficients(60)), 30, 2)
     return similarity.jaccard(rows, 0.1, pairs).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
@@ -276,8 +283,13 @@ def pearson_pairs(spark, sf):
 
 
 def targets(spark, sf):
-    """Sampled pairs, rated or not, and two that nobody knows."""
-    return sampled_pairs(spark, sf).unionByName(spark.createDataFrame([(-1, 1), (-1, -1)], "user_id long, item_id long"))
+    """Every rated pair, and two that nobody knows."""
+    return ratings(spark, sf).select("user_id", "item_id").unionByName(spark.createDataFrame([(-1, 1), (-1, -1)], "user_id long, item_id long"))
+
+
+def steady(c, digits):
+    """Rounded twice, so that a last bit does not decide a tie."""
+    return F.round(F.round(c, 9), digits)
 
 
 @query
@@ -290,14 +302,14 @@ def topn_neighbours(spark, sf):
 @query
 def cf_predict(spark, sf):
     rows = ratings(spark, sf)
-    return recommend.predict(targets(spark, sf), rows, recommend.item_pairs(rows, 3), 8).select("user_id", "item_id", F.round("prediction", 5).alias("prediction"), F.round("confidence", 5).alias("confidence"))
+    return recommend.predict(targets(spark, sf), rows, recommend.item_pairs(rows, 3), 8).select("user_id", "item_id", steady("prediction", 5).alias("prediction"), steady("confidence", 5).alias("confidence"))
 
 
 @query
 def cold_start(spark, sf):
     users, items = recommend.averages(ratings(spark, sf))
     rows = targets(spark, sf).join(users, "user_id", "left").join(items, "item_id", "left")
-    return rows.select("user_id", "item_id", F.round(recommend.fallback(F.lit(None).cast("double"), 2.5), 6).alias("prediction"))
+    return rows.select("user_id", "item_id", steady(recommend.fallback(F.lit(None).cast("double"), 2.5), 6).alias("prediction"))
 
 
 def supplier_profiles(spark, sf):
@@ -314,20 +326,20 @@ def blend_similarity(spark, sf):
 
 def means_model(spark, sf, side):
     users, items = recommend.averages(ratings(spark, sf))
-    rows = sampled_pairs(spark, sf)
+    rows = ratings(spark, sf).select("user_id", "item_id")
     return rows.join(users, "user_id").select("user_id", "item_id", F.col("user_mean").alias("prediction")) if side == "user" else rows.join(items, "item_id").select("user_id", "item_id", F.col("item_mean").alias("prediction"))
 
 
 @query
 def hybrid_blend(spark, sf):
-    return recommend.hybrid(means_model(spark, sf, "user"), means_model(spark, sf, "item"), 0.1).select("user_id", "item_id", F.round("prediction", 6).alias("prediction"))
+    return recommend.hybrid(means_model(spark, sf, "user"), means_model(spark, sf, "item"), 0.1).select("user_id", "item_id", steady("prediction", 6).alias("prediction"))
 
 
 @query
 def vote_blend(spark, sf):
     a, b = means_model(spark, sf, "user"), means_model(spark, sf, "item")
     c = b.withColumn("prediction", F.lit(3.25))
-    return recommend.voted(a, b, c).select("user_id", "item_id", F.round("prediction", 6).alias("prediction"))
+    return recommend.voted(a, b, c).select("user_id", "item_id", steady("prediction", 6).alias("prediction"))
 
 
 # Features and evaluation
@@ -340,31 +352,57 @@ def rating_features(spark, sf):
     return users.join(counts, "user_id"), items
 
 
+def people(spark, sf):
+    """Customers with what their orders tell, named as users' fields are."""
+    o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("user_id")).agg(
+        F.count("*").alias("review_count"), F.date_format(F.min("o_orderdate"), "yyyy-MM-dd").alias("yelping_since"), F.count_if(F.col("o_orderstatus") == "F").alias("useful"), F.count_if(F.col("o_orderstatus") == "O").alias("funny"),
+        F.count_if(F.col("o_orderstatus") == "P").alias("cool"), F.count_if(F.col("o_orderpriority") == "5-LOW").alias("fans"), F.avg("o_totalprice").alias("average_stars"),
+        F.count_if(F.substring("o_orderpriority", 1, 1) == "1").alias("compliment_hot"), F.count_if(F.substring("o_orderpriority", 1, 1) == "2").alias("compliment_more"),
+    )
+    text = F.when(F.col("user_id") % 4 == 0, "None").otherwise(F.repeat(F.lit("x,"), (F.col("user_id") % 3).cast("int")))
+    return o.withColumn("friends", F.concat(text, F.when(F.col("user_id") % 4 == 0, "").otherwise("x"))).withColumn("elite", F.lit("2010,2011"))
+
+
+def rounded(df, columns, digits=4):
+    return df.select("user_id", "item_id", *(steady(c, digits).alias(c) for c in columns))
+
+
 @query
 def features_base(spark, sf):
-    users, items = rating_features(spark, sf)
-    rows = features.joined(sampled_pairs(spark, sf), users, items)
-    return rows.select("user_id", "item_id", *(F.round(c, 4).alias(c) for c in ("u_acctbal", "u_orders", "u_price", "i_acctbal")))
+    """Eight columns of every rated pair and two unknown ones."""
+    items = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("item_id"), F.col("s_acctbal").alias("stars"), F.col("s_nationkey").alias("review_count"))
+    return rounded(features.base_features(targets(spark, sf), people(spark, sf), items), features.BASE)
 
 
 @query
 def features_rich(spark, sf):
-    o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("user_id")).agg(
-        F.count("*").alias("review_count"), F.date_format(F.min("o_orderdate"), "yyyy-MM-dd").alias("yelping_since"), F.count_if(F.col("o_orderstatus") == "F").alias("useful"), F.count_if(F.col("o_orderstatus") == "O").alias("funny"),
-        F.count_if(F.col("o_orderstatus") == "P").alias("cool"), F.avg("o_totalprice").alias("average_stars"), F.count_if(F.substring("o_orderpriority", 1, 1) == "1").alias("compliment_hot"), F.count_if(F.substring("o_orderpriority", 1, 1) == "2").alias("compliment_more"),
-    )
-    text = F.when(F.col("user_id") % 4 == 0, "None").otherwise(F.repeat(F.lit("x,"), (F.col("user_id") % 3).cast("int")))
-    rich = features.user_features(o.withColumn("friends", F.concat(text, F.when(F.col("user_id") % 4 == 0, "").otherwise("x"))).withColumn("elite", F.lit("2010,2011")), "2000-01-01")
+    rich = features.user_features(people(spark, sf), "2000-01-01")
     return rich.select("user_id", "review_count", "history", "friends", "elite", "votes", "compliments", F.round("average_stars", 6).alias("average_stars"))
 
 
+def rich_rows(spark, sf, pairs):
+    businesses, checkins, photos = (df.withColumn("business_id", F.col("business_id").cast("long")) for df in places(spark, sf))
+    return features.rich_features(pairs, people(spark, sf), businesses, checkins, photos, "2000-01-01")
+
+
 @query
-def item_features(spark, sf):
+def features_rich_13(spark, sf):
+    """Thirteen columns of every rated pair and two unknown ones."""
+    return rounded(rich_rows(spark, sf, targets(spark, sf)), features.RICH)
+
+
+def places(spark, sf):
+    """Suppliers as businesses, summed maps as check-ins, returned lines as photos."""
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("business_id"), F.col("s_acctbal").alias("stars"), F.col("s_nationkey").alias("review_count"))
     e = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("business_id"), F.from_json("props", "map<string,bigint>").alias("time"))
-    once = e.groupBy("business_id").agg(F.first(F.create_map(F.lit("a"), F.lit(0).cast("bigint"))).alias("z"), F.sum(scalar.map_sum("time")).alias("t")).select("business_id", F.create_map(F.lit("all"), F.col("t")).alias("time"))
+    once = e.groupBy("business_id").agg(F.sum(scalar.map_sum("time")).alias("t")).select("business_id", F.create_map(F.lit("all"), F.col("t")).alias("time"))
     photos = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_suppkey").cast("string").alias("business_id"), F.col("l_orderkey").alias("photo_id"))
-    return features.item_features(s, once, photos)
+    return s, once, photos
+
+
+@query
+def item_features(spark, sf):
+    return features.item_features(*places(spark, sf))
 
 
 @query
@@ -373,7 +411,7 @@ def cf_feature(spark, sf):
     cf = recommend.predict(targets(spark, sf), rows, recommend.item_pairs(rows, 3), 8)
     users, items = rating_features(spark, sf)
     out = features.with_collaborative(features.joined(targets(spark, sf), users, items), cf)
-    return out.select("user_id", "item_id", F.round("u_orders", 4).alias("u_orders"), F.round("i_acctbal", 4).alias("i_acctbal"), F.round("cf", 5).alias("cf"))
+    return out.select("user_id", "item_id", steady("u_orders", 4).alias("u_orders"), steady("i_acctbal", 4).alias("i_acctbal"), steady("cf", 5).alias("cf"))
 
 
 def predicted(spark, sf):
@@ -401,12 +439,9 @@ def clip(spark, sf):
 # Models: the result depends on the library's own arithmetic
 
 
-COLUMNS = ["u_acctbal", "u_orders", "u_price", "i_acctbal"]
-
-
 def labelled(spark, sf):
-    users, items = rating_features(spark, sf)
-    return features.joined(ratings(spark, sf), users, items)
+    """Ratings with the thirteen columns."""
+    return rich_rows(spark, sf, ratings(spark, sf))
 
 
 def split(df, percent=10):
@@ -419,33 +454,33 @@ def split(df, percent=10):
 @query
 def gbt_predict(spark, sf):
     train, test = split(labelled(spark, sf))
-    model = models.boosted_trees(train, COLUMNS, trees=5, depth=3)
+    model = models.boosted_trees(train, features.RICH)
     return models.clipped_predictions(model, test).select("user_id", "item_id", "stars", "prediction")
 
 
 @query
 def cv_grid(spark, sf):
-    return models.grid_search(labelled(spark, sf), COLUMNS, depths=(2,), rates=(0.1, 0.3), trees=2, folds=2)[1]
+    return models.grid_search(labelled(spark, sf), features.RICH, trees=5)[1]
 
 
 @query
 def als_predict(spark, sf):
     rows = ratings(spark, sf).select(F.col("user_id").cast("int"), F.col("item_id").cast("int"), F.col("stars").cast("float"))
     train, test = split(rows)
-    return models.als(train, rank=5, rounds=3).transform(test).select("user_id", "item_id", F.col("prediction").cast("double"))
+    return models.als(train).transform(test).select("user_id", "item_id", F.col("prediction").cast("double"))
 
 
 @query
 def svd_predict(spark, sf):
     rows = ratings(spark, sf).select(F.col("user_id").cast("int"), F.col("item_id").cast("int"), "stars")
     train, test = split(rows)
-    return models.predict_biased(models.biased_factors(train, rank=5, rounds=3), test)
+    return models.predict_biased(models.biased_factors(train), test)
 
 
 @query
 def linear_regress(spark, sf):
     train, test = split(labelled(spark, sf))
-    return models.linear(train, COLUMNS).transform(test).select("user_id", "item_id", "prediction")
+    return models.linear(train, features.RICH).transform(test).select("user_id", "item_id", "prediction")
 
 
 @query
@@ -515,8 +550,7 @@ def sequence(spark, sf):
 
 @query
 def bloom_fpr(spark, sf):
-    small = [(3, 17), (5, 48)]
-    return sketches.bloom(sequence(spark, sf), 1000, 997, small).select("batch", "n_new", "n_false", F.round("fpr", 6).alias("fpr"), F.round("reported_fpr", 6).alias("reported_fpr"))
+    return sketches.bloom(sequence(spark, sf), 1000).select("batch", "n_new", "n_false", F.round("fpr", 6).alias("fpr"), F.round("reported_fpr", 6).alias("reported_fpr"))
 
 
 @query
@@ -561,16 +595,15 @@ def streaming_fm_estimate(spark, sf):
 @query
 def streaming_bloom_fpr(spark, sf):
     root = shared(spark, "bloom")
-    sketches.stream_bloom(event_stream(spark, sf), f"{root}/rows", f"{root}/log")
-    small = [(3, 17), (5, 48)]
-    return sketches.bloom(spark.read.parquet(f"{root}/rows"), 1000, 997, small).select("batch", "n_new", "n_false", F.round("fpr", 6).alias("fpr"), F.round("reported_fpr", 6).alias("reported_fpr"))
+    sketches.stream_bloom(event_stream(spark, sf), 1000, f"{root}/rows", f"{root}/log")
+    return sketches.bloom_counts(spark, f"{root}/rows").select("batch", "n_new", "n_false", F.round("fpr", 6).alias("fpr"), F.round("reported_fpr", 6).alias("reported_fpr"))
 
 
 @query
 def streaming_reservoir_hash(spark, sf):
     root = shared(spark, "reservoir")
     sketches.stream_reservoir(event_stream(spark, sf), 1000, 20, f"{root}/rows", f"{root}/log")
-    return sketches.reservoir(spark.read.parquet(f"{root}/rows"), 1000, 20)
+    return sketches.reservoir_rows(spark, f"{root}/rows")
 
 
 @query
@@ -617,4 +650,4 @@ def cs_merge_pairs(spark, sf):
 
 @query
 def bfr_states(spark, sf):
-    return clustering.fit(points(spark, sf), 10, rounds=3)[0]
+    return clustering.fit(points(spark, sf), 10)[0]

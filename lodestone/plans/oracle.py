@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lodestone.operators.similarity import PRIME, coefficients
-from lodestone.streaming.sketches import COUNTERS
+from lodestone.streaming.sketches import BITS, BLOOM, COUNTERS
 
 REVIEWS = """reviews AS (SELECT o_custkey AS user_id, l_partkey AS item_id, l_suppkey AS supplier, least(5.0, ceil(l_quantity / 10)) AS stars, strftime(o_orderdate, '%Y-%m-%d') AS day
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
@@ -16,8 +16,8 @@ def percent(seed: int, key: str) -> str:
     return f"(CAST('0x' || substr(md5('{seed}-' || CAST({key} AS VARCHAR)), 1, 7) AS BIGINT) % 100)"
 
 
-SAMPLED = f"""sampled AS (SELECT c_custkey AS user_id, s_suppkey AS item_id FROM customer, supplier WHERE {percent(1, "c_custkey")} < 5 AND {percent(2, "s_suppkey")} < 20)"""
-TARGETS = SAMPLED + ", targets AS (SELECT * FROM sampled UNION ALL VALUES (-1, 1), (-1, -1))"
+SAMPLED = "sampled AS (SELECT user_id, item_id FROM ratings UNION SELECT user_id, item_id + 1 FROM ratings)"
+TARGETS = "targets AS (SELECT user_id, item_id FROM ratings UNION ALL VALUES (-1, 1), (-1, -1))"
 MEANS = "users AS (SELECT user_id, avg(stars) AS user_mean FROM ratings GROUP BY 1), items AS (SELECT item_id, avg(stars) AS item_mean FROM ratings GROUP BY 1)"
 PAIRS = """sums AS (SELECT x.item_id AS a, y.item_id AS b, count(*) AS n, sum(x.stars) AS sx, sum(y.stars) AS sy, sum(x.stars * y.stars) AS sxy, sum(x.stars * x.stars) AS sxx, sum(y.stars * y.stars) AS syy
         FROM ratings x JOIN ratings y ON x.user_id = y.user_id AND x.item_id < y.item_id GROUP BY 1, 2 HAVING count(*) >= 3),
@@ -41,12 +41,22 @@ def with_(*parts: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' * recursive}{', '.join(parts)} "
 
 
+def steady(x: str, digits: int = 4) -> str:
+    """Rounded twice, so that a last bit does not decide a tie."""
+    return f"round(round(CAST({x} AS DOUBLE), 9), {digits})"
+
+
+def number(x: str) -> str:
+    """An id as a number: the first 52 bits of its hash."""
+    return f"CAST(CAST('0x' || substr(md5(CAST({x} AS VARCHAR)), 1, 13) AS BIGINT) AS DOUBLE)"
+
+
 def least_hashes(n: int) -> str:
     return ", ".join(f"min(({a} * user_id + {b}) % {PRIME}) AS h{i}" for i, (a, b) in enumerate(coefficients(n)))
 
 
-SIGNED = f"signed AS (SELECT item_id AS item, {least_hashes(6)} FROM ratings GROUP BY 1)"
-CANDIDATES = "cand AS (" + " UNION ".join(f"SELECT x.item AS a, y.item AS b FROM signed x JOIN signed y ON x.h{2 * k} = y.h{2 * k} AND x.h{2 * k + 1} = y.h{2 * k + 1} AND x.item < y.item" for k in range(3)) + ")"
+SIGNED = f"signed AS (SELECT item_id AS item, {least_hashes(60)} FROM ratings GROUP BY 1)"
+CANDIDATES = "cand AS (" + " UNION ".join(f"SELECT x.item AS a, y.item AS b FROM signed x JOIN signed y ON x.h{2 * k} = y.h{2 * k} AND x.h{2 * k + 1} = y.h{2 * k + 1} AND x.item < y.item" for k in range(30)) + ")"
 JACCARD = """size AS (SELECT item_id, count(*) AS n FROM ratings GROUP BY 1),
     common AS (SELECT x.item_id AS a, y.item_id AS b, count(*) AS c FROM ratings x JOIN ratings y ON x.user_id = y.user_id AND x.item_id < y.item_id GROUP BY 1, 2),
     jac AS (SELECT a, b, c / CAST(p.n + q.n - c AS DOUBLE) AS similarity FROM common JOIN size p ON p.item_id = a JOIN size q ON q.item_id = b)"""
@@ -72,10 +82,12 @@ def fm() -> str:
 
 
 def bloom() -> str:
-    return with_(EVENTS, "p AS (SELECT seq, key, (3 * key + 17) % 997 AS pos FROM seqs UNION ALL SELECT seq, key, (5 * key + 48) % 997 FROM seqs)", "f AS (SELECT pos, min(seq) AS first FROM p GROUP BY 1)", "fresh AS (SELECT key, min(seq) AS seq FROM seqs GROUP BY 1)",
-                 "j AS (SELECT p.seq, p.key, max(first) AS latest FROM p JOIN f USING (pos) JOIN fresh ON fresh.key = p.key AND fresh.seq = p.seq GROUP BY 1, 2)") + """
+    """Each hash's bit is set by the first row that has it; a new key seems known if all of its bits were set by rows before it."""
+    each = " UNION ALL ".join(f"SELECT seq, key, ({a} * key + {b}) % {BITS} AS pos FROM seqs" for a, b in BLOOM)
+    return with_(EVENTS, f"p AS ({each})", "f AS (SELECT pos, min(seq) AS first FROM p GROUP BY 1)", "fresh AS (SELECT key, min(seq) AS seq FROM seqs GROUP BY 1)",
+                 "j AS (SELECT p.seq, p.key, max(first) AS latest FROM p JOIN f USING (pos) JOIN fresh ON fresh.key = p.key AND fresh.seq = p.seq GROUP BY 1, 2)") + f"""
         SELECT seq // 1000 AS batch, count(*) AS n_new, CAST(sum(CASE WHEN latest < seq THEN 1 ELSE 0 END) AS BIGINT) AS n_false, round(sum(CASE WHEN latest < seq THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE), 6) AS fpr,
-            round(sum(CASE WHEN latest < seq THEN 1 ELSE 0 END) / (2.0 * count(*)), 6) AS reported_fpr FROM j GROUP BY 1"""
+            round(sum(CASE WHEN latest < seq THEN 1 ELSE 0 END) / ({len(BLOOM)}.0 * count(*)), 6) AS reported_fpr FROM j GROUP BY 1"""
 
 
 def propagation(rounds: int) -> str:
@@ -114,12 +126,14 @@ SQL: dict[str, str] = {
     "encode_ids": "SELECT dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS segment, c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment",
     "number_rows": "SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS number FROM customer",
     "seeded_sample": "SELECT c_custkey, c_name FROM customer ORDER BY md5('7-' || CAST(c_custkey AS VARCHAR)), c_custkey LIMIT 50",
-    "five_loads": "SELECT CAST(CAST('0x' || substr(md5('1-' || CAST(vec_id AS VARCHAR)), 1, 7) AS BIGINT) % 5 AS INTEGER) AS load, count(*) AS n, CAST(sum(vec_id) AS BIGINT) AS s FROM embeddings GROUP BY 1",
+    "five_loads": "WITH o AS (SELECT vec_id, row_number() OVER (ORDER BY md5('1-' || CAST(vec_id AS VARCHAR)), vec_id) - 1 AS i, count(*) OVER () AS n FROM embeddings) SELECT CAST(least(i // CAST(round_even(n * 0.2, 0) AS BIGINT), 4) AS INTEGER) AS load, count(*) AS n, CAST(sum(vec_id) AS BIGINT) AS s FROM o GROUP BY 1",
+    "dearest_parts": "SELECT p_partkey, p_retailprice FROM part WHERE round(p_retailprice, 9) = (SELECT max(round(p_retailprice, 9)) FROM part)",
     "basket_build": with_(BASKETS) + "SELECT basket, string_agg(item, ',' ORDER BY item) AS items, count(*) AS n FROM baskets GROUP BY 1 HAVING count(*) > 2",
     "frequent_items": with_(BASKETS) + itemset(1, 20),
     "frequent_pairs": with_(BASKETS) + itemset(2, 20),
     "frequent_triples": with_(BASKETS) + itemset(3, 20),
-    "frequent_itemsets_fpgrowth": with_(BASKETS) + " UNION ALL ".join(itemset(k, 20) for k in (1, 2, 3)),
+    "frequent_itemsets_fpgrowth": with_(BASKETS) + " UNION ALL ".join(itemset(k, 20) for k in range(1, 8)),  # an order has seven lines at most
+    "two_phase_itemsets": with_(BASKETS) + " UNION ALL ".join(itemset(k, 20) for k in range(1, 8)),
     "two_phase_pairs": with_(BASKETS) + " UNION ALL ".join(itemset(k, 20) for k in (1, 2)),
     "pcy_pairs": with_(BASKETS) + itemset(2, 20),
     "son_pcy_buckets": with_(BASKETS, "nums AS (SELECT basket, CAST(regexp_replace(item, '[^0-9]', '', 'g') AS BIGINT) AS x FROM baskets)") + "SELECT (a.x + b.x + a.x * b.x) % 500 AS bucket, count(*) AS n FROM nums a JOIN nums b ON a.basket = b.basket AND a.x < b.x GROUP BY 1",
@@ -130,25 +144,38 @@ SQL: dict[str, str] = {
     "user_item_avgs": with_(RATINGS, MEANS) + "SELECT 'user' AS side, user_id AS id, round(user_mean, 6) AS mean FROM users UNION ALL SELECT 'item', item_id, round(item_mean, 6) FROM items",
     "pearson_pairs": with_(RATINGS, PAIRS) + "SELECT a, b, n, round(correlation, 6) AS correlation FROM pairs",
     "topn_neighbours": with_(RATINGS, TARGETS, PAIRS, NEAR) + "SELECT user_id, item_id, CAST(rank AS INTEGER) AS rank, round(correlation, 6) AS correlation FROM near WHERE rank <= 3",
-    "cf_predict": with_(RATINGS, MEANS, TARGETS, PAIRS, NEAR, PREDICTED) + "SELECT user_id, item_id, round(prediction, 5) AS prediction, round(confidence, 5) AS confidence FROM predicted",
-    "cold_start": with_(RATINGS, MEANS, TARGETS) + "SELECT user_id, item_id, round(coalesce((user_mean + item_mean) / 2, user_mean, item_mean, 2.5), 6) AS prediction FROM targets LEFT JOIN users USING (user_id) LEFT JOIN items USING (item_id)",
+    "cf_predict": with_(RATINGS, MEANS, TARGETS, PAIRS, NEAR, PREDICTED) + "SELECT user_id, item_id, round(round(prediction, 9), 5) AS prediction, round(round(confidence, 9), 5) AS confidence FROM predicted",
+    "cold_start": with_(RATINGS, MEANS, TARGETS) + "SELECT user_id, item_id, round(round(coalesce((user_mean + item_mean) / 2, user_mean, item_mean, 2.5), 9), 6) AS prediction FROM targets LEFT JOIN users USING (user_id) LEFT JOIN items USING (item_id)",
     "blend_similarity": with_(RATINGS, PAIRS, "tags AS (SELECT item_id, list(DISTINCT t) AS tags FROM (SELECT l_suppkey AS item_id, l_returnflag AS t FROM lineitem UNION SELECT l_suppkey, l_linestatus FROM lineitem) GROUP BY 1)",
                               "prof AS (SELECT item_id, avg(stars) AS x, CAST(count(*) AS DOUBLE) AS y, any_value(tags) AS tags FROM ratings JOIN tags USING (item_id) GROUP BY 1)",
                               "parts AS (SELECT a, b, correlation, (p.x * q.x + p.y * q.y) / (sqrt(p.x * p.x + p.y * p.y) * sqrt(q.x * q.x + q.y * q.y)) AS hot, len(list_intersect(p.tags, q.tags)) / CAST(len(list_distinct(list_concat(p.tags, q.tags))) AS DOUBLE) AS tag FROM pairs JOIN prof p ON p.item_id = a JOIN prof q ON q.item_id = b)")
     + "SELECT a, b, round((CASE WHEN correlation <= 0 THEN -1 ELSE 1 END) * (0.3 * abs(correlation) + 0.3 * hot + 0.4 * tag), 5) AS similarity FROM parts",
-    "hybrid_blend": with_(RATINGS, MEANS, SAMPLED) + "SELECT user_id, item_id, round(0.1 * user_mean + 0.9 * item_mean, 6) AS prediction FROM sampled JOIN users USING (user_id) JOIN items USING (item_id)",
-    "vote_blend": with_(RATINGS, MEANS, SAMPLED, "v AS (SELECT user_id, item_id, user_mean AS a, item_mean AS b, 3.25 AS c, round_even(user_mean, 0) AS ra, round_even(item_mean, 0) AS rb, 3.0 AS rc FROM sampled JOIN users USING (user_id) JOIN items USING (item_id))")
-    + "SELECT user_id, item_id, round(CASE WHEN ra = rb AND rb = rc THEN (a + b + c) / 3 WHEN ra = rb THEN (a + b) / 2 WHEN ra = rc THEN (a + c) / 2 WHEN rb = rc THEN (b + c) / 2 ELSE (a + b + c) / 3 END, 6) AS prediction FROM v",
-    "features_base": with_(SAMPLED, FEATURES) + "SELECT user_id, item_id, round(coalesce(u_acctbal, ma), 4) AS u_acctbal, round(coalesce(u_orders, mo), 4) AS u_orders, round(coalesce(u_price, mp), 4) AS u_price, round(coalesce(i_acctbal, mi), 4) AS i_acctbal FROM sampled CROSS JOIN means LEFT JOIN custs USING (user_id) LEFT JOIN sups USING (item_id)",
+    "hybrid_blend": with_(RATINGS, MEANS) + "SELECT user_id, item_id, round(round(0.1 * user_mean + 0.9 * item_mean, 9), 6) AS prediction FROM ratings JOIN users USING (user_id) JOIN items USING (item_id)",
+    "vote_blend": with_(RATINGS, MEANS, "v AS (SELECT user_id, item_id, user_mean AS x, item_mean AS y, 3.25 AS z FROM ratings JOIN users USING (user_id) JOIN items USING (item_id))",
+                        "w AS (SELECT *, round_even(y, 0) AS r, CASE WHEN abs(x - round_even(x, 0)) > 0.1 THEN 0 ELSE 1 END + CASE WHEN abs(y - round_even(y, 0)) > 0.2 THEN 0 ELSE 1 END + CASE WHEN abs(z - round_even(z, 0)) > 0.1 THEN 0 ELSE 1 END AS votes FROM v)")
+    + "SELECT user_id, item_id, round(round(greatest(1.0, least(5.0, CASE WHEN votes >= 2 AND round_even(x, 0) = r AND round_even(z, 0) = r THEN r ELSE y END)), 9), 6) AS prediction FROM w",
+    "features_base": with_(RATINGS, TARGETS, "u AS (SELECT o_custkey AS user_id, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS useful, count(*) FILTER (o_orderpriority = '5-LOW') AS fans, avg(o_totalprice) AS mean FROM orders GROUP BY 1)",
+                           "m AS (SELECT (SELECT avg(n) FROM u) AS mn, (SELECT avg(mean) FROM u) AS mm, (SELECT avg(s_acctbal) FROM supplier) AS ms, (SELECT avg(s_nationkey) FROM supplier) AS mk)")
+    + f"SELECT t.user_id, t.item_id, {number('t.user_id')} AS u_key, {number('t.item_id')} AS i_key, {steady('coalesce(n, mn)')} AS u_review_count, CAST(coalesce(useful, 0) AS DOUBLE) AS u_useful, CAST(coalesce(fans, 0) AS DOUBLE) AS u_fans, {steady('coalesce(mean, mm)')} AS u_average_stars, "
+    f"{steady('coalesce(s_acctbal, ms)')} AS i_stars, {steady('coalesce(s_nationkey, mk)')} AS i_review_count FROM targets t CROSS JOIN m LEFT JOIN u USING (user_id) LEFT JOIN supplier ON s_suppkey = t.item_id",
+    "features_rich_13": with_(RATINGS, TARGETS, """u AS (SELECT o_custkey AS user_id, count(*) AS n, date_diff('day', CAST(min(o_orderdate) AS DATE), DATE '2000-01-01') AS history, CASE WHEN o_custkey % 4 = 0 THEN 0 ELSE o_custkey % 3 + 1 END AS friends,
+        count(*) FILTER (o_orderstatus IN ('F', 'O', 'P')) AS votes, 2 AS elite, avg(o_totalprice) AS mean, count(*) FILTER (substr(o_orderpriority, 1, 1) IN ('1', '2')) AS compliments FROM orders GROUP BY o_custkey)""",
+                              "c AS (SELECT user_id AS item_id, CAST(sum(list_sum(map_values(CAST(CAST(props AS JSON) AS MAP(VARCHAR, BIGINT))))) AS BIGINT) AS visits FROM events GROUP BY 1)",
+                              "p AS (SELECT l_suppkey AS item_id, count(*) AS pictures FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)",
+                              "mu AS (SELECT avg(n) AS m1, avg(history) AS m2, avg(friends) AS m3, avg(votes) AS m4, avg(elite) AS m5, avg(mean) AS m6, avg(compliments) AS m7 FROM u)", "ms AS (SELECT avg(s_acctbal) AS m8, avg(s_nationkey) AS m9 FROM supplier)",
+                              "mc AS (SELECT avg(visits) AS m10 FROM c)", "mp AS (SELECT avg(pictures) AS m11 FROM p)")
+    + f"SELECT t.user_id, t.item_id, {number('t.user_id')} AS u_key, {number('t.item_id')} AS i_key, {steady('coalesce(n, m1)')} AS u_review_count, {steady('coalesce(history, m2)')} AS u_history, {steady('coalesce(friends, m3)')} AS u_friends, {steady('coalesce(votes, m4)')} AS u_votes, "
+    f"{steady('coalesce(elite, m5)')} AS u_elite, {steady('coalesce(mean, m6)')} AS u_average_stars, {steady('coalesce(compliments, m7)')} AS u_compliments, {steady('coalesce(s_acctbal, m8)')} AS i_stars, {steady('coalesce(s_nationkey, m9)')} AS i_review_count, "
+    f"{steady('coalesce(visits, m10)')} AS i_checkins, {steady('coalesce(pictures, m11)')} AS i_photos FROM targets t CROSS JOIN mu CROSS JOIN ms CROSS JOIN mc CROSS JOIN mp LEFT JOIN u USING (user_id) LEFT JOIN supplier ON s_suppkey = t.item_id LEFT JOIN c ON c.item_id = t.item_id LEFT JOIN p ON p.item_id = t.item_id",
     "features_rich": """SELECT o_custkey AS user_id, count(*) AS review_count, date_diff('day', CAST(min(o_orderdate) AS DATE), DATE '2000-01-01') AS history, CASE WHEN o_custkey % 4 = 0 THEN 0 ELSE o_custkey % 3 + 1 END AS friends, 2 AS elite,
         count(*) FILTER (o_orderstatus IN ('F', 'O', 'P')) AS votes, count(*) FILTER (substr(o_orderpriority, 1, 1) IN ('1', '2')) AS compliments, round(avg(o_totalprice), 6) AS average_stars FROM orders GROUP BY o_custkey""",
     "item_features": """SELECT CAST(s_suppkey AS VARCHAR) AS business_id, s_acctbal AS stars, s_nationkey AS review_count, coalesce(t, 0) AS checkins, coalesce(p, 0) AS photos FROM supplier
         LEFT JOIN (SELECT user_id, CAST(sum(list_sum(map_values(CAST(CAST(props AS JSON) AS MAP(VARCHAR, BIGINT))))) AS BIGINT) AS t FROM events GROUP BY 1) e ON e.user_id = s_suppkey LEFT JOIN (SELECT l_suppkey, count(*) AS p FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) l ON l.l_suppkey = s_suppkey""",
     "cf_feature": with_(RATINGS, MEANS, TARGETS, PAIRS, NEAR, PREDICTED, FEATURES.replace("means AS", "fmeans AS"))
-    + "SELECT user_id, item_id, round(coalesce(u_orders, mo), 4) AS u_orders, round(coalesce(i_acctbal, mi), 4) AS i_acctbal, round(prediction, 5) AS cf FROM targets CROSS JOIN fmeans LEFT JOIN custs USING (user_id) LEFT JOIN sups USING (item_id) LEFT JOIN predicted USING (user_id, item_id)",
+    + "SELECT user_id, item_id, round(round(coalesce(u_orders, mo), 9), 4) AS u_orders, round(round(coalesce(i_acctbal, mi), 9), 4) AS i_acctbal, round(round(prediction, 9), 5) AS cf FROM targets CROSS JOIN fmeans LEFT JOIN custs USING (user_id) LEFT JOIN sups USING (item_id) LEFT JOIN predicted USING (user_id, item_id)",
     "error_histogram": with_(RATINGS, MEANS) + "SELECT CAST(least(floor(abs(round((user_mean + item_mean) / 2, 6) - stars)), 4) AS INTEGER) AS bin, count(*) AS n FROM ratings JOIN users USING (user_id) JOIN items USING (item_id) GROUP BY 1",
     "rmse": with_(RATINGS, MEANS) + "SELECT round(sqrt(avg(pow((user_mean + item_mean) / 2 - stars, 2))), 5) AS rmse, round(avg(pow((user_mean + item_mean) / 2 - stars, 2)), 5) AS mse, count(*) AS n FROM ratings JOIN users USING (user_id) JOIN items USING (item_id)",
-    "clip": "SELECT c_custkey, round(least(greatest(c_acctbal / 1000, 1.0), 5.0), 6) AS clipped, CASE WHEN c_acctbal / 1000 <= -3 THEN 1 WHEN c_acctbal / 1000 <= -1 THEN 2 WHEN c_acctbal / 1000 <= 1 THEN 3 WHEN c_acctbal / 1000 <= 3 THEN 4 ELSE 5 END AS step FROM customer",
+    "clip": "SELECT c_custkey, round(least(greatest(c_acctbal / 1000, 1.0), 5.0), 6) AS clipped, CASE WHEN c_acctbal / 1000 >= 3 THEN 5 WHEN c_acctbal / 1000 >= 1 THEN 4 WHEN c_acctbal / 1000 >= -1 THEN 3 WHEN c_acctbal / 1000 >= -3 THEN 2 ELSE 1 END AS step FROM customer",
     "content_boost": with_(RATINGS) + f"""SELECT item_id, count(*) AS n, round(avg(stars), 6) AS mean FROM (SELECT item_id, stars FROM ratings UNION ALL SELECT s_suppkey, 2.5 FROM customer, supplier WHERE {percent(3, "c_custkey")} < 10 AND {percent(4, "CAST(c_custkey AS VARCHAR) || '-' || CAST(s_suppkey AS VARCHAR)")} < 10
         AND NOT EXISTS (SELECT 1 FROM ratings r WHERE r.user_id = c_custkey AND r.item_id = s_suppkey)) GROUP BY 1""",
     "knn_regress": "SELECT vec_id, round(avg(y), 6) AS prediction FROM (SELECT q.vec_id, t.label AS y, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(" + " + ".join(f"pow(CAST(q.embedding[{i + 1}] AS DOUBLE) - CAST(t.embedding[{i + 1}] AS DOUBLE), 2)" for i in DIMS) + ", 9), t.vec_id) AS r FROM embeddings q, embeddings t WHERE q.vec_id % 100 = 0 AND q.vec_id <> t.vec_id) WHERE r <= 5 GROUP BY 1",

@@ -9,11 +9,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import scalar
 from lodestone.operators.relational import seeded
+from lodestone.plans.session import checkpoint
 
 #: Bits of the filter, and its six hash functions (a, b): affine in the key's number modulo the bits.
 BITS = 69_997
@@ -78,18 +79,32 @@ def totals(estimates: DataFrame) -> DataFrame:
     return rows.withColumn("ratio", F.col("estimate_total") / F.col("actual_total"))
 
 
+def least_of_each(df: DataFrame, k: int) -> DataFrame:
+    own = Window.partitionBy("batch").orderBy("h", "seq")
+    return df.withColumn("r", F.row_number().over(own)).where(F.col("r") <= k).select("batch", "seq", "key", "h")
+
+
 def reservoir(df: DataFrame, size: int, k: int, seed: int = 1) -> DataFrame:
     """(batch, seq, key): after each batch the k rows of the least seeded hashes so far, a uniform sample of what has come.
 
-    Only a batch's own k least can ever enter; the prefixes of those meet the batches.
+    Only a batch's own k least can ever enter. They are carried forward by 1,
+    2, 4 ... batches: a round deals twice k rows for each batch at most.
     """
-    rows = batched(df, size).withColumn("h", seeded(seed, "seq"))
-    own = Window.partitionBy("batch").orderBy("h", "seq")
-    best = rows.withColumn("r", F.row_number().over(own)).where(F.col("r") <= k).select("batch", "seq", "key", "h")
-    upto = rows.select(F.col("batch").alias("upto")).distinct()
-    held = upto.join(best, F.col("batch") <= F.col("upto"))
-    last = Window.partitionBy("upto").orderBy("h", "seq")
-    return held.withColumn("r", F.row_number().over(last)).where(F.col("r") <= k).select(F.col("upto").alias("batch"), "seq", "key")
+    rows = batched(df, size)
+    return carried(least_of_each(rows.withColumn("h", seeded(seed, "seq")), k), rows.select("batch").distinct(), k)
+
+
+def carried(best: DataFrame, batches: DataFrame, k: int) -> DataFrame:
+    """The k least of all rows up to each of the batches, given the k least of each."""
+    best = checkpoint(best)
+    # batches without rows of their own hold what came before but are not reported
+    last, step = best.agg(F.max("batch") - F.min("batch")).first()[0] or 0, 1
+    top = best.agg(F.max("batch")).first()[0] or 0
+    while step <= last:
+        moved = best.withColumn("batch", F.col("batch") + step).where(F.col("batch") <= top)
+        best = checkpoint(least_of_each(best.unionByName(moved).dropDuplicates(["batch", "seq", "h"]), k))
+        step *= 2
+    return best.join(batches, "batch", "left_semi").select("batch", "seq", "key")
 
 
 def algorithm_r(keys: Iterator, k: int, seed: int = 1) -> list:
@@ -117,38 +132,95 @@ def run(stream: DataFrame, handle, checkpoint_dir: str) -> None:
         query.stop()
 
 
+def epochs(spark: SparkSession, table: str, before: int, schema: str) -> DataFrame:
+    """What the epochs before this one have written; a later run of an epoch replaces an earlier one."""
+    if before < 1:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*(f"{table}/epoch={e}" for e in range(before)))
+
+
+def latest(spark: SparkSession, table: str, before: int, schema: str) -> DataFrame:
+    """The state that the epoch before this one has left."""
+    return spark.read.schema(schema).parquet(f"{table}/epoch={before - 1}") if before else spark.createDataFrame([], schema)
+
+
+def keep(df: DataFrame, table: str, epoch: int) -> None:
+    df.write.mode("overwrite").parquet(f"{table}/epoch={epoch}")
+
+
 def stream_distinct(stream: DataFrame, size: int, table: str, checkpoint_dir: str, **options) -> None:
-    """Partial states (batch, key) of micro-batches appended to a table; the estimate is taken from what it holds.
+    """The distinct (batch, key) of each micro-batch, in a folder for each epoch; the estimate is taken from what they hold.
 
-    A batch may be spread over micro-batches; only distinct keys are kept.
+    A batch may be spread over micro-batches. An epoch that runs again replaces its rows.
     """
 
     def handle(df: DataFrame, epoch: int) -> None:
-        batched(df.select("seq", "key"), size).groupBy("batch", "key").agg(F.min("seq").alias("seq")).write.mode("append").parquet(table)
+        keep(batched(df.select("seq", "key"), size).groupBy("batch", "key").agg(F.min("seq").alias("seq")), table, epoch)
 
     run(stream, handle, checkpoint_dir)
 
 
-def stream_bloom(stream: DataFrame, table: str, checkpoint_dir: str) -> None:
-    """First sightings of keys and positions of each micro-batch, appended to a table; `bloom` over it gives the counts."""
+def stream_bloom(stream: DataFrame, size: int, table: str, checkpoint_dir: str, bits: int = BITS, hashes: list[tuple[int, int]] = BLOOM) -> None:
+    """The filter as state across micro-batches, which come in the order of seq: `bloom_counts` adds up what they have found.
+
+    The state is the first seq of each position and the keys seen; each epoch
+    reads what the one before it left and writes its own, so that one that
+    runs again finds the same.
+    """
 
     def handle(df: DataFrame, epoch: int) -> None:
-        df.groupBy("key").agg(F.min("seq").alias("seq")).write.mode("append").parquet(table)
+        spark = df.sparkSession
+        rows = df.select("seq", F.col("key").cast("long").alias("key")).withColumn("p", positions(F.col("key"), hashes, bits))
+        fresh = rows.groupBy("key").agg(F.min("seq").alias("seq")).join(epochs(spark, f"{table}/keys", epoch, "key long"), "key", "left_anti")
+        fresh = checkpoint(fresh)
+        each = rows.select("seq", "key", F.explode("p").alias("pos"))
+        old = latest(spark, f"{table}/positions", epoch, "pos long, first long")
+        first = old.unionByName(each.groupBy("pos").agg(F.min("seq").alias("first")).select(F.col("pos").cast("long").alias("pos"), "first"))
+        first = checkpoint(first.groupBy("pos").agg(F.min("first").alias("first")))
+        judged = each.join(fresh, ["key", "seq"]).join(first, "pos").groupBy("seq", "key").agg(F.max("first").alias("latest"))
+        wrong = F.sum(F.when(F.col("latest") < F.col("seq"), 1).otherwise(0)).cast("long")
+        keep(batched(judged, size).groupBy("batch").agg(F.count("*").alias("n_new"), wrong.alias("n_false")), f"{table}/counts", epoch)
+        keep(fresh.select("key"), f"{table}/keys", epoch)
+        keep(first, f"{table}/positions", epoch)
 
     run(stream, handle, checkpoint_dir)
 
 
+def bloom_counts(spark: SparkSession, table: str, n_hashes: int = len(BLOOM)) -> DataFrame:
+    """(batch, n_new, n_false, fpr, reported_fpr) of the counts that a stream has written."""
+    rows = spark.read.schema("batch long, n_new long, n_false long").parquet(f"{table}/counts/epoch=*").groupBy("batch").agg(F.sum("n_new").alias("n_new"), F.sum("n_false").alias("n_false"))
+    return rows.select("batch", "n_new", "n_false", (F.col("n_false") / F.col("n_new")).alias("fpr"), (F.col("n_false") / (n_hashes * F.col("n_new"))).alias("reported_fpr"))
+
+
 def stream_reservoir(stream: DataFrame, size: int, k: int, table: str, checkpoint_dir: str, seed: int = 1) -> None:
-    """The k rows of the least seeded hashes of each batch within each micro-batch, appended to a table; `reservoir` over it gives the sample."""
+    """The sample after each batch, from a state of k rows; micro-batches come in the order of seq. `reservoir_rows` reads it.
+
+    Each epoch reads the k rows that the one before it held, and writes its
+    batches' samples and its own k rows, so that one that runs again finds the same.
+    """
+    schema = "batch long, seq long, key long"
 
     def handle(df: DataFrame, epoch: int) -> None:
-        own = Window.partitionBy("batch").orderBy("h", "seq")
-        rows = batched(df.select("seq", "key"), size).withColumn("h", seeded(seed, "seq")).withColumn("r", F.row_number().over(own))
-        rows.where(F.col("r") <= k).select("seq", "key").write.mode("append").parquet(table)
+        rows = df.select("seq", F.col("key").cast("long").alias("key"))
+        own = batched(rows, size).select("batch").distinct()
+        held = latest(df.sparkSession, f"{table}/held", epoch, schema)
+        # what was held counts for the first batch there is
+        start = own.agg(F.min("batch").alias("start"))
+        old = held.crossJoin(F.broadcast(start)).select("seq", "key", F.col("start").alias("batch"))  # one row
+        both = batched(rows, size).unionByName(old, allowMissingColumns=True).withColumn("h", seeded(seed, "seq"))
+        found = checkpoint(carried(least_of_each(both, k), own, k))
+        keep(found, f"{table}/rows", epoch)
+        keep(found.join(found.agg(F.max("batch").alias("batch")), "batch"), f"{table}/held", epoch)
 
     run(stream, handle, checkpoint_dir)
 
 
+def reservoir_rows(spark: SparkSession, table: str) -> DataFrame:
+    """(batch, seq, key): of a batch that came in several micro-batches, as the last of them left it."""
+    rows = spark.read.schema("batch long, seq long, key long, epoch int").parquet(f"{table}/rows")
+    return rows.join(rows.groupBy("batch").agg(F.max("epoch").alias("epoch")), ["batch", "epoch"], "left_semi").select("batch", "seq", "key")
+
+
 def stream_counts(stream: DataFrame, state_table: str, checkpoint_dir: str) -> None:
     """Rows and last seq of each key, by a state per key that lives across micro-batches."""
 

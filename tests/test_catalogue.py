@@ -34,6 +34,7 @@ def test_same_as_sql(spark, sf, con, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(oracle.SQL) - {"girvan_newman", "cv_grid"}))
+@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(oracle.SQL) - {"cv_grid"}))
 def test_runs(spark, sf, name):
-    assert catalogue.QUERIES[name](spark, sf).count() > 0
+    # the smallest tables have no two users with 29 days in common
+    assert catalogue.QUERIES[name](spark, sf).count() > (-1 if name == "girvan_newman" else 0)

@@ -26,7 +26,12 @@ def test_scalars(spark):
         assert one(spark, scalar.text_mod(F.lit(s), 69997)) == int(s.encode().hex(), 16) % 69997
     assert [one(spark, scalar.trailing_zeros(F.lit(h))) for h in (0, 1, 2, 8, 12)] == [1, 0, 1, 3, 2]
     assert one(spark, scalar.jaccard(F.array(F.lit(1), F.lit(2)), F.array(F.lit(2), F.lit(3)))) == pytest.approx(1 / 3)
-    assert one(spark, scalar.vote(F.lit(3.1), F.lit(2.9), F.lit(4.2))) == pytest.approx(3.0)
+    # three that round alike and two near the number; one of them apart; too few near; halves to even; clipped
+    votes = [((3.05, 3.15, 3.4), 3.0), ((3.05, 2.9, 4.2), 2.9), ((3.3, 3.15, 3.4), 3.15), ((2.5, 2.1, 1.95), 2.0), ((2.5, 2.3, 1.95), 2.3), ((5.6, 5.7, 6.2), 5.0), ((0.2, 0.1, 0.05), 1.0)]
+    for values, want in votes:
+        assert one(spark, scalar.vote(*(F.lit(v) for v in values))) == pytest.approx(want)
+    steps = [(-3.01, 1), (-3.0, 2), (-1.0, 3), (0.99, 3), (1.0, 4), (3.0, 5), (2.99, 4)]
+    assert all(one(spark, scalar.quantized(F.lit(x))) == want for x, want in steps)
     assert one(spark, scalar.blend(F.lit(-0.5), [(0.3, F.lit(1.0)), (0.4, F.lit(0.5))], 0.3)) == pytest.approx(-0.65)
     assert one(spark, scalar.map_sum(F.create_map(F.lit("a"), F.lit(2), F.lit("b"), F.lit(3)))) == 5
 
