@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import scalar
 from lodestone.operators import clustering, features, graph, itemsets, models, recommend, relational, similarity
+from lodestone.plans.session import need_local
 from lodestone.sources import readers
 from lodestone.streaming import sketches
 
@@ -363,7 +364,7 @@ def people(spark, sf):
     return o.withColumn("friends", F.concat(text, F.when(F.col("user_id") % 4 == 0, "").otherwise("x"))).withColumn("elite", F.lit("2010,2011"))
 
 
-def rounded(df, columns, digits=4):
+def rounded(df, columns, digits=6):
     return df.select("user_id", "item_id", *(steady(c, digits).alias(c) for c in columns))
 
 
@@ -576,8 +577,11 @@ def stream_totals(spark, sf):
 def shared(spark: SparkSession, name: str) -> str:
     import uuid
 
-    root = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-stream-")).rstrip("/")
-    return f"{root}/{name}-{uuid.uuid4().hex[:10]}"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        need_local(spark)
+        root = tempfile.mkdtemp(prefix="lodestone-stream-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:10]}"
 
 
 def event_stream(spark, sf):

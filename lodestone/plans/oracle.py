@@ -41,7 +41,7 @@ def with_(*parts: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' * recursive}{', '.join(parts)} "
 
 
-def steady(x: str, digits: int = 4) -> str:
+def steady(x: str, digits: int = 6) -> str:
     """Rounded twice, so that a last bit does not decide a tie."""
     return f"round(round(CAST({x} AS DOUBLE), 9), {digits})"
 

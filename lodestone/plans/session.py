@@ -41,9 +41,19 @@ def ship(spark: SparkSession) -> None:
     context._lodestone_shipped = True
 
 
+def need_local(spark: SparkSession) -> None:
+    """An error on a cluster that names no shared folder: one of this machine's own would not be seen by the others."""
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+
+
 def checkpoint(df):
-    """The rows of df without its lineage, in the session's checkpoint folder (an own one only where none is set)."""
-    context = df.sparkSession.sparkContext
+    """The rows of df without its lineage, in the session's checkpoint folder (an own one only where none is set, in a local session)."""
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            need_local(spark)
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lodestone-checkpoint-"))
     return df.checkpoint()
