@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.plans.session import ship
+from lodestone.plans.session import need_local, ship
 
 #: Rows without an id sort first and take this key internally.
 NULL_ID = -(2**63)
@@ -43,9 +43,10 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset in a local session (tests), an own one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        need_local(spark)
         found = f"file://{tempfile.mkdtemp(prefix='lodestone-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -17,8 +17,9 @@ def held_out(id_col: str, folds: int, fold: int) -> Column:
 def sample(docs: DataFrame, labels: DataFrame, target: str, *, folds: int, fold: int, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> tuple[DataFrame, float]:
     """(doc_id, label, text) of at most per_class rows of each label that are not held out, by hash of the id; the share of label 1 among all such labels.
 
-    Ids with contrary labels count as 1. The ids (per_class of each label) are
-    few enough to broadcast.
+    Ids with contrary labels count as 1, and of an id that repeats the least
+    text is taken, so that ids and rows are bounded alike. The ids (per_class
+    of each label) are few enough to broadcast.
     """
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(target).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     known = known.where(~held_out("doc_id", folds, fold)).groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -28,5 +29,5 @@ def sample(docs: DataFrame, labels: DataFrame, target: str, *, folds: int, fold:
         own = known.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         chosen = own if chosen is None else chosen.unionByName(own)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+    rows = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     return rows, 0.5 if share is None else float(share)

@@ -143,13 +143,18 @@ def found(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame
 def with_bytes(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
     """The pending runs with the bytes that their windows cover."""
     remember_only()
+    out: list[tuple] = []
     for b in batches:
         for d, o, text, places in zip(b.d, b.o, b.text, b.places):
             data = text.encode("utf-8", "surrogatepass")
-            first, n = np.asarray(places) >> FIRST, np.asarray(places) & ((1 << WINDOWS) - 1)
-            for at in range(0, len(places), 10_000):
-                own = slice(at, at + 10_000)
-                yield pd.DataFrame({"d": d, "o": o, "place": places[own], "data": [data[x : x + y + length - 1] for x, y in zip(first[own].tolist(), n[own].tolist())]})
+            for place in places.tolist():
+                first = place >> FIRST
+                out.append((d, o, place, data[first : first + (place & ((1 << WINDOWS) - 1)) + length - 1]))
+                if len(out) == 5000:
+                    yield pd.DataFrame(out, columns=["d", "o", "place", "data"])
+                    out = []
+    if out:
+        yield pd.DataFrame(out, columns=["d", "o", "place", "data"])
 
 
 def matrix(rows: pd.DataFrame, length: int) -> tuple[np.ndarray, ...]:

@@ -150,9 +150,10 @@ class Image:
 def write(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the files of all documents to the table at path, in ascending id order across and within parts.
 
-    Rows without an id come first; rows of the same id stand in text order; a
-    null text is empty, and each document ends with end_id. A task writes the
-    files of one range of ids one after another, each document whole.
+    Rows without an id come first; rows of the same id stand in the order of
+    their texts' hashes (so that an id of very many rows is spread over tasks);
+    a null text is empty, and each document ends with end_id. A task writes the
+    files of one range one after another, each document whole.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -181,7 +182,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 0, id_col
         if own:
             yield close()
 
-    ordered = keyed(docs, id_col, text_col).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    ordered = keyed(docs, id_col, text_col).repartitionByRange(*order).sortWithinPartitions(*order, "text")
     ordered.mapInPandas(images, FILES).write.mode("overwrite").option("compression", "none").parquet(path)
 
 

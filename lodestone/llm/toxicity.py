@@ -34,7 +34,7 @@ find_words = re.compile(r"\w+").findall
 
 
 def grams(text: str) -> Counter:
-    """Words in lower case, and their beginnings as stem*, with counts."""
+    """Words in lower case (of under 40 characters: longer runs are no words), and their beginnings as stem*, with counts."""
     out: Counter = Counter()
     for w, n in Counter(find_words(text.lower())).items():
         if len(w) < 40:
