@@ -19,8 +19,11 @@ share one of their rarest fifth (and one more). An edit changes three shingles
 of three words at most and moves the others by one place, so texts of edit
 similarity 0.9 share one of the rarest three tenths of those (and one more), at
 places that differ by a tenth of their length at most. So no such pair is lost,
-and a frequent passage makes none. No pair within a component is made, no
-bucket is cut off. Components are found by alternating stars.
+and a frequent passage makes none. The nodes of such a shingle meet eight
+leaders first: in a family of edited copies of one text most pairs are linked,
+so hardly any node is left apart from the others when all are compared. No pair
+within a component is made, no bucket is cut off. Components are found by
+alternating stars.
 """
 
 from __future__ import annotations
@@ -402,13 +405,20 @@ def classes(docs: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
         shared = F.count("*").over(own)
         rank = F.row_number().over(own.orderBy("df", "h")) + F.col("size") - shared
         found = rows.join(frequent, "h").withColumn("shared", shared).withColumn("rank", rank).where(F.col("rank") <= F.col("size") - least + 1).where(F.col("shared") >= least)
-        found = store.write(found.select("h", "node", "n", "root", "size", "shared", "place"), f"{name}-rarest")
-        apart = found.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
-        return found.join(apart, "h", "left_semi")
+        return apart_of(store.write(found.select("h", "node", "n", "root", "size", "shared", "place"), f"{name}-rarest"))
+
+    def apart_of(rows: DataFrame) -> DataFrame:
+        """Those of shingles whose nodes are in more than one component."""
+        apart = rows.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
+        return rows.join(apart, "h", "left_semi")
+
+    def rerooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        return rooted(rows.drop("root"), roots, "node", "root")
 
     # the rarest shingles of two documents of SIMILARITY or more meet, whatever frequent passages they share
     enough = F.least("ashared", "bshared") >= SIMILARITY / (1 + SIMILARITY) * (F.col("asize") + F.col("bsize")) - 1e-6
     alike = paired(rarest("shingles", WORDS, F.ceil(SIMILARITY * F.col("size") - 1e-9)), "h", "size", "shared", that=enough)
+    roots = merged(roots, links(alike.distinct().join(stars, ["a", "b"], "left_anti"), "links3"), "third")
     # and so do the rarest short shingles of two documents that EDIT links, as each edit changes SHORT of the longer one's at most
     longer = F.greatest("an", "bn")
     most = F.floor((1 - EDIT) * longer + 1e-9)
@@ -416,11 +426,19 @@ def classes(docs: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
     enough &= F.abs(F.col("an") - F.col("bn")) <= most
     enough &= (F.col("aplace") < 0) | (F.col("bplace") < 0) | (F.abs(F.col("aplace") - F.col("bplace")) <= most)
     kept = F.ceil((1 - SHORT * (1 - EDIT)) * F.col("n") - SHORT + 1 - 1e-6)
-    edited = paired(rarest("short", SHORT, kept).where(F.col("n") >= 9), "h", "shared", "place", that=enough)
-    rest = alike.unionByName(edited)
-    rest = rest.distinct().join(stars, ["a", "b"], "left_anti")
-    roots = merged(roots, links(rest, "links3"), "third")
-    store.drop("open", "keys", "stars", "tried", "words", "apart", "shingles", "shingles-rarest", "short", "short-rarest", "nodes", "links1", "links2", "links3")
+    short = rarest("short", SHORT, kept).where(F.col("n") >= 9)
+    # families of edited copies: a shingle's nodes meet a few leaders first, of which shingles that share nodes agree
+    for name, seeds in (("links4", (1, 2, 3, 4)), ("links5", (5, 6, 7, 8))):
+        short = store.write(apart_of(rerooted(short, roots)), f"short-{name}")
+        lead = [F.min(F.struct(F.xxhash64(F.lit(i), "node"), "node", "n", "root", "shared", "place")).alias(f"l{i}") for i in seeds]
+        lead = short.groupBy("h").agg(*lead).select("h", F.explode(F.array(*(F.col(f"l{i}") for i in seeds))).alias("l")).select("h", *(F.col("l")[c].alias(f"b{c}") for c in ("node", "n", "root", "shared", "place")))
+        met = short.select("h", *(F.col(c).alias(f"a{c}") for c in ("node", "n", "root", "shared", "place"))).join(lead, "h").where("aroot <> broot").where(enough)
+        met = met.select(F.least("anode", "bnode").alias("a"), F.greatest("anode", "bnode").alias("b")).distinct()
+        roots = merged(roots, links(met.join(stars, ["a", "b"], "left_anti"), name), f"{name}-")
+    # what they leave apart, each with all others
+    edited = paired(store.write(apart_of(rerooted(short, roots)), "short-left"), "h", "shared", "place", that=enough)
+    roots = merged(roots, links(edited.distinct().join(stars, ["a", "b"], "left_anti"), "links6"), "last")
+    store.drop("open", "keys", "stars", "tried", "words", "apart", "shingles", "shingles-rarest", "short", "short-rarest", "short-links4", "short-links5", "short-left", "nodes", *(f"links{i}" for i in range(1, 7)))
     store.forget_shuffles()
     return found, roots
 
