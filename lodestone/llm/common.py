@@ -31,6 +31,19 @@ def remember_only(*names: str) -> None:
     for name, forget in REMEMBERED.items():
         if name not in names:
             forget()
+    give_back()
+
+
+def give_back() -> None:
+    """Return what is free in this process to the system: workers live through many stages, and each leaves its own holes."""
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

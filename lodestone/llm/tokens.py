@@ -17,7 +17,7 @@ import numpy as np
 from .common import REMEMBERED, remember_only
 
 #: Entries of a worker's cache; its longer pieces go when it is full.
-CACHE = 1_000_000
+CACHE = 600_000
 
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Characters whose class is beyond doubt; the apostrophe starts contractions, so it is not one.
