@@ -419,6 +419,8 @@ def classes(docs: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
     enough = F.least("ashared", "bshared") >= SIMILARITY / (1 + SIMILARITY) * (F.col("asize") + F.col("bsize")) - 1e-6
     alike = paired(rarest("shingles", WORDS, F.ceil(SIMILARITY * F.col("size") - 1e-9)), "h", "size", "shared", that=enough)
     roots = merged(roots, links(alike.distinct().join(stars, ["a", "b"], "left_anti"), "links3"), "third")
+    store.drop("open", "keys", "shingles", "shingles-rarest", "links1", "links2", "links3")
+    store.forget_shuffles()
     # and so do the rarest short shingles of two documents that EDIT links, as each edit changes SHORT of the longer one's at most
     longer = F.greatest("an", "bn")
     most = F.floor((1 - EDIT) * longer + 1e-9)
@@ -427,6 +429,8 @@ def classes(docs: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
     enough &= (F.col("aplace") < 0) | (F.col("bplace") < 0) | (F.abs(F.col("aplace") - F.col("bplace")) <= most)
     kept = F.ceil((1 - SHORT * (1 - EDIT)) * F.col("n") - SHORT + 1 - 1e-6)
     short = rarest("short", SHORT, kept).where(F.col("n") >= 9)
+    store.drop("short", "apart")
+    store.forget_shuffles()
     # families of edited copies: a shingle's nodes meet a few leaders first, of which shingles that share nodes agree
     for name, seeds in (("links4", (1, 2, 3, 4)), ("links5", (5, 6, 7, 8))):
         short = store.write(apart_of(rerooted(short, roots)), f"short-{name}")
@@ -435,6 +439,7 @@ def classes(docs: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
         met = short.select("h", *(F.col(c).alias(f"a{c}") for c in ("node", "n", "root", "shared", "place"))).join(lead, "h").where("aroot <> broot").where(enough)
         met = met.select(F.least("anode", "bnode").alias("a"), F.greatest("anode", "bnode").alias("b")).distinct()
         roots = merged(roots, links(met.join(stars, ["a", "b"], "left_anti"), name), f"{name}-")
+        store.forget_shuffles()
     # what they leave apart, each with all others
     edited = paired(store.write(apart_of(rerooted(short, roots)), "short-left"), "h", "shared", "place", that=enough)
     roots = merged(roots, links(edited.distinct().join(stars, ["a", "b"], "left_anti"), "links6"), "last")
