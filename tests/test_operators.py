@@ -241,3 +241,41 @@ def test_models_and_files(spark, tmp_path):
     (tmp_path / "p.csv").write_text("0,1,0.5,1.5\n1,2,2.5,3.5\n")
     assert readers.points(spark, str(tmp_path / "p.csv"), 2).orderBy("id").first().features == [0.5, 1.5]
     assert readers.drawn(df, "user_id", 3, 10).count() == 30
+
+
+def shuffled_rows(spark, run):
+    """What run() gives, and the rows that its stages shuffled."""
+    gateway, store = spark.sparkContext._gateway, spark.sparkContext._jsc.sc().statusStore()
+
+    def stages():
+        found = store.stageList(gateway.jvm.java.util.ArrayList(), False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {(found.apply(i).stageId(), found.apply(i).attemptId()): found.apply(i).shuffleWriteRecords() for i in range(found.size())}
+
+    before = stages()
+    out = run()
+    return out, sum(n for k, n in stages().items() if k not in before)
+
+
+GRAPHS = ["corating_edges"]
+
+
+@pytest.mark.parametrize("name", GRAPHS)
+def test_users_of_few_days_make_no_pairs(spark, monkeypatch, name):
+    few, many = [(u, 0) for u in range(10, 1010)], [(u, d) for u in range(4) for d in range(30) if d != u // 2]
+    rows = spark.createDataFrame(few + many, "user_id long, n int").selectExpr("user_id", "date_add(date'2024-01-01', n) AS day")
+    monkeypatch.setattr(catalogue, "active_days", lambda *_: rows)
+    got, shuffled = shuffled_rows(spark, lambda: sorted(map(tuple, catalogue.QUERIES[name](spark, "").collect())))
+    assert shuffled < 20_000  # all pairs are some 500,000
+    if name == "corating_edges":
+        assert got == [(0, 1), (2, 3)]
+    if name == "connected_components":
+        assert got == [(0, 0), (1, 0), (2, 2), (3, 2)]
+
+
+@pytest.mark.parametrize(("least", "most"), [(1, 4), (3, 6), (5, 6), (2, 40)])
+def test_corating_is_as_by_brute_force(spark, least, most):
+    r = random.Random(least)
+    sets = {u: set(r.sample(range(most + 3), r.randint(1, most))) for u in range(60)}
+    df = spark.createDataFrame([(u, i) for u, s in sets.items() for i in s] * 2 + [(1, None)], "u long, i long")
+    got = sorted((x.src, x.dst) for x in graph.corating(df, "u", "i", least).collect())
+    assert got == [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= least]
