@@ -256,7 +256,7 @@ def shuffled_rows(spark, run):
     return out, sum(n for k, n in stages().items() if k not in before)
 
 
-GRAPHS = ["corating_edges"]
+GRAPHS = ["corating_edges", "connected_components"]
 
 
 @pytest.mark.parametrize("name", GRAPHS)
