@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -256,7 +257,7 @@ def shuffled_rows(spark, run):
     return out, sum(n for k, n in stages().items() if k not in before)
 
 
-GRAPHS = ["corating_edges", "connected_components"]
+GRAPHS = ["corating_edges", "connected_components", "edge_betweenness"]
 
 
 @pytest.mark.parametrize("name", GRAPHS)
@@ -279,3 +280,29 @@ def test_corating_is_as_by_brute_force(spark, least, most):
     df = spark.createDataFrame([(u, i) for u, s in sets.items() for i in s] * 2 + [(1, None)], "u long, i long")
     got = sorted((x.src, x.dst) for x in graph.corating(df, "u", "i", least).collect())
     assert got == [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= least]
+
+
+@pytest.mark.parametrize("compat", [False, True])
+def test_betweenness_of_dense_sparse_and_joined_search(spark, monkeypatch, compat):
+    r = random.Random(4)
+    pairs = sorted({tuple(sorted(r.sample(range(14), 2))) for _ in range(30)} | {(20, 21), (21, 22)})
+    near = [np.array(sorted(b if a == v else a for a, b in pairs if v in (a, b)), int) for v in range(23)]
+    found = [sorted((int(a), int(b), round(x, 9)) for a, b, x in zip(*f(near, np.arange(23), compat)) if x) for f in (graph.dense_flows, graph.sparse_flows)]
+    assert found[0] == found[1]
+    want = {}
+    for a, b, x in found[0]:
+        want[min(a, b), max(a, b)] = want.get((min(a, b), max(a, b)), 0) + x / 2
+    got = {(x.src, x.dst): x.betweenness for x in graph.betweenness(edges(spark, pairs), compat).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    if not compat:
+        brute = brute_betweenness(pairs)
+        assert all(got[k] == pytest.approx(brute[k]) for k in brute)
+
+
+def test_betweenness_takes_no_job_for_each_level(spark):
+    context = spark.sparkContext
+    context.setJobGroup("deep", "deep")
+    got = {(x.src, x.dst): x.betweenness for x in graph.betweenness(edges(spark, [(i, i + 1) for i in range(20)])).collect()}
+    jobs = len(context.statusTracker().getJobIdsForGroup("deep"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {(i, i + 1): (i + 1.0) * (20 - i) for i in range(20)} and jobs < 20
