@@ -257,7 +257,7 @@ def shuffled_rows(spark, run):
     return out, sum(n for k, n in stages().items() if k not in before)
 
 
-GRAPHS = ["corating_edges", "connected_components", "edge_betweenness", "label_propagation_5", "girvan_newman"]
+GRAPHS = ["corating_edges", "connected_components", "label_propagation_5", "modularity", "edge_betweenness", "girvan_newman"]
 
 
 @pytest.mark.parametrize("name", GRAPHS)
