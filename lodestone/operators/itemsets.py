@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.plans.session import checkpoint
 
+#: Slices are dealt over so many partitions by hash, so that hardly any two meet in one.
+SPREAD = 32
 
 def baskets(df: DataFrame, least: int = 0) -> DataFrame:
     """(basket, items): each basket's distinct items, sorted; only baskets with more than `least`."""
@@ -67,22 +71,60 @@ def fp_growth(df: DataFrame, support: int, most: int | None = None) -> DataFrame
     return found.where(F.size("items") <= most) if most else found
 
 
-def local_levels(df: DataFrame, support: int, most: int | None, slices: int) -> Iterator[DataFrame]:
-    """Level by level the sets (i1, ..., ik) that reach their share of the support in some slice; slices are by hash of the basket."""
-    rows = checkpoint(df.distinct().withColumn("slice", F.pmod(F.xxhash64("basket"), F.lit(slices))))
-    total = df.select("basket").distinct().count()
-    least = rows.groupBy("slice").agg(F.count_distinct("basket").alias("n")).select("slice", F.greatest(F.lit(1), F.ceil(F.lit(support) * F.col("n") / max(1, total))).alias("least"))
-    held, k = rows.select("slice", "basket", F.col("item").alias("i1")), 1
-    while most is None or k <= most:
-        names = [f"i{n}" for n in range(1, k + 1)]
-        local = held.groupBy("slice", *names).agg(F.count("*").alias("c")).join(least, "slice").where("c >= least").select("slice", *names)
-        local = checkpoint(local)
-        if local.isEmpty():
-            return
-        yield local.select(*names).distinct()
-        # the baskets' sets that are left, each longer by a later item
-        held = held.join(local, ["slice", *names], "left_semi").join(rows.select("slice", "basket", F.col("item").alias(f"i{k + 1}")), ["slice", "basket"]).where(F.col(f"i{k + 1}") > F.col(f"i{k}"))
-        k += 1
+def sets_of(baskets: list[np.ndarray], weights: np.ndarray, n: int, chosen: Callable, most: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Level by level (sets, counts) in sorted baskets of numbers below n, each there `weights` times.
+
+    A row of sets has a set's numbers. chosen(level, keys, counts) gives the
+    keys to keep, in order; a key is n times the place of the set's prefix on
+    the level before, plus its last number. Only what is kept grows, by later items.
+    """
+    x, size = np.concatenate(baskets), np.array([len(b) for b in baskets])
+    end, weight = np.repeat(np.cumsum(size), size), np.repeat(weights, size)
+    at, key, k, sets = np.arange(len(x)), x.astype(np.int64), 1, np.zeros((1, 0), np.int64)
+    while len(at) and (most is None or k <= most):
+        keys, kind = np.unique(key, return_inverse=True)
+        counts = np.bincount(kind, weight[at]).astype(np.int64)
+        kept = chosen(k, keys, counts)
+        place = np.searchsorted(kept, keys)
+        there = place < len(kept)
+        there[there] = kept[place[there]] == keys[there]
+        total = np.zeros(len(kept), np.int64)
+        total[place[there]] = counts[there]
+        sets = np.column_stack([sets[kept // n], kept % n])
+        yield sets, total
+        own = there[kind]
+        at, prefix = at[own], place[kind[own]]
+        more = end[at] - at - 1
+        prefix = np.repeat(prefix, more)
+        at = np.repeat(at + 1 - np.cumsum(more) + more, more) + np.arange(more.sum())
+        key, k = prefix * n + x[at], k + 1
+
+
+def sliced(df: DataFrame, slices: int) -> DataFrame:
+    """(slice, items, n): the baskets' distinct items, sorted, equal ones of a slice once with their number; slices are by hash of the basket."""
+    whole = baskets(df.where(F.col("item").isNotNull()))
+    return checkpoint(whole.groupBy(F.pmod(F.xxhash64("basket"), F.lit(slices)).cast("int").alias("slice"), "items").agg(F.count("*").alias("n")))
+
+
+def numbers(column: pd.Series, items: pd.Index) -> list[np.ndarray]:
+    """The places in `items` of each row's items; -1 where one is not there."""
+    size = column.str.len().to_numpy()
+    return np.split(items.get_indexer(np.concatenate(column.to_numpy())), np.cumsum(size)[:-1])
+
+
+def local_candidates(rows: DataFrame, support: int, most: int | None) -> DataFrame:
+    """(items): the sets that reach their share of the support in some slice of (slice, items, n)."""
+    total = rows.agg(F.sum("n")).first()[0] or 0
+
+    def found(b: pd.DataFrame) -> pd.DataFrame:
+        items = pd.Index(np.unique(np.concatenate(b["items"].to_numpy())))
+        least = max(1, -(-support * int(b["n"].sum()) // total))
+        levels = sets_of(numbers(b["items"], items), b["n"].to_numpy(), len(items), lambda k, keys, counts: keys[counts >= least], most)
+        values = items.to_numpy()
+        return pd.DataFrame({"items": [x for sets, _ in levels for x in values[sets]]})
+
+    kind = rows.schema["items"].dataType.simpleString()
+    return rows.repartition(SPREAD, "slice").groupBy("slice").applyInPandas(found, f"items {kind}").distinct()
 
 
 def candidates_by_partition(df: DataFrame, support: int, most: int | None = None, slices: int = 8) -> DataFrame:
@@ -90,21 +132,41 @@ def candidates_by_partition(df: DataFrame, support: int, most: int | None = None
 
     A globally frequent set reaches its share of the support in some slice, so none is lost.
     """
-    levels = [level.select(F.array(*level.columns).alias("items")) for level in local_levels(df, support, most, slices)]
-    return reduce(DataFrame.unionByName, levels) if levels else df.select(F.array("item").alias("items")).limit(0)
+    return local_candidates(sliced(df, slices), support, most)
 
 
 def two_phase(df: DataFrame, support: int, most: int | None = None, slices: int = 8) -> DataFrame:
-    """(items, freq): local candidates of all sizes, then the exact counts of those alone."""
-    rows = checkpoint(df.distinct())
-    counted = []
-    for level in local_levels(rows, support, most, slices):
-        held = rows.withColumnRenamed("item", "i1").join(level, "i1")
-        for name in level.columns[1:]:
-            held = held.join(rows.withColumnRenamed("item", name), ["basket", name], "left_semi")
-        found = held.groupBy(F.array(*level.columns).alias("items")).agg(F.count("*").alias("freq"))
-        counted.append(found.where(F.col("freq") >= support))
-    return reduce(DataFrame.unionByName, counted) if counted else df.select(F.array("item").alias("items"), F.lit(0).cast("long").alias("freq")).limit(0)
+    """(items, freq): local candidates of all sizes, then the exact counts of those alone.
+
+    Both phases go through a slice in memory; the second has all candidates in every slice.
+    """
+    rows = sliced(df, slices)
+    candidates = checkpoint(local_candidates(rows, support, most))
+    everywhere = candidates.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+
+    def counted(b: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        if not len(b) or not len(wanted):
+            return pd.DataFrame({"items": [], "freq": []})
+        items = pd.Index(np.unique(np.concatenate(b["items"].to_numpy())))
+        n, size, tables = len(items), wanted["items"].str.len().to_numpy(), {}
+        for k in np.unique(size):
+            sets = np.array(numbers(wanted["items"][size == k], items))
+            sets = sets[(sets >= 0).all(axis=1)]
+            # a candidate's prefixes are candidates too
+            key = sets[:, 0].astype(np.int64)
+            for j in range(1, k):
+                key = np.searchsorted(tables[j], key) * n + sets[:, j]
+            tables[k] = np.sort(key)
+        none = np.zeros(0, np.int64)
+        levels = sets_of(numbers(b["items"], items), b["n"].to_numpy(), n, lambda k, keys, counts: tables.get(k, none), most)
+        values = items.to_numpy()
+        found = [(x, c) for sets, total in levels for x, c in zip(values[sets], total.tolist()) if c]
+        return pd.DataFrame(found, columns=["items", "freq"])
+
+    kind = rows.schema["items"].dataType.simpleString()
+    both = rows.repartition(SPREAD, "slice").groupBy("slice").cogroup(everywhere.repartition(SPREAD, "slice").groupBy("slice"))
+    parts = both.applyInPandas(counted, f"items {kind}, freq long")
+    return parts.groupBy("items").agg(F.sum("freq").alias("freq")).where(F.col("freq") >= support)
 
 
 def pair_buckets(df: DataFrame, buckets: int = 500, number: Column | None = None) -> DataFrame:

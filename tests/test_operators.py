@@ -306,3 +306,23 @@ def test_betweenness_takes_no_job_for_each_level(spark):
     jobs = len(context.statusTracker().getJobIdsForGroup("deep"))
     context.setLocalProperty("spark.jobGroup.id", None)
     assert got == {(i, i + 1): (i + 1.0) * (20 - i) for i in range(20)} and jobs < 20
+
+
+def test_two_phase_counts_sets_of_few_items_without_long_joins(spark):
+    r = random.Random(5)
+    rows = [(b, i) for b in range(400) for i in r.sample("abcdefghij", r.randint(1, 6))]
+    df = spark.createDataFrame(rows + rows[:9] + [(1, None)], "basket long, item string")
+    got, shuffled = shuffled_rows(spark, lambda: {tuple(x["items"]): x.freq for x in itemsets.two_phase(df, 12).collect()})
+    held = {}
+    for b, i in set(rows):
+        held.setdefault(b, []).append(i)
+    count = {}
+    for s in held.values():
+        for k in range(1, 7):
+            for c in itertools.combinations(sorted(s), k):
+                count[c] = count.get(c, 0) + 1
+    assert got == {c: n for c, n in count.items() if n >= 12} and max(map(len, got)) > 3
+    assert shuffled < 15_000  # joins of rows with candidates shuffled 34,264
+    local = {tuple(x["items"]) for x in itemsets.candidates_by_partition(df, 12, most=3).collect()}
+    assert {c for c in got if len(c) <= 3} <= local and max(map(len, local)) == 3
+    assert itemsets.two_phase(df.limit(0), 12).count() == 0 and itemsets.candidates_by_partition(df.limit(0), 12).count() == 0
