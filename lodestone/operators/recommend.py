@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import scalar
+from lodestone.plans.session import stored
+
+from .relational import numbered
+
+#: Ratings of the items of one block, about.
+BLOCK = 100_000
 
 
 def averages(ratings: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -13,34 +23,142 @@ def averages(ratings: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ratings.groupBy("user_id").agg(F.avg("stars").alias("user_mean")), ratings.groupBy("item_id").agg(F.avg("stars").alias("item_mean"))
 
 
+def blocks(ratings: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(item_id, block), (user_id, items, stars, blocks) of all users, and the number of blocks.
+
+    A block has items of neighbouring ids. Whoever works on a block's items
+    gets the lists of their users, once each, instead of a row for each pair
+    of a user's items.
+    """
+    known = ratings.select("user_id", "item_id", F.col("stars").cast("double").alias("stars")).dropna()
+    number = stored(numbered(known.groupBy("item_id").agg(F.count("*").alias("n")), "item_id", "number"))
+    items, rows = number.agg(F.count("*"), F.sum("n")).first()
+    n = max(1, min(items, -(-(rows or 0) // BLOCK)))
+    block = number.select("item_id", F.floor(F.col("number") * n / max(1, items)).cast("int").alias("block"))
+    own = F.array_sort(F.collect_list(F.struct("item_id", "stars", "block")))
+    lists = known.join(block, "item_id").groupBy("user_id").agg(own.alias("l"))
+    return block, lists.select("user_id", F.col("l.item_id").alias("items"), F.col("l.stars").alias("stars"), F.col("l.block").alias("blocks")), n
+
+
+def flat(t: pa.Table, column: str) -> np.ndarray:
+    """The entries of a column of lists, one after the other."""
+    return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in t[column].chunks] or [np.zeros(0)])
+
+
+def lengths(t: pa.Table, column: str) -> np.ndarray:
+    return np.concatenate([c.value_lengths().to_numpy(zero_copy_only=False) for c in t[column].chunks] or [np.zeros(0)]).astype(np.int64)
+
+
+def runs(x: np.ndarray) -> Iterator[tuple[object, np.ndarray]]:
+    """Each value with its places."""
+    order = np.argsort(x, kind="stable")
+    at = np.flatnonzero(np.concatenate([[True], x[order[1:]] != x[order[:-1]]])) if len(x) else []
+    for i, places in zip(at, np.split(order, at[1:])):
+        yield x[order[i]], places
+
+
+def within(begin: np.ndarray, size: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all entries of these lists, and for each the list's place among them."""
+    count = size[lists]
+    return np.repeat(begin[lists] - np.cumsum(count) + count, count) + np.arange(count.sum()), np.repeat(np.arange(len(lists)), count)
+
+
 def item_pairs(ratings: DataFrame, least: int = 3) -> DataFrame:
     """(a, b, n, correlation): Pearson's correlation over common users, for items with at least so many; 0 without variance.
 
-    Sums of one self-join on the user; both means are over the common users.
+    Item by item, over the lists of its users; both means are over the common
+    users. Rows without a user, an item or stars take no part.
     """
-    x = ratings.select("user_id", F.col("item_id").alias("a"), F.col("stars").alias("x"))
-    y = ratings.select("user_id", F.col("item_id").alias("b"), F.col("stars").alias("y"))
-    sums = x.join(y, "user_id").where("a < b").groupBy("a", "b").agg(
-        F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("y")).alias("sxy"), F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("y") * F.col("y")).alias("syy")
-    )
-    n = F.col("n")
-    up = F.col("sxy") - F.col("sx") * F.col("sy") / n
-    vx, vy = F.col("sxx") - F.col("sx") * F.col("sx") / n, F.col("syy") - F.col("sy") * F.col("sy") / n
-    r = F.when((vx <= 1e-9) | (vy <= 1e-9), 0.0).otherwise(up / (F.sqrt(vx) * F.sqrt(vy)))
-    return sums.where(n >= least).select("a", "b", "n", r.alias("correlation"))
+    _, lists, n = blocks(ratings)
+
+    def pairs(key: tuple, t: pa.Table) -> pa.Table:
+        size = lengths(t, "items")
+        begin, row = np.cumsum(size) - size, np.repeat(np.arange(len(size)), size)
+        items, code = np.unique(flat(t, "items"), return_inverse=True)
+        stars, own = flat(t, "stars"), np.flatnonzero(flat(t, "blocks") == key[0].as_py())
+        found = []
+        for a, places in runs(code[own]):
+            at, which = within(begin, size, row[own[places]])
+            later = code[at] > a
+            at, which = at[later], which[later]
+            x, y, b = stars[own[places]][which], stars[at], code[at] - a
+            count = np.bincount(b)
+            some = np.flatnonzero(count >= max(1, least))
+            c = count[some].astype(float)
+            sx, sy, sxy, sxx, syy = (np.bincount(b, v)[some] if len(b) else c for v in (x, y, x * y, x * x, y * y))
+            vx, vy = sxx - sx * sx / c, syy - sy * sy / c
+            flat_ = (vx <= 1e-9) | (vy <= 1e-9)
+            r = np.where(flat_, 0.0, (sxy - sx * sy / c) / np.where(flat_, 1.0, np.sqrt(np.abs(vx)) * np.sqrt(np.abs(vy))))
+            found.append((np.full(len(some), a), some + a, count[some], r))
+        a, b, c, r = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int),) * 4
+        return pa.table({"a": pa.array(items[a], kind_), "b": pa.array(items[b], kind_), "n": pa.array(c, pa.int64()), "correlation": pa.array(r, pa.float64())})
+
+    kind, kind_ = types(ratings, "item_id")
+    rows = lists.select("items", "stars", "blocks", F.explode(F.array_distinct("blocks")).alias("block"))
+    return rows.repartition(n, "block").groupBy("block").applyInArrow(pairs, f"a {kind}, b {kind}, n long, correlation double")
+
+
+def types(df: DataFrame, column: str) -> tuple[str, pa.DataType]:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = df.schema[column].dataType
+    return kind.simpleString(), to_arrow_type(kind)
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.unionByName(pairs.select(*(F.col({"a": "b", "b": "a"}.get(c, c)).alias(c) for c in pairs.columns)))
 
 
+def nearest(targets: DataFrame, ratings: DataFrame, pairs: DataFrame, n: int, digits: int, schema: str, made: Callable) -> DataFrame:
+    """What `made` gives, as columns of this schema, from a block's neighbours: columns as those of `neighbours`, ordered by target and rank."""
+    block, lists, count = blocks(ratings)
+    wanted = targets.select("user_id", "item_id").join(block, "item_id").groupBy("user_id", "block").agg(F.collect_set("item_id").alias("wanted"))
+    asked = wanted.join(lists.select("user_id", "items", "stars"), "user_id")
+    similar = both_ways(pairs.select("a", "b", "correlation").where("correlation > 0")).join(block, F.col("a") == F.col("item_id")).select((F.col("block") + 0).alias("block"), "a", "b", "correlation")
+    _, user_type = types(targets, "user_id")
+    _, item_type = types(ratings, "item_id")
+
+    def found(t: pa.Table, s: pa.Table) -> dict[str, np.ndarray]:
+        users, size, asks = t["user_id"].to_numpy(), lengths(t, "items"), lengths(t, "wanted")
+        begin, asker = np.cumsum(size) - size, np.repeat(np.arange(len(asks)), asks)
+        items, code = np.unique(flat(t, "items"), return_inverse=True)
+        stars, out = flat(t, "stars"), []
+        a, b, correlation = (s[c].to_numpy() for c in ("a", "b", "correlation"))
+        like = {x: places for x, places in runs(a)}
+        near = np.zeros(len(items))
+        for item, places in runs(flat(t, "wanted")):
+            if item not in like or not len(items):
+                continue
+            other = np.minimum(np.searchsorted(items, b[like[item]]), len(items) - 1)
+            there = items[other] == b[like[item]]
+            near[other[there]] = correlation[like[item]][there]
+            lists_ = asker[places]
+            at, which = within(begin, size, lists_)
+            c = near[code[at]]
+            near[other] = 0.0
+            some = np.flatnonzero(c > 0)
+            some = some[np.lexsort((code[at[some]], -np.round(c[some], digits), which[some]))]
+            own = which[some]
+            first = np.concatenate([[True], own[1:] != own[:-1]]) if len(own) else np.zeros(0, bool)
+            rank = np.arange(len(own)) - np.maximum.accumulate(np.where(first, np.arange(len(own)), 0)) + 1
+            some, own, rank = some[rank <= n], own[rank <= n], rank[rank <= n]
+            out.append((users[lists_[own]], np.full(len(own), item), items[code[at[some]]], c[some], stars[at[some]], rank))
+        empty = (users[:0], items[:0], items[:0], np.zeros(0), np.zeros(0), np.zeros(0, int))
+        return dict(zip(("user_id", "item_id", "other", "correlation", "stars", "rank"), (np.concatenate(x) for x in zip(*out)) if out else empty))
+
+    def columns(t: pa.Table, s: pa.Table) -> pa.Table:
+        kinds = {"user_id": user_type, "item_id": item_type, "other": item_type, "rank": pa.int32()}
+        return pa.table({k: pa.array(v, kinds.get(k, pa.float64())) for k, v in made(found(t, s)).items()})
+
+    left, right = asked.repartition(count, "block").groupBy("block"), similar.repartition(count, "block").groupBy("block")
+    return left.cogroup(right).applyInArrow(columns, schema)
+
+
 def neighbours(targets: DataFrame, ratings: DataFrame, pairs: DataFrame, n: int = 8, digits: int = 9) -> DataFrame:
     """(user_id, item_id, other, correlation, stars, rank): of the items that a target's user rated, the n most similar ones of positive similarity."""
-    rated = ratings.select("user_id", F.col("item_id").alias("other"), "stars")
-    similar = both_ways(pairs).where("correlation > 0").select(F.col("a").alias("item_id"), F.col("b").alias("other"), "correlation")
-    joined = targets.select("user_id", "item_id").join(rated, "user_id").join(similar, ["item_id", "other"])
-    order = Window.partitionBy("user_id", "item_id").orderBy(F.round("correlation", digits).desc(), "other")
-    return joined.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    user, item = types(targets, "user_id")[0], types(ratings, "item_id")[0]
+    schema = f"user_id {user}, item_id {item}, other {item}, correlation double, stars double, rank int"
+    return nearest(targets, ratings, pairs, n, digits, schema, lambda rows: rows)
 
 
 def predict(targets: DataFrame, ratings: DataFrame, pairs: DataFrame, n: int = 8, unknown: float = 3.0, power: int = 1) -> DataFrame:
@@ -52,9 +170,15 @@ def predict(targets: DataFrame, ratings: DataFrame, pairs: DataFrame, n: int = 8
     last neighbour; 0.1, 0.05 and 0 on the steps below. An item is no neighbour
     of its own, so the prediction of a rated pair does not come from its rating.
     """
-    near = neighbours(targets, ratings, pairs, n)
-    w = F.pow(F.abs("correlation"), F.lit(float(power)))
-    scored = near.groupBy("user_id", "item_id").agg((F.sum(w * F.col("stars")) / F.sum(w)).alias("weighted"), F.min("correlation").alias("last"))
+
+    def weighted(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        at = np.flatnonzero(rows["rank"] == 1)
+        w = rows["correlation"] ** power
+        total = np.add.reduceat(w * rows["stars"], at) / np.add.reduceat(w, at) if len(at) else w
+        return {"user_id": rows["user_id"][at], "item_id": rows["item_id"][at], "weighted": total, "last": np.minimum.reduceat(rows["correlation"], at) if len(at) else w}
+
+    user, item = types(targets, "user_id")[0], types(ratings, "item_id")[0]
+    scored = nearest(targets, ratings, pairs, n, 9, f"user_id {user}, item_id {item}, weighted double, last double", weighted)
     users, items = averages(ratings)
     rows = targets.select("user_id", "item_id").join(scored, ["user_id", "item_id"], "left").join(users, "user_id", "left").join(items, "item_id", "left")
     return rows.select("user_id", "item_id", scalar.clipped(fallback(F.col("weighted"), unknown)).alias("prediction"), confidence(F.col("last")).alias("confidence"))

@@ -326,3 +326,55 @@ def test_two_phase_counts_sets_of_few_items_without_long_joins(spark):
     local = {tuple(x["items"]) for x in itemsets.candidates_by_partition(df, 12, most=3).collect()}
     assert {c for c in got if len(c) <= 3} <= local and max(map(len, local)) == 3
     assert itemsets.two_phase(df.limit(0), 12).count() == 0 and itemsets.candidates_by_partition(df.limit(0), 12).count() == 0
+
+
+def brute_neighbours(rows, least, n):
+    """(user, item, other, correlation, stars, rank) of all rated pairs, by their definition."""
+    users, items = {}, {}
+    for u, i, x in rows:
+        users.setdefault(u, {})[i] = items.setdefault(i, {})[u] = x
+    alike = {}
+    for a, b in itertools.permutations(items, 2):
+        both = sorted(items[a].keys() & items[b].keys())
+        x, y = np.array([items[a][u] for u in both]), np.array([items[b][u] for u in both])
+        if len(both) >= least and x.var() > 1e-9 and y.var() > 1e-9:
+            alike[a, b] = float(np.corrcoef(x, y)[0, 1])
+    out = []
+    for u, i, _ in rows:
+        best = sorted((-round(alike[i, o], 9), o) for o in users[u] if alike.get((i, o), 0) > 1e-9)[:n]
+        out += [(u, i, o, round(-c, 6), users[u][o], k + 1) for k, (c, o) in enumerate(best)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("name", ["topn_neighbours"])
+def test_users_of_many_items_make_no_rows_of_pairs(spark, monkeypatch, name):
+    r = random.Random(6)
+    rows = [(u, i, float(r.randint(1, 5))) for u in range(6) for i in sorted(r.sample(range(260), 250))] + [(u, i, float(r.randint(1, 5))) for u in range(6, 40) for i in r.sample(range(12), 5)]
+    monkeypatch.setattr(catalogue, "ratings", lambda *_: spark.createDataFrame(rows, "user_id long, item_id long, stars double"))
+    monkeypatch.setattr(catalogue, "rating_features", lambda *_: (spark.createDataFrame([(1, 2.0)], "user_id long, orders double"), spark.createDataFrame([(1, 3.0)], "item_id long, acctbal double")))
+    got, shuffled = shuffled_rows(spark, lambda: catalogue.QUERIES[name](spark, "").collect())
+    assert shuffled < 120_000  # a user's pairs of items are some 60,000, and as many again for neighbours
+    n = {"topn_neighbours": 3}.get(name, 8)
+    want = brute_neighbours(rows, 3, n)
+    if name == "topn_neighbours":
+        # whole digits, as ties in the ninth may fall either way
+        assert sorted((x.user_id, x.item_id, x["rank"], round(x.correlation, 5)) for x in got) == sorted((u, i, k, round(c, 5)) for u, i, _, c, _, k in want)
+    else:
+        cf = {(x.user_id, x.item_id): x["prediction" if name == "cf_predict" else "cf"] for x in got}
+        near = {}
+        for u, i, _, c, s, _ in want:
+            near.setdefault((u, i), []).append((c, s))
+        assert len(cf) == len(rows) + 2
+        assert all(cf[k] == pytest.approx(sum(c * s for c, s in v) / sum(c for c, _ in v), abs=2e-4) for k, v in near.items())
+
+
+def test_neighbours_of_named_items_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(recommend, "BLOCK", 30)
+    r = random.Random(7)
+    rows = [(u, i, float(r.randint(1, 5))) for u in range(30) for i in r.sample(range(15), 8)]
+    df = spark.createDataFrame([(f"u{u:02}", f"i{i:02}", x) for u, i, x in rows] + [("u00", None, 1.0), (None, "i00", 1.0)], "user_id string, item_id string, stars double")
+    pairs = recommend.item_pairs(df, 3)
+    targets = df.select("user_id", "item_id").unionByName(spark.createDataFrame([("u00", "new"), ("new", "i00")], "user_id string, item_id string"))
+    got = sorted((int(x.user_id[1:]), int(x.item_id[1:]), int(x.other[1:]), round(x.correlation, 6), x.stars, x["rank"]) for x in recommend.neighbours(targets, df, pairs, 4).collect())
+    assert got == brute_neighbours(rows, 3, 4) and recommend.blocks(df)[2] > 5
+    assert recommend.item_pairs(df.limit(0)).count() == 0 and recommend.neighbours(targets.limit(0), df, pairs).count() == 0
