@@ -346,7 +346,7 @@ def brute_neighbours(rows, least, n):
     return sorted(out)
 
 
-@pytest.mark.parametrize("name", ["topn_neighbours", "cf_predict"])
+@pytest.mark.parametrize("name", ["topn_neighbours", "cf_predict", "cf_feature"])
 def test_users_of_many_items_make_no_rows_of_pairs(spark, monkeypatch, name):
     r = random.Random(6)
     rows = [(u, i, float(r.randint(1, 5))) for u in range(6) for i in sorted(r.sample(range(260), 250))] + [(u, i, float(r.randint(1, 5))) for u in range(6, 40) for i in r.sample(range(12), 5)]
