@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import scalar
+from lodestone.plans.session import stored
 
 from .relational import either, sample_fraction, unknown
 
@@ -34,6 +35,7 @@ def grid_search(train: DataFrame, columns: list[str], label: str = "stars", *, d
     """The best boosted trees by cross-validation, and (depth, rate, rmse) of all."""
     gbt = GBTRegressor(labelCol=label, maxIter=trees, seed=seed)
     grid = ParamGridBuilder().addGrid(gbt.maxDepth, list(depths)).addGrid(gbt.stepSize, list(rates)).build()
+    train = stored(train.select(*columns, label))  # each fold would make it twice, out of all that it is joined from
     found = CrossValidator(estimator=gbt, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol=label), numFolds=folds, seed=seed).fit(assembled(train, columns))
     rows = [(int(p[gbt.maxDepth]), float(p[gbt.stepSize]), float(m)) for p, m in zip(grid, found.avgMetrics)]
     return found.bestModel, train.sparkSession.createDataFrame(rows, "depth int, rate double, rmse double")

@@ -378,3 +378,16 @@ def test_neighbours_of_named_items_in_several_blocks(spark, monkeypatch):
     got = sorted((int(x.user_id[1:]), int(x.item_id[1:]), int(x.other[1:]), round(x.correlation, 6), x.stars, x["rank"]) for x in recommend.neighbours(targets, df, pairs, 4).collect())
     assert got == brute_neighbours(rows, 3, 4) and recommend.blocks(df)[2] > 5
     assert recommend.item_pairs(df.limit(0)).count() == 0 and recommend.neighbours(targets.limit(0), df, pairs).count() == 0
+
+
+def test_grid_search_makes_its_rows_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    rows = spark.createDataFrame([(float(i % 7), float(i % 3), float(i % 5)) for i in range(200)], "x double, y double, stars double").mapInPandas(count, "x double, y double, stars double")
+    _, grid = models.grid_search(rows, ["x", "y"], depths=(1, 2), rates=(0.1,), trees=1, folds=2)
+    assert grid.count() == 2 and made.value == 200
