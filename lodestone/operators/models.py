@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -11,10 +15,13 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions import scalar
+from lodestone.functions import hashing, scalar
 from lodestone.plans.session import stored
 
-from .relational import either, sample_fraction, unknown
+from .relational import either, sample_fraction
+
+#: Sampled users are dealt into so many packs.
+PACKS = 48
 
 
 def assembled(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -83,10 +90,51 @@ def content_boosted(ratings: DataFrame, users: DataFrame, items: DataFrame, perc
     A fresh item sample for each user: pairs are kept by their own hash, within the sampled users.
     """
     some = sample_fraction(users.select("user_id").distinct(), "user_id", percent, seed)
-    key = F.concat_ws("-", "user_id", "item_id")
-    pairs = some.join(items.select("item_id").distinct(), how="cross").withColumn("key", key)  # a stated sample of users against the items
-    chosen = unknown(sample_fraction(pairs, "key", percent, seed + 1).drop("key"), ratings, ["user_id", "item_id"])
-    return either(ratings.select("user_id", "item_id", "stars"), predict(chosen).select("user_id", "item_id", F.col("prediction").alias("stars")))
+    rated = ratings.select("user_id", F.col("item_id").alias("rated")).join(some, "user_id", "left_semi").distinct()
+    lists = some.join(rated.groupBy("user_id").agg(F.collect_list("rated").alias("rated")), "user_id", "left")
+    # packs of users meet packs of items, and a pair is a row only once it is chosen
+    left = lists.groupBy(F.pmod(F.xxhash64("user_id"), F.lit(PACKS)).alias("p")).agg(F.collect_list(F.struct("user_id", "rated")).alias("us")).drop("p")
+    right = items.select("item_id").distinct().groupBy(F.pmod(F.xxhash64("item_id"), F.lit(4)).alias("q")).agg(F.array_sort(F.collect_list("item_id")).alias("its")).drop("q")
+    prefix = f"{seed + 1}-"
+
+    def chosen(batches):
+        for batch in batches:
+            for us, its in zip(batch["us"], batch["its"]):
+                yield from unrated_sample(us, its, prefix, percent)
+
+    kinds = f"user_id {users.schema['user_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}"
+    packs = stored(left.repartition(PACKS)).crossJoin(F.broadcast(stored(right)))  # some ids, no rows of pairs
+    pairs = packs.repartition(4 * PACKS).mapInPandas(chosen, kinds)
+    return either(ratings.select("user_id", "item_id", "stars"), predict(pairs).select("user_id", "item_id", F.col("prediction").alias("stars")))
+
+
+def unrated_sample(us, its, prefix: str, percent: int) -> Iterator[pd.DataFrame]:
+    """Of the pairs of these users and items those that the hash of both chooses and that are not rated."""
+    its = np.asarray(its)
+    ends = [str(i).encode() for i in its.tolist()]
+    size = np.array([len(e) for e in ends])
+    groups = [(np.flatnonzero(size == n), int(n)) for n in np.unique(size)]
+    blocks: dict[tuple[int, int], np.ndarray] = {}
+    made, rows = [], 0
+    for k, u in enumerate(us):
+        begin = f"{prefix}{u['user_id']}-".encode()
+        keep = []
+        for places, n in groups:
+            if len(begin) + n > hashing.SHORT:
+                keep.append(places[[hashing.digits_of(begin, ends[i]) % 100 < percent for i in places]])
+                continue
+            key = len(begin), n
+            if key not in blocks:
+                blocks[key] = hashing.blocks_of([ends[i] for i in places], len(begin))
+            keep.append(places[hashing.first_digits(begin, blocks[key]) % np.uint32(100) < percent])
+        found = its[np.concatenate(keep)]
+        if u["rated"] is not None and len(u["rated"]):
+            found = found[~np.isin(found, np.asarray(u["rated"]))]
+        made.append((u["user_id"], found))
+        rows += len(found)
+        if rows > 200_000 or k + 1 == len(us):
+            yield pd.DataFrame({"user_id": np.repeat(np.asarray([v for v, _ in made]), [len(x) for _, x in made]), "item_id": np.concatenate([x for _, x in made])})
+            made, rows = [], 0
 
 
 def knn_regression(queries: DataFrame, train: DataFrame, columns: list[str], label: str, k: int, key: str, digits: int = 9) -> DataFrame:

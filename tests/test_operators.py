@@ -1,5 +1,6 @@
 """Small inputs whose results are known by hand, and invariants."""
 
+import hashlib
 import itertools
 import random
 
@@ -391,3 +392,15 @@ def test_grid_search_makes_its_rows_once(spark):
     rows = spark.createDataFrame([(float(i % 7), float(i % 3), float(i % 5)) for i in range(200)], "x double, y double, stars double").mapInPandas(count, "x double, y double, stars double")
     _, grid = models.grid_search(rows, ["x", "y"], depths=(1, 2), rates=(0.1,), trees=1, folds=2)
     assert grid.count() == 2 and made.value == 200
+
+
+def test_content_boost_makes_rows_of_chosen_pairs_alone(spark):
+    users, items = [f"u{i}" for i in range(120)], [f"i{i}" for i in range(95)] + ["x" * 60, "é"]
+    rated = [(u, i, 4.0) for u in users[:60] for i in items[:20]] + [("u1", None, 1.0)]
+    tables = [spark.createDataFrame(rows, schema) for rows, schema in ((rated, "user_id string, item_id string, stars double"), ([(u,) for u in users], "user_id string"), ([(i,) for i in items], "item_id string"))]
+    boosted = models.content_boosted(*tables, 50, 3, lambda df: df.withColumn("prediction", F.lit(2.5)))
+    got = sorted((x.user_id, x.item_id) for x in boosted.where("stars = 2.5").collect())
+    part = lambda seed, key: int(hashlib.md5(f"{seed}-{key}".encode()).hexdigest()[:7], 16) % 100
+    assert got == sorted((u, i) for u in users if part(3, u) < 50 for i in items if part(4, f"{u}-{i}") < 50 and (u, i, 4.0) not in rated)
+    # the pairs are not joined with the ratings
+    assert len(got) > 2000 and "LeftAnti" not in boosted._jdf.queryExecution().executedPlan().toString()
