@@ -404,3 +404,27 @@ def test_content_boost_makes_rows_of_chosen_pairs_alone(spark):
     assert got == sorted((u, i) for u in users if part(3, u) < 50 for i in items if part(4, f"{u}-{i}") < 50 and (u, i, 4.0) not in rated)
     # the pairs are not joined with the ratings
     assert len(got) > 2000 and "LeftAnti" not in boosted._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("found", [lambda e: graph.components(e)])
+def test_graphs_make_dear_edges_once_and_compare_users_in_many_tasks(spark, found):
+    met = graph.corating(spark.createDataFrame([(u, d) for u in range(60) for d in range(30)], "u long, i long"), "u", "i", 29)
+    assert met.count() == 60 * 59 // 2 and met.rdd.getNumPartitions() >= graph.PARTS
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    edges_ = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (3, 4)], "src long, dst long").mapInPandas(count, "src long, dst long")
+    assert found(edges_).count() == 4 and made.value == 4
+
+
+def test_corating_of_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BLOCK", 7)
+    monkeypatch.setattr(graph, "WIDE", 4)
+    r = random.Random(5)
+    sets = {f"u{u:02}": r.sample(range(12), r.randint(8, 12)) for u in range(40)}
+    got = [tuple(x) for x in graph.corating(spark.createDataFrame([(u, i) for u, s in sets.items() for i in s], "u string, i long"), "u", "i", 8).collect()]
+    assert sorted(got) == sorted((a, b) for a in sets for b in sets if a < b and len(set(sets[a]) & set(sets[b])) >= 8)
