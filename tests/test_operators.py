@@ -406,7 +406,7 @@ def test_content_boost_makes_rows_of_chosen_pairs_alone(spark):
     assert len(got) > 2000 and "LeftAnti" not in boosted._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("found", [lambda e: graph.components(e), lambda e: graph.label_propagation(e, 1)])
+@pytest.mark.parametrize("found", [lambda e: graph.components(e), lambda e: graph.label_propagation(e, 1), lambda e: graph.girvan_newman(e, patience=1)[0]])
 def test_graphs_make_dear_edges_once_and_compare_users_in_many_tasks(spark, found):
     met = graph.corating(spark.createDataFrame([(u, d) for u in range(60) for d in range(30)], "u long, i long"), "u", "i", 29)
     assert met.count() == 60 * 59 // 2 and met.rdd.getNumPartitions() >= graph.PARTS
