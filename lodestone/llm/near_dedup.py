@@ -19,8 +19,8 @@ share one of their rarest fifth (and one more). An edit changes three shingles
 of three words at most and moves the others by one place, so texts of edit
 similarity 0.9 share one of the rarest three tenths of those (and one more), at
 places that differ by a tenth of their length at most. So no such pair is lost,
-and a frequent passage makes none. The nodes of such a shingle meet eight
-leaders first: in a family of edited copies of one text most pairs are linked,
+and a frequent passage makes none. The nodes of such a shingle meet a few
+leaders first, four for shingles of five words and eight for those of three: in a family of edited copies of one text most pairs are linked,
 so hardly any node is left apart from the others when all are compared. No pair
 within a component is made, no bucket is cut off. Components are found by
 alternating stars.
@@ -415,11 +415,22 @@ def classes(docs: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
     def rerooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
         return rooted(rows.drop("root"), roots, "node", "root")
 
+    def led(rows: DataFrame, seeds: tuple[int, ...], columns: tuple[str, ...], that: F.Column) -> DataFrame:
+        """Pairs of different components of a shingle's nodes with a few leaders, of which shingles that share nodes agree."""
+        lead = [F.min(F.struct(F.xxhash64(F.lit(i), "node"), *columns)).alias(f"l{i}") for i in seeds]
+        lead = rows.groupBy("h").agg(*lead).select("h", F.explode(F.array(*(F.col(f"l{i}") for i in seeds))).alias("l")).select("h", *(F.col("l")[c].alias(f"b{c}") for c in columns))
+        met = rows.select("h", *(F.col(c).alias(f"a{c}") for c in columns)).join(lead, "h").where("aroot <> broot").where(near("an", "bn")).where(that)
+        met = met.select(F.least("anode", "bnode").alias("a"), F.greatest("anode", "bnode").alias("b")).distinct()
+        return met.join(stars, ["a", "b"], "left_anti")
+
     # the rarest shingles of two documents of SIMILARITY or more meet, whatever frequent passages they share
     enough = F.least("ashared", "bshared") >= SIMILARITY / (1 + SIMILARITY) * (F.col("asize") + F.col("bsize")) - 1e-6
-    alike = paired(rarest("shingles", WORDS, F.ceil(SIMILARITY * F.col("size") - 1e-9)), "h", "size", "shared", that=enough)
+    long = rarest("shingles", WORDS, F.ceil(SIMILARITY * F.col("size") - 1e-9))
+    # families of edited copies: a shingle's nodes meet a few leaders first, and only what these leave apart meets all others
+    roots = merged(roots, links(led(long, (1, 2, 3, 4), ("node", "n", "root", "size", "shared"), enough), "links0"), "zeroth")
+    alike = paired(store.write(apart_of(rerooted(long, roots)), "shingles-left"), "h", "size", "shared", that=enough)
     roots = merged(roots, links(alike.distinct().join(stars, ["a", "b"], "left_anti"), "links3"), "third")
-    store.drop("open", "keys", "shingles", "shingles-rarest", "links1", "links2", "links3")
+    store.drop("open", "keys", "shingles", "shingles-rarest", "shingles-left", "links0", "links1", "links2", "links3")
     store.forget_shuffles()
     # and so do the rarest short shingles of two documents that EDIT links, as each edit changes SHORT of the longer one's at most
     longer = F.greatest("an", "bn")
@@ -431,14 +442,10 @@ def classes(docs: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
     short = rarest("short", SHORT, kept).where(F.col("n") >= 9)
     store.drop("short", "apart")
     store.forget_shuffles()
-    # families of edited copies: a shingle's nodes meet a few leaders first, of which shingles that share nodes agree
     for name, seeds in (("links4", (1, 2, 3, 4)), ("links5", (5, 6, 7, 8))):
         short = store.write(apart_of(rerooted(short, roots)), f"short-{name}")
-        lead = [F.min(F.struct(F.xxhash64(F.lit(i), "node"), "node", "n", "root", "shared", "place")).alias(f"l{i}") for i in seeds]
-        lead = short.groupBy("h").agg(*lead).select("h", F.explode(F.array(*(F.col(f"l{i}") for i in seeds))).alias("l")).select("h", *(F.col("l")[c].alias(f"b{c}") for c in ("node", "n", "root", "shared", "place")))
-        met = short.select("h", *(F.col(c).alias(f"a{c}") for c in ("node", "n", "root", "shared", "place"))).join(lead, "h").where("aroot <> broot").where(enough)
-        met = met.select(F.least("anode", "bnode").alias("a"), F.greatest("anode", "bnode").alias("b")).distinct()
-        roots = merged(roots, links(met.join(stars, ["a", "b"], "left_anti"), name), f"{name}-")
+        met = led(short, seeds, ("node", "n", "root", "shared", "place"), enough)
+        roots = merged(roots, links(met, name), f"{name}-")
         store.forget_shuffles()
     # what they leave apart, each with all others
     edited = paired(store.write(apart_of(rerooted(short, roots)), "short-left"), "h", "shared", "place", that=enough)
