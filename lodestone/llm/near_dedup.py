@@ -20,8 +20,11 @@ of three words at most and moves the others by one place, so texts of edit
 similarity 0.9 share one of the rarest three tenths of those (and one more), at
 places that differ by a tenth of their length at most. So no such pair is lost,
 and a frequent passage makes none. The nodes of such a shingle meet a few
-leaders first, four for shingles of five words and eight for those of three: in a family of edited copies of one text most pairs are linked,
-so hardly any node is left apart from the others when all are compared. No pair
+leaders first, four for shingles of five words and six for those of three, among
+them the node with the fewest shingles of its own: in a family of edited copies of one text most are linked with
+that, so hardly any node is left apart from the others when all are compared. Then bitmaps
+of their shingles or words tell, without loss, which of such pairs differ by more than a link
+allows; only the others are aligned. No pair
 within a component is made, no bucket is cut off. Components are found by
 alternating stars.
 """
@@ -43,6 +46,8 @@ from .common import NULL_ID, REMEMBERED, Store, keyed, remember_only, tune
 WORDS, SKETCHES, TAKEN, SIMILARITY, EDIT = 5, 32, 3, 0.8, 0.9
 #: Shingles of so many words are counted for edit links.
 SHORT = 3
+#: Longs of a marks bitmap.
+MARKS = 16
 #: Word counts of one step of length differ by this factor at most.
 STEP = 1.12
 SEEDS = np.random.Generator(np.random.PCG64(11)).integers(1, 2**63, (SKETCHES, 2), np.uint64) | np.uint64(1)
@@ -96,6 +101,15 @@ def labelled_shingles(h: np.ndarray) -> np.ndarray:
     return np.where(occurrence > 0, (h ^ occurrence * M2) * M1, h)
 
 
+def marks(h: np.ndarray) -> np.ndarray:
+    """MARKS longs with a bit for each place that an odd number of these hashes fall on: two sets differ by as many hashes as their bits do, at least."""
+    x = h * M2
+    x ^= x >> np.uint64(32)
+    x *= M1
+    bits = np.bincount((x >> np.uint64(32)).astype(np.int64) % (64 * MARKS), minlength=64 * MARKS).astype(np.uint8) & 1
+    return np.packbits(bits).view(np.int64)
+
+
 def least(x: np.ndarray, taken: int) -> np.ndarray:
     """The places of the least entries of each row."""
     n = x.shape[1]
@@ -366,7 +380,9 @@ def classes(docs: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
         over = rooted(rooted(pairs, roots, "a", "ra"), roots, "b", "rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
         new = components(over, store, name)
         nodes_ = roots.unionByName(new.select("node", F.col("node").alias("root")).join(roots, "node", "left_anti"))
-        return store.write(rooted(nodes_.withColumnRenamed("root", "r"), new, "r", "root").select("node", "root"), f"{name}-roots")
+        out = store.write(rooted(nodes_.withColumnRenamed("root", "r"), new, "r", "root").select("node", "root"), f"{name}-roots")
+        store.forget_shuffles()
+        return out
 
     # one star for each node, then the others that would join components, then what several sketches suggest
     tried = store.write(stars.groupBy("b").agg(F.min(F.struct(-F.col("shared"), "a")).alias("best")).select("b", F.col("best.a").alias("a")), "tried")
@@ -378,11 +394,25 @@ def classes(docs: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
     left = store.write(placed.join(open_, "key"), "open")
     store.drop("placed")
 
-    def paired(rows: DataFrame, on: str, *more: str, that: F.Column | None = None) -> DataFrame:
-        """Pairs of different components that meet on a key; that: a condition on columns of both, with a or b before their names."""
-        named = lambda s: rows.select(on, F.col("node").alias(s), *(F.col(c).alias(s + c) for c in ("n", "root", *more)))
-        pairs = named("a").join(named("b"), on).where("a < b and aroot <> broot").where(near("an", "bn"))
-        return (pairs if that is None else pairs.where(that)).select("a", "b")
+    def paired(rows: DataFrame, on: str, *more: str, k: int, that: F.Column, most: F.Column) -> DataFrame:
+        """Pairs of different components that meet on a key, without those whose shingles of k words differ by more than `most`.
+
+        that, most: of columns of both, with a or b before their names, the same from either side.
+        """
+
+        def marked(batches):
+            for b in batches:
+                yield pd.DataFrame({"node": b.node, "marks": [marks(labelled_shingles(shingles(np.frombuffer(w, "<u4").astype(np.uint64), k))) for w in b.w]})
+
+        own = source.join(rows.select("node").distinct(), "node", "left_semi").select("node", "w").mapInPandas(marked, "node long, marks array<long>")
+        rows = rows.join(store.write(own, f"marks{k}").select("node", *(F.col("marks")[i].alias(f"m{i}") for i in range(MARKS))), "node")
+        # one node of such a pair is not of the component that has most of the key's nodes
+        main = rows.groupBy(on, "root").agg(F.count("*").alias("size")).groupBy(on).agg(F.max(F.struct("size", "root"))["root"].alias("main"))
+        named = lambda rows, s: rows.select(on, F.col("node").alias(f"{s}node"), *(F.col(c).alias(s + c) for c in ("n", "root", *more, *(f"m{i}" for i in range(MARKS)))))
+        few = named(rows.join(main, on).where("root <> main"), "a")
+        differ = sum((F.bit_count(F.col(f"am{i}").bitwiseXOR(F.col(f"bm{i}"))) for i in range(MARKS)), F.lit(0))
+        pairs = few.join(named(rows, "b"), on).where("aroot <> broot").where(near("an", "bn")).where(that).where(differ <= most)
+        return pairs.select(F.least("anode", "bnode").alias("a"), F.greatest("anode", "bnode").alias("b")).distinct()
 
     source = store.write(left.select("node", "n", "root").distinct().join(texts, "node"), "apart")
 
@@ -416,8 +446,12 @@ def classes(docs: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
         return rooted(rows.drop("root"), roots, "node", "root")
 
     def led(rows: DataFrame, seeds: tuple[int, ...], columns: tuple[str, ...], that: F.Column) -> DataFrame:
-        """Pairs of different components of a shingle's nodes with a few leaders, of which shingles that share nodes agree."""
-        lead = [F.min(F.struct(F.xxhash64(F.lit(i), "node"), *columns)).alias(f"l{i}") for i in seeds]
+        """Pairs of different components of a shingle's nodes with a few leaders, of which shingles that share nodes agree.
+
+        Seed 0 takes the node that has least of its own: the text that a family's copies were made of, or next to it.
+        """
+        far = {i: (F.lit(0) if i else F.col("n") - F.col("shared")).cast("long") for i in seeds}
+        lead = [F.min(F.struct(far[i].alias("far"), F.xxhash64(F.lit(i), "node").alias("x"), *columns)).alias(f"l{i}") for i in seeds]
         lead = rows.groupBy("h").agg(*lead).select("h", F.explode(F.array(*(F.col(f"l{i}") for i in seeds))).alias("l")).select("h", *(F.col("l")[c].alias(f"b{c}") for c in columns))
         met = rows.select("h", *(F.col(c).alias(f"a{c}") for c in columns)).join(lead, "h").where("aroot <> broot").where(near("an", "bn")).where(that)
         met = met.select(F.least("anode", "bnode").alias("a"), F.greatest("anode", "bnode").alias("b")).distinct()
@@ -427,9 +461,10 @@ def classes(docs: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
     enough = F.least("ashared", "bshared") >= SIMILARITY / (1 + SIMILARITY) * (F.col("asize") + F.col("bsize")) - 1e-6
     long = rarest("shingles", WORDS, F.ceil(SIMILARITY * F.col("size") - 1e-9))
     # families of edited copies: a shingle's nodes meet a few leaders first, and only what these leave apart meets all others
-    roots = merged(roots, links(led(long, (1, 2, 3, 4), ("node", "n", "root", "size", "shared"), enough), "links0"), "zeroth")
-    alike = paired(store.write(apart_of(rerooted(long, roots)), "shingles-left"), "h", "size", "shared", that=enough)
-    roots = merged(roots, links(alike.distinct().join(stars, ["a", "b"], "left_anti"), "links3"), "third")
+    roots = merged(roots, links(led(long, (0, 1, 2, 3), ("node", "n", "root", "size", "shared"), enough), "links0"), "zeroth")
+    apart = store.write(apart_of(rerooted(long, roots)), "shingles-left")
+    alike = paired(apart, "h", "size", "shared", k=WORDS, that=enough, most=(1 - SIMILARITY) / (1 + SIMILARITY) * (F.col("asize") + F.col("bsize")) + 1e-6)
+    roots = merged(roots, links(alike.join(stars, ["a", "b"], "left_anti"), "links3"), "third")
     store.drop("open", "keys", "shingles", "shingles-rarest", "shingles-left", "links0", "links1", "links2", "links3")
     store.forget_shuffles()
     # and so do the rarest short shingles of two documents that EDIT links, as each edit changes SHORT of the longer one's at most
@@ -440,17 +475,18 @@ def classes(docs: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
     enough &= (F.col("aplace") < 0) | (F.col("bplace") < 0) | (F.abs(F.col("aplace") - F.col("bplace")) <= most)
     kept = F.ceil((1 - SHORT * (1 - EDIT)) * F.col("n") - SHORT + 1 - 1e-6)
     short = rarest("short", SHORT, kept).where(F.col("n") >= 9)
-    store.drop("short", "apart")
+    store.drop("short")
     store.forget_shuffles()
-    for name, seeds in (("links4", (1, 2, 3, 4)), ("links5", (5, 6, 7, 8))):
+    for name, seeds in (("links4", (0, 1, 2, 3)), ("links5", (4, 5))):
         short = store.write(apart_of(rerooted(short, roots)), f"short-{name}")
         met = led(short, seeds, ("node", "n", "root", "shared", "place"), enough)
         roots = merged(roots, links(met, name), f"{name}-")
         store.forget_shuffles()
-    # what they leave apart, each with all others
-    edited = paired(store.write(apart_of(rerooted(short, roots)), "short-left"), "h", "shared", "place", that=enough)
-    roots = merged(roots, links(edited.distinct().join(stars, ["a", "b"], "left_anti"), "links6"), "last")
-    store.drop("open", "keys", "stars", "tried", "words", "apart", "shingles", "shingles-rarest", "short", "short-rarest", "short-links4", "short-links5", "short-left", "nodes", *(f"links{i}" for i in range(1, 7)))
+    # what they leave apart, each with all others, of which it has all but `most` words of the longer one at least
+    apart = store.write(apart_of(rerooted(short, roots)), "short-left")
+    edited = paired(apart, "h", "shared", "place", k=1, that=enough, most=2 * most - F.abs(F.col("an") - F.col("bn")))
+    roots = merged(roots, links(edited.join(stars, ["a", "b"], "left_anti"), "links6"), "last")
+    store.drop("open", "keys", "stars", "tried", "words", "apart", "shingles", "shingles-rarest", "short", "short-rarest", "short-links4", "short-links5", "short-left", f"marks{WORDS}", "marks1", "nodes", *(f"links{i}" for i in range(1, 7)))
     store.forget_shuffles()
     return found, roots
 

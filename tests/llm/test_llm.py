@@ -255,6 +255,41 @@ def test_edited_copies_in_large_buckets(spark):
     assert got == brute_classes(rows)
 
 
+def test_texts_apart_from_a_family_are_not_compared_with_all_of_it(spark, tmp_path, monkeypatch):
+    """40 texts share their rare shingles with 160 copies, with a few words changed, that none of them is linked to: 6,400 pairs that no leader settles."""
+    r = random.Random(17)
+    base = [f"v{i}" for i in range(150)]
+    rows = {}
+    for i in range(200):
+        w = base[:]
+        for p in r.sample(range(150), r.choice((14, 15) if i % 5 == 0 else (5, 6))):
+            w[p] = f"e{r.randrange(10**9)}"
+        rows[i] = " ".join(w)
+    verified, log = near_dedup.verified, str(tmp_path)
+
+    def counted(batches):
+        import uuid
+
+        for b in batches:
+            with open(f"{log}/{uuid.uuid4().hex}", "w") as f:
+                f.write(str(len(b)))
+            yield from verified(iter([b]))
+
+    monkeypatch.setattr(near_dedup, "verified", counted)
+    got = {x.doc_id: x.class_id for x in near_dedup.near_duplicates(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows)
+    assert sum(got[i] == i for i in rows) > 30
+    assert sum(int(f.read_text()) for f in tmp_path.iterdir()) < 4000
+
+
+def test_marks_differ_by_no_more_than_their_sets():
+    r = np.random.default_rng(5)
+    for common, a, b in ((300, 20, 15), (5, 2, 0), (0, 1, 900), (2000, 300, 300)):
+        h = r.integers(0, 2**64, common + a + b, np.uint64)
+        x, y = (near_dedup.marks(s).view(np.uint64) for s in (h[: common + a], np.concatenate([h[:common], h[common + a :]])))
+        assert 0 < int(np.bitwise_count(x ^ y).sum()) <= a + b
+
+
 def test_secret_patterns(spark, odd):
     key = "AKIA" + "Z9" * 8
     text = f'é Password: "abcd1234" token=short secret = {"0af9" * 10} {key} {"deadbeef" * 4}g API_KEY=x.y/z+w=1'
