@@ -20,7 +20,7 @@ of three words at most and moves the others by one place, so texts of edit
 similarity 0.9 share one of the rarest three tenths of those (and one more), at
 places that differ by a tenth of their length at most. So no such pair is lost,
 and a frequent passage makes none. The nodes of such a shingle meet a few
-leaders first, four for shingles of five words and six for those of three, among
+leaders first, four for shingles of five words and for those of three, among
 them the node with the fewest shingles of its own: in a family of edited copies of one text most are linked with
 that, so hardly any node is left apart from the others when all are compared. Then bitmaps
 of their shingles or words tell, without loss, which of such pairs differ by more than a link
@@ -405,10 +405,10 @@ def classes(docs: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
                 yield pd.DataFrame({"node": b.node, "marks": [marks(labelled_shingles(shingles(np.frombuffer(w, "<u4").astype(np.uint64), k))) for w in b.w]})
 
         own = source.join(rows.select("node").distinct(), "node", "left_semi").select("node", "w").mapInPandas(marked, "node long, marks array<long>")
-        rows = rows.join(store.write(own, f"marks{k}").select("node", *(F.col("marks")[i].alias(f"m{i}") for i in range(MARKS))), "node")
+        own = store.write(own, f"marks{k}").select("node", *(F.col("marks")[i].alias(f"m{i}") for i in range(MARKS)))
         # one node of such a pair is not of the component that has most of the key's nodes
         main = rows.groupBy(on, "root").agg(F.count("*").alias("size")).groupBy(on).agg(F.max(F.struct("size", "root"))["root"].alias("main"))
-        named = lambda rows, s: rows.select(on, F.col("node").alias(f"{s}node"), *(F.col(c).alias(s + c) for c in ("n", "root", *more, *(f"m{i}" for i in range(MARKS)))))
+        named = lambda rows, s: rows.join(own, "node").select(on, F.col("node").alias(f"{s}node"), *(F.col(c).alias(s + c) for c in ("n", "root", *more, *(f"m{i}" for i in range(MARKS)))))
         few = named(rows.join(main, on).where("root <> main"), "a")
         differ = sum((F.bit_count(F.col(f"am{i}").bitwiseXOR(F.col(f"bm{i}"))) for i in range(MARKS)), F.lit(0))
         pairs = few.join(named(rows, "b"), on).where("aroot <> broot").where(near("an", "bn")).where(that).where(differ <= most)
@@ -435,7 +435,7 @@ def classes(docs: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
         shared = F.count("*").over(own)
         rank = F.row_number().over(own.orderBy("df", "h")) + F.col("size") - shared
         found = rows.join(frequent, "h").withColumn("shared", shared).withColumn("rank", rank).where(F.col("rank") <= F.col("size") - least + 1).where(F.col("shared") >= least)
-        return apart_of(store.write(found.select("h", "node", "n", "root", "size", "shared", "place"), f"{name}-rarest"))
+        return store.write(found.select("h", "node", "n", "root", "size", "shared", "place"), f"{name}-rarest")
 
     def apart_of(rows: DataFrame) -> DataFrame:
         """Those of shingles whose nodes are in more than one component."""
@@ -459,13 +459,13 @@ def classes(docs: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
 
     # the rarest shingles of two documents of SIMILARITY or more meet, whatever frequent passages they share
     enough = F.least("ashared", "bshared") >= SIMILARITY / (1 + SIMILARITY) * (F.col("asize") + F.col("bsize")) - 1e-6
-    long = rarest("shingles", WORDS, F.ceil(SIMILARITY * F.col("size") - 1e-9))
+    long = store.write(apart_of(rarest("shingles", WORDS, F.ceil(SIMILARITY * F.col("size") - 1e-9))), "shingles-open")
     # families of edited copies: a shingle's nodes meet a few leaders first, and only what these leave apart meets all others
     roots = merged(roots, links(led(long, (0, 1, 2, 3), ("node", "n", "root", "size", "shared"), enough), "links0"), "zeroth")
     apart = store.write(apart_of(rerooted(long, roots)), "shingles-left")
     alike = paired(apart, "h", "size", "shared", k=WORDS, that=enough, most=(1 - SIMILARITY) / (1 + SIMILARITY) * (F.col("asize") + F.col("bsize")) + 1e-6)
     roots = merged(roots, links(alike.join(stars, ["a", "b"], "left_anti"), "links3"), "third")
-    store.drop("open", "keys", "shingles", "shingles-rarest", "shingles-left", "links0", "links1", "links2", "links3")
+    store.drop("open", "keys", "shingles", "shingles-rarest", "shingles-open", "shingles-left", "links0", "links1", "links2", "links3")
     store.forget_shuffles()
     # and so do the rarest short shingles of two documents that EDIT links, as each edit changes SHORT of the longer one's at most
     longer = F.greatest("an", "bn")
@@ -477,16 +477,14 @@ def classes(docs: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
     short = rarest("short", SHORT, kept).where(F.col("n") >= 9)
     store.drop("short")
     store.forget_shuffles()
-    for name, seeds in (("links4", (0, 1, 2, 3)), ("links5", (4, 5))):
-        short = store.write(apart_of(rerooted(short, roots)), f"short-{name}")
-        met = led(short, seeds, ("node", "n", "root", "shared", "place"), enough)
-        roots = merged(roots, links(met, name), f"{name}-")
-        store.forget_shuffles()
+    short = store.write(apart_of(rerooted(short, roots)), "short-open")
+    roots = merged(roots, links(led(short, (0, 1, 2, 3), ("node", "n", "root", "shared", "place"), enough), "links4"), "fourth")
+    store.forget_shuffles()
     # what they leave apart, each with all others, of which it has all but `most` words of the longer one at least
     apart = store.write(apart_of(rerooted(short, roots)), "short-left")
     edited = paired(apart, "h", "shared", "place", k=1, that=enough, most=2 * most - F.abs(F.col("an") - F.col("bn")))
-    roots = merged(roots, links(edited.join(stars, ["a", "b"], "left_anti"), "links6"), "last")
-    store.drop("open", "keys", "stars", "tried", "words", "apart", "shingles", "shingles-rarest", "short", "short-rarest", "short-links4", "short-links5", "short-left", f"marks{WORDS}", "marks1", "nodes", *(f"links{i}" for i in range(1, 7)))
+    roots = merged(roots, links(edited.join(stars, ["a", "b"], "left_anti"), "links5"), "last")
+    store.drop("open", "keys", "stars", "tried", "words", "apart", "shingles", "shingles-rarest", "short", "short-rarest", "short-open", "short-left", f"marks{WORDS}", "marks1", "nodes", *(f"links{i}" for i in range(1, 6)))
     store.forget_shuffles()
     return found, roots
 
