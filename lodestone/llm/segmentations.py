@@ -114,7 +114,12 @@ class Lattices:
         # of pieces -5 to -2, which are characters of 4 to 1 bytes, of none (-1), and of the model's
         self.weight = np.concatenate([np.arange(4, 0, -1) * -np.log(m.get_piece_size()), [-np.inf], np.array(weights)[order]])
         self.table = np.full(1 << TABLE, -1, np.int32)
-        self.table[(self.hash >> np.uint64(64 - TABLE)).astype(np.int64)] = np.arange(len(h))
+        place = (self.hash >> np.uint64(64 - TABLE)).astype(np.int64)
+        self.table[place] = np.arange(len(h))
+        self.shared = np.bincount(place, minlength=1 << TABLE)[place] > 1
+        # words of fewer characters than this have sums of plain numbers, which can't become too small: none weighs less than one of 4 bytes
+        self.plain = int(700 / -self.weight.min(where=self.weight > -np.inf, initial=0.0))
+        self.number = np.exp(self.weight)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The number of the piece with each hash, or -1."""
@@ -123,26 +128,31 @@ class Lattices:
         hit = self.hash.take(got, mode="wrap") == h
         hit &= there
         out = np.where(hit, got, np.int32(-1))
-        other = there
-        other &= ~hit
-        if other.any():
-            at = np.minimum(np.searchsorted(self.hash, h[other]), len(self.hash) - 1)
-            out[other] = np.where(self.hash[at] == h[other], at, -1)
+        there &= ~hit
+        # another piece is in that place: search where there are several
+        other = np.flatnonzero(there)
+        other = other[self.shared[got.ravel()[other]]]
+        if len(other):
+            wanted = h.ravel()[other]
+            at = np.minimum(np.searchsorted(self.hash, wanted), len(self.hash) - 1)
+            out.ravel()[other] = np.where(self.hash[at] == wanted, at, -1)
         return out
 
     def pieces(self, codes: np.ndarray) -> np.ndarray:
         """The pieces that end at each place of rows of characters, by length."""
         rows, n = codes.shape
         longest = min(n, self.longest)
-        piece = np.full((rows, n + 1, longest), -1, np.int32)
-        h = np.zeros((rows, n), np.uint64)
+        # rows stand last in memory, so that every step goes over all of them at once
+        codes = np.ascontiguousarray(codes.T)
+        piece = np.full((n + 1, longest, rows), -1, np.int32)
+        h = np.zeros((n, rows), np.uint64)
         for k in range(longest):
-            h = (h[:, : n - k] + codes[:, k:]) * M1
-            piece[:, k + 1 :, k] = self.find(h)
-        alone = piece[:, 1:, 0]
+            h = (h[: n - k] + codes[k:]) * M1
+            piece[k + 1 :, k] = self.find(h)
+        alone = piece[1:, 0]
         size = 1 + (codes > 0x80).astype(np.int32) + (codes > 0x800) + (codes > 0x10000)
-        piece[:, 1:, 0] = np.where(alone < 0, -1 - size, alone)
-        return piece
+        piece[1:, 0] = np.where(alone < 0, -1 - size, alone)
+        return piece.transpose(2, 0, 1)
 
     def weights(self, piece: np.ndarray) -> np.ndarray:
         return self.weight.take(piece + 5)
@@ -151,18 +161,24 @@ class Lattices:
         """Lattices of words of equal length."""
         piece = self.pieces(characters(words))
         rows, n, longest = len(words), piece.shape[1] - 1, piece.shape[2]
-        weight = self.weights(piece)
-        forward, share = np.full((rows, n + 1), -np.inf), np.ones((rows, n + 1, longest))
-        forward[:, 0] = 0
+        plain = n < self.plain
+        weight = (self.number if plain else self.weight).take(piece.transpose(1, 2, 0) + 5)
+        forward, share = np.empty((n + 1, rows)), np.ones((rows, n + 1, longest))
+        forward[0] = 1 if plain else 0
         for e in range(1, n + 1):
             k = min(e, longest)
-            ways = weight[:, e, :k] + forward[:, e - k : e][:, ::-1]
-            most = ways.max(axis=1)
-            w = np.exp(ways - most[:, None])
-            np.cumsum(w, axis=1, out=w)
-            forward[:, e] = most + np.log(w[:, -1])
-            np.divide(w[:, :-1], w[:, -1:], out=share[:, e, : k - 1])
-        return {"piece": piece, "forward": forward, "share": share}
+            ways, before = weight[e, :k], forward[e - k : e][::-1]
+            if plain:
+                ways *= before
+            else:
+                ways += before
+                most = ways.max(axis=0)
+                np.exp(ways - most, out=ways)
+            for i in range(1, k):
+                ways[i] += ways[i - 1]
+            forward[e] = ways[-1] if plain else most + np.log(ways[-1])
+            share[:, e, : k - 1] = (ways[:-1] / ways[-1]).T
+        return {"piece": piece, "forward": (np.log(forward) if plain else forward).T, "share": share}
 
 
 def draw(lattice: dict[str, np.ndarray], row: np.ndarray, state: np.ndarray) -> np.ndarray:

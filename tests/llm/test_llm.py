@@ -665,6 +665,22 @@ def test_long_unbroken_texts(monkeypatch):
     assert len(rows) == 9 and {segmentations.decode(lattices, np.frombuffer(ids, "<u4")) for d, _, ids, *_ in rows if d == 1} == {text}
 
 
+def test_short_words_are_summed_without_exponentials(monkeypatch):
+    """Words whose sums can't become too small take no exponential for each way into each place, and have the lattice that logarithms give."""
+    lattices, exp, taken = segmentations.Lattices(PIECE), np.exp, []
+    monkeypatch.setattr(np, "exp", lambda x, *a, **k: (taken.append(np.size(x)), exp(x, *a, **k))[1])
+    for words in (["▁thequickbr", "▁éa你xxé你thé", "▁" * 11, "▁" + "😀" * 10], ["▁the", "▁and"], ["▁", "é"], ["😀" * 15]):
+        lattices.plain = 16
+        short = lattices.build(words)
+        assert not taken
+        lattices.plain = 0
+        long = lattices.build(words)
+        assert taken and (short["piece"] == long["piece"]).all()
+        taken.clear()
+        assert np.isfinite(short["forward"]).all() and np.allclose(short["forward"], long["forward"], rtol=1e-12) and np.allclose(short["share"], long["share"], rtol=1e-12)
+    assert 16 == segmentations.Lattices(PIECE).plain
+
+
 def labelled(spark, n=900):
     r = random.Random(3)
     rows, labels = [], []
