@@ -22,7 +22,13 @@ CACHE = 600_000
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Characters whose class is beyond doubt; the apostrophe starts contractions, so it is not one.
 PLAIN = re.compile(f"[\n -&(-~{LETTERS}]*").fullmatch
-BYTE_WORDS = re.compile(f" ?[{LETTERS}]+|(?: (?![{LETTERS}])|[^ {LETTERS}])+").findall
+BYTE_WORDS = re.compile(f" ?[{LETTERS}]++|(?: (?![{LETTERS}])|[^ {LETTERS}]++)++").findall
+#: What is one word to the byte vocabulary in every table, and the characters that its model has for bytes.
+BYTE_WORD = re.compile(f" ?[{LETTERS}]+").fullmatch
+SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = np.zeros(256, "<u2")
+BYTE_CHARS[SEEN] = SEEN
+BYTE_CHARS[np.setdiff1d(np.arange(256), SEEN)] = 256 + np.arange(256 - len(SEEN))
 BYTE_SPACES = re.compile("(?= [!-~À-ɏ])").split
 #: Lower case of these is one letter in every table.
 PLAIN_WORDS = re.compile("[\n -&(-~À-ÖØ-öø-ÿ]*").fullmatch
@@ -51,6 +57,8 @@ class Encoder:
         self.tokenizer.model._resize_cache(0)  # a piece comes but once
         plain = self.tokenizer.normalizer is None
         self.pieces = byte_pieces if plain else word_pieces
+        # no added token can stand inside a word
+        self.direct = plain and all(t.special for t in self.tokenizer.get_added_tokens_decoder().values())
         # letters never share an id with what stands between them here
         self.between = "\n" if plain else " 0 "
         self.mark = self.tokenizer.encode(self.between, add_special_tokens=False).ids[0]
@@ -63,8 +71,21 @@ class Encoder:
             cls._known[path] = cls(path)
         return cls._known[path]
 
+    def learn_words(self, words: list[str]) -> None:
+        """Encode words of the byte vocabulary into the cache by the library's model itself, without its splitting."""
+        tokenize, ids, ends = self.tokenizer.model.tokenize, [], [0]
+        for p in BYTE_CHARS[np.frombuffer("\n".join(words).encode(), np.uint8)].tobytes().decode("utf-16-le").split(chr(BYTE_CHARS[10])):
+            ids += [t.id for t in tokenize(p)]
+            ends.append(len(ids))
+        data = np.array(ids, "<u4").tobytes()
+        for p, a, z in zip(words, ends, ends[1:]):
+            self.cache[p] = data[4 * a : 4 * z]
+
     def learn(self, new: set[str]) -> None:
-        """Encode pieces into the cache: those of letters in one text, which is quicker, others one by one."""
+        """Encode pieces into the cache: words by the model, others of letters in one text, which is quicker, the rest one by one."""
+        if self.direct and (words := list(filter(BYTE_WORD, new))):
+            self.learn_words(words)
+            new = new.difference(words)
         letters = [p for p in new if p.isalpha() or p[:1] == " " and p[1:].isalpha()]
         if letters:
             ids = np.array(self.tokenizer.encode_batch_fast([self.between.join(letters)], add_special_tokens=False)[0].ids, "<u4")

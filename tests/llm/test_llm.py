@@ -53,6 +53,25 @@ def test_ids_are_the_librarys():
         assert [np.frombuffer(x, "<u4").tolist() for x in e.ids(hard)] == [ids(t) for t in hard]
 
 
+def test_words_are_encoded_without_the_librarys_splitting():
+    """Words of the byte vocabulary go to the library's model alone (splitting was half of their cost), whatever letters they have; ids are the whole library's."""
+    e, ids, split = tokens.Encoder(BYTE), library(BYTE), []
+    whole = e.tokenizer
+
+    class Seen:
+        model = whole.model
+
+        def encode_batch_fast(self, texts, **options):
+            split.extend(texts)
+            return whole.encode_batch_fast(texts, **options)
+
+    e.tokenizer = Seen()
+    letters = [chr(c) for c in range(0x300) if chr(c).isalpha()]
+    texts = ["the Quick  thequickbrownfx, Éçòßɏe\n Thstinnt1 zèêeau  ", "мир you'll don't x", " ".join(letters), "".join(letters), "a".join(letters)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.ids(texts)] == [ids(t) for t in texts]
+    assert split and not any(w in x for x in split for w in ("Quick", "thequickbrownfx", "Éçòßɏe", "Thstinnt", "zèêeau"))
+
+
 def check_packing(rows, want):
     by = {}
     for r in rows:
