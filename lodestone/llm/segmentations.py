@@ -24,8 +24,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pandas as pd
@@ -44,6 +45,13 @@ CHARS = 500_000
 LONG, WINDOW = 2_000, 4_096
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text with the spaces before them."""
+    if SPACE not in text and all(words := text.split(" ")):
+        return [SPACE + w for w in words]
+    return split_words(SPACE + text.replace(" ", SPACE)) if text else []
+
+
 def uniform(state: np.ndarray) -> np.ndarray:
     """Numbers in (0, 1) from 64-bit states."""
     x = state * M1
@@ -314,7 +322,7 @@ class Batch:
 
     def __init__(self, lattices: Lattices, texts: list[str], rngs: list[np.random.Generator], k: int):
         self.lattices = lattices
-        words = [split_words(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        words = [words_of(t) for t in texts]
         self.first = np.cumsum([0, *map(len, words)])
         self.words = list(chain.from_iterable(words))
         self.states = np.concatenate([np.zeros((k, 0), np.uint64), *(rng.integers(0, 2**64, (k, len(own)), np.uint64) for rng, own in zip(rngs, words))], axis=1)
@@ -344,10 +352,10 @@ class Batch:
     def narrow(self, a: int, z: int, length: np.ndarray) -> list[np.ndarray]:
         """Draws words a to z; their ids."""
         own = self.words[a:z]
-        self.number = number = dict.fromkeys(own)
-        number.update(zip(number, range(len(number))))
+        self.number = number = defaultdict(count().__next__)
+        kind = np.fromiter(map(number.__getitem__, own), np.int64, len(own))
         types = list(number)
-        kind, n_of = np.fromiter(map(number.__getitem__, own), np.int64, len(own)), np.fromiter(map(len, types), np.int64, len(types))
+        n_of = np.fromiter(map(len, types), np.int64, len(types))
         self.row, self.of_length = np.zeros(len(types), np.int64), {}
         groups = []
         for n in np.unique(n_of).tolist():
