@@ -427,6 +427,14 @@ def test_secrets_of_documents(spark, docs, odd):
     assert (10**6 + 12, None) in clean and (10**6 + 1, "token: '<secret>") in clean
 
 
+def test_secrets_keep_large_ids_beside_null_ones(spark):
+    """Ids above 2**53, which no float holds, in one batch with a row without an id."""
+    rows = [(2**53 + 1 + i, f"token=abcdefgh{i}") for i in range(4)] + [(2**63 - 1, "plain"), (-(2**63), None), (None, "AKIA" * 4)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (r.n_assign, r.n_access) for r in secrets.digest(secrets.find(frame)).collect()}
+    assert got == {d: (int(t is not None and "=" in t), int(d is None)) for d, t in rows}
+
+
 def test_chains_are_decoded_as_whole_texts_are():
     crf, r = secrets.model(), random.Random(4)
     lines = [t for t, _ in secrets.examples(400, seed=77)]
