@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import scalar
-from lodestone.plans.session import stored
+from lodestone.plans.session import forget_shuffles, ship, stored
 
 from .relational import numbered
 
@@ -81,15 +82,8 @@ def item_pairs(ratings: DataFrame, least: int = 3) -> DataFrame:
             at, which = within(begin, size, row[own[places]])
             later = code[at] > a
             at, which = at[later], which[later]
-            x, y, b = stars[own[places]][which], stars[at], code[at] - a
-            count = np.bincount(b)
-            some = np.flatnonzero(count >= max(1, least))
-            c = count[some].astype(float)
-            sx, sy, sxy, sxx, syy = (np.bincount(b, v)[some] if len(b) else c for v in (x, y, x * y, x * x, y * y))
-            vx, vy = sxx - sx * sx / c, syy - sy * sy / c
-            flat_ = (vx <= 1e-9) | (vy <= 1e-9)
-            r = np.where(flat_, 0.0, (sxy - sx * sy / c) / np.where(flat_, 1.0, np.sqrt(np.abs(vx)) * np.sqrt(np.abs(vy))))
-            found.append((np.full(len(some), a), some + a, count[some], r))
+            some, count, r = correlated(stars[own[places]][which], stars[at], code[at] - a, least)
+            found.append((np.full(len(some), a), some + a, count, r))
         a, b, c, r = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int),) * 4
         return pa.table({"a": pa.array(items[a], kind_), "b": pa.array(items[b], kind_), "n": pa.array(c, pa.int64()), "correlation": pa.array(r, pa.float64())})
 
@@ -98,6 +92,27 @@ def item_pairs(ratings: DataFrame, least: int = 3) -> DataFrame:
     return rows.repartition(n, "block").groupBy("block").applyInArrow(pairs, f"a {kind}, b {kind}, n long, correlation double")
 
 
+def correlated(x: np.ndarray, y: np.ndarray, b: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs of ratings, grouped by b: groups with at least so many, their numbers of pairs, and their correlations."""
+    count = np.bincount(b)
+    some = np.flatnonzero(count >= max(1, least))
+    c = count[some].astype(float)
+    sx, sy, sxy, sxx, syy = (np.bincount(b, v)[some] if len(b) else c for v in (x, y, x * y, x * x, y * y))
+    vx, vy = sxx - sx * sx / c, syy - sy * sy / c
+    level = (vx <= 1e-9) | (vy <= 1e-9)
+    return some, count[some], np.where(level, 0.0, (sxy - sx * sy / c) / np.where(level, 1.0, np.sqrt(np.abs(vx)) * np.sqrt(np.abs(vy))))
+
+
+def ranked(c: np.ndarray, code: np.ndarray, which: np.ndarray, n: int, digits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the n highest positive c for each value of which, ties by code, and their ranks."""
+    some = np.flatnonzero(c > 0)
+    some = some[np.lexsort((code[some], -np.round(c[some], digits), which[some]))]
+    own = which[some]
+    first = np.concatenate([[True], own[1:] != own[:-1]]) if len(own) else np.zeros(0, bool)
+    rank = np.arange(len(own)) - np.maximum.accumulate(np.where(first, np.arange(len(own)), 0)) + 1
+    return some[rank <= n], rank[rank <= n]
+
+
 def types(df: DataFrame, column: str) -> tuple[str, pa.DataType]:
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -136,12 +151,8 @@ def nearest(targets: DataFrame, ratings: DataFrame, pairs: DataFrame, n: int, di
             at, which = within(begin, size, lists_)
             c = near[code[at]]
             near[other] = 0.0
-            some = np.flatnonzero(c > 0)
-            some = some[np.lexsort((code[at[some]], -np.round(c[some], digits), which[some]))]
+            some, rank = ranked(c, code[at], which, n, digits)
             own = which[some]
-            first = np.concatenate([[True], own[1:] != own[:-1]]) if len(own) else np.zeros(0, bool)
-            rank = np.arange(len(own)) - np.maximum.accumulate(np.where(first, np.arange(len(own)), 0)) + 1
-            some, own, rank = some[rank <= n], own[rank <= n], rank[rank <= n]
             out.append((users[lists_[own]], np.full(len(own), item), items[code[at[some]]], c[some], stars[at[some]], rank))
         empty = (users[:0], items[:0], items[:0], np.zeros(0), np.zeros(0), np.zeros(0, int))
         return dict(zip(("user_id", "item_id", "other", "correlation", "stars", "rank"), (np.concatenate(x) for x in zip(*out)) if out else empty))
@@ -154,14 +165,140 @@ def nearest(targets: DataFrame, ratings: DataFrame, pairs: DataFrame, n: int, di
     return left.cogroup(right).applyInArrow(columns, schema)
 
 
-def neighbours(targets: DataFrame, ratings: DataFrame, pairs: DataFrame, n: int = 8, digits: int = 9) -> DataFrame:
-    """(user_id, item_id, other, correlation, stars, rank): of the items that a target's user rated, the n most similar ones of positive similarity."""
+def small(x: np.ndarray) -> np.ndarray:
+    """The same whole numbers in the narrowest type."""
+    kind = np.promote_types(np.min_scalar_type(x.min()), np.min_scalar_type(x.max())) if len(x) else np.int8
+    return x.astype(kind)
+
+
+def squeezed(lists: np.ndarray, stars: np.ndarray, *others: object) -> bytes:
+    """Lists of item numbers (as steps) and stars (as places among their values), and whatever else, compressed."""
+    values, code = np.unique(stars, return_inverse=True)
+    data = pickle.dumps((small(np.diff(lists, prepend=0)), values, small(code), *others), 5)
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unsqueezed(data: bytes) -> tuple:
+    steps, values, code, *others = pickle.loads(pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True))
+    return np.cumsum(steps, dtype=np.int64), values[code] if len(values) else values, *others
+
+
+def packed(batches: Iterator[pa.RecordBatch], count: int, items: int) -> Iterator[pa.RecordBatch]:
+    """From rows of whole users (user_id, number, stars; no stars: wanted) for each of their blocks all that it needs, once for all users here.
+
+    That is the users with a rated or wanted item in the block, their means and
+    whole lists, and which of the block's items they want.
+    """
+    batches = list(batches)
+    if not sum(map(len, batches)):
+        return
+    t = pa.Table.from_batches(batches)
+    coded = t["user_id"].combine_chunks().dictionary_encode()
+    users, u = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+    number, s = t["number"].fill_null(-1).to_numpy().astype(np.int64), t["stars"].fill_null(0.0).to_numpy()
+    asked = t["stars"].is_null().to_numpy()
+    rated = ~asked
+    voices = np.bincount(u[rated], minlength=len(users))
+    mean = np.bincount(u[rated], s[rated], minlength=len(users)) / np.maximum(voices, 1)
+    rated &= number >= 0
+    order = np.flatnonzero(rated)[np.lexsort((s[rated], number[rated], u[rated]))]
+    lu, ln, ls = u[order], number[order], s[order]
+    size = np.bincount(lu, minlength=len(users))
+    begin = np.cumsum(size) - size
+    order = np.flatnonzero(asked)
+    block = number[order] * count // items
+    order = order[np.lexsort((number[order], u[order], block))]
+    wu, wn, wb = u[order], number[order], number[order] * count // items
+    both = np.unique(np.concatenate([(ln * count // items) * len(users) + lu, wb * len(users) + wu]))
+    for b, at in runs(both // len(users)):
+        here = both[at] % len(users)
+        places, _ = within(begin, size, here)
+        lo, hi = np.searchsorted(wb, (b, b + 1))
+        wants = np.searchsorted(here, wu[lo:hi])
+        data = squeezed(ln[places], ls[places], small(size[here]), users.take(pa.array(here)), mean[here], voices[here] > 0, small(np.bincount(wants, minlength=len(here))), small(np.diff(wn[lo:hi], prepend=0)))
+        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([data], pa.binary())], ["block", "data"])
+
+
+def together(targets: DataFrame, ratings: DataFrame, number: DataFrame, least: int, n: int, digits: int, schema: str, made: Callable) -> DataFrame:
+    """What `made` gives, as columns of this schema, of the targets among numbered items, block by block.
+
+    A task has its items' users with their whole lists, so it finds the
+    correlations of its items with all others itself: neither pairs of items nor
+    lists as rows are shuffled. Lists go to blocks compressed, many users at once.
+    `made` gets users, their means and whether they have one, (user's place, item's
+    number) of all targets, and of their neighbours, ordered by target and rank:
+    the target's place, number, correlation, stars and rank.
+    """
+    ship(ratings.sparkSession)
+    items, rows = number.agg(F.count("*"), F.sum("n")).first()
+    items, rows = max(1, items), rows or 0
+    count = max(1, min(items, -(-rows // BLOCK)))
+    place, stars = number.select("item_id", "number"), F.col("stars").cast("double")
+    own = ratings.where("user_id is not null and stars is not null").join(place, "item_id", "left").select("user_id", F.when(~F.isnan(stars), F.col("number")).alias("number"), stars.alias("stars"))
+    wanted = targets.where("user_id is not null").join(place, "item_id").select("user_id", "number", F.lit(None).cast("double").alias("stars"))
+    both = own.unionByName(wanted)
+    parts = both.repartition(max(16, -(-rows // (4 * BLOCK))), "user_id").mapInArrow(lambda it: packed(it, count, items), "block int, data binary")
+
+    def found(t: pa.Table) -> pa.Table:
+        lists, stars, size, users, mean, known, asks, wants = zip(*(unsqueezed(x.as_py()) for x in t["data"]))
+        wants = np.concatenate([np.cumsum(x, dtype=np.int64) for x in wants])
+        lists, stars, size, mean, known, asks = (np.concatenate(x) for x in (lists, stars, size, mean, known, asks))
+        size, users = size.astype(np.int64), pa.concat_arrays(users)
+        begin, row, asker = np.cumsum(size) - size, np.repeat(np.arange(len(size)), size), np.repeat(np.arange(len(asks)), asks)
+        items, code = np.unique(lists, return_inverse=True)
+        raters = dict(runs(code))
+        near, out = np.zeros(len(items)), []
+        for item, entries in runs(wants):
+            a = int(np.searchsorted(items, item))
+            at, which = within(begin, size, row[raters[a]])
+            other = code[at] != a
+            some, _, r = correlated(stars[raters[a]][which[other]], stars[at[other]], code[at[other]], least)
+            near[some] = r
+            at, which = within(begin, size, asker[entries])
+            c = near[code[at]]
+            near[some] = 0.0
+            top, rank = ranked(c, code[at], which, n, digits)
+            out.append((entries[which[top]], items[code[at[top]]], c[top], stars[at[top]], rank))
+        empty = ((np.zeros(0, np.int64), items[:0], np.zeros(0), np.zeros(0), np.zeros(0, np.int64)),)
+        return made(users, mean, known, asker, wants, *(np.concatenate(x) for x in zip(*(out or empty))))
+
+    out = parts.repartition(count, "block").groupBy("block").applyInArrow(found, f"user_id {types(both, 'user_id')[0]}, {schema}")
+    return out.withColumn("user_id", F.col("user_id").cast(types(targets, "user_id")[0]))
+
+
+def items_of(ratings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(item_id, number, n) of the items with ratings n, in their order, and (item_id, item_mean); both stored."""
+    stars = F.col("stars").cast("double")
+    some = F.col("user_id").isNotNull() & stars.isNotNull() & ~F.isnan(stars)
+    counted = stored(ratings.where("item_id is not null").groupBy("item_id").agg(F.count_if(some).alias("n"), F.avg("stars").alias("item_mean")))
+    return stored(numbered(counted.where("n > 0").select("item_id", "n"), "item_id", "number")), counted.select("item_id", "item_mean")
+
+
+def neighbours(targets: DataFrame, ratings: DataFrame, pairs: DataFrame | int = 3, n: int = 8, digits: int = 9) -> DataFrame:
+    """(user_id, item_id, other, correlation, stars, rank): of the items that a target's user rated, the n most similar ones of positive similarity.
+
+    Pairs are rows of similarities, or a number: then those of `item_pairs` with at least so many common users.
+    """
     user, item = types(targets, "user_id")[0], types(ratings, "item_id")[0]
-    schema = f"user_id {user}, item_id {item}, other {item}, correlation double, stars double, rank int"
-    return nearest(targets, ratings, pairs, n, digits, schema, lambda rows: rows)
+    if not isinstance(pairs, int):
+        schema = f"user_id {user}, item_id {item}, other {item}, correlation double, stars double, rank int"
+        return nearest(targets, ratings, pairs, n, digits, schema, lambda rows: rows)
+    forget_shuffles(ratings.sparkSession)
+    number, _ = items_of(ratings)
 
+    def rows(users, mean, known, asker, wants, entry, other, correlation, stars, rank):
+        again = np.concatenate([[False], (asker[1:] == asker[:-1]) & (wants[1:] == wants[:-1])]) if len(wants) else np.zeros(0, bool)
+        once = ~again[entry]
+        entry = entry[once]
+        columns = (users.take(pa.array(asker[entry])), wants[entry], other[once], correlation[once], stars[once], rank[once].astype(np.int32))
+        return pa.table(dict(zip(("user_id", "number", "to", "correlation", "stars", "rank"), columns)))
 
-def predict(targets: DataFrame, ratings: DataFrame, pairs: DataFrame, n: int = 8, unknown: float = 3.0, power: int = 1) -> DataFrame:
+    found = together(targets, ratings, number, pairs, n, digits, "number long, to long, correlation double, stars double, rank int", rows)
+    named = lambda n, i: number.select(F.col("number").cast("long").alias(n), F.col("item_id").alias(i))
+    return found.join(named("number", "item_id"), "number").join(named("to", "other"), "to").select("user_id", "item_id", "other", "correlation", "stars", "rank")
+
+
+def predict(targets: DataFrame, ratings: DataFrame, pairs: DataFrame | int = 3, n: int = 8, unknown: float = 3.0, power: int = 1) -> DataFrame:
     """(user_id, item_id, prediction, confidence), clipped to 1 to 5.
 
     The weighted mean of the neighbours' ratings. Without neighbours the mean
@@ -169,18 +306,46 @@ def predict(targets: DataFrame, ratings: DataFrame, pairs: DataFrame, n: int = 8
     missing; a constant where both are. Confidence is the similarity of the
     last neighbour; 0.1, 0.05 and 0 on the steps below. An item is no neighbour
     of its own, so the prediction of a rated pair does not come from its rating.
+    Pairs are as in `neighbours`.
     """
 
+    def means(correlation: np.ndarray, stars: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.flatnonzero(rank == 1)
+        w = correlation**power
+        return (at, np.add.reduceat(w * stars, at) / np.add.reduceat(w, at), np.minimum.reduceat(correlation, at)) if len(at) else (at, w, w)
+
     def weighted(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        at = np.flatnonzero(rows["rank"] == 1)
-        w = rows["correlation"] ** power
-        total = np.add.reduceat(w * rows["stars"], at) / np.add.reduceat(w, at) if len(at) else w
-        return {"user_id": rows["user_id"][at], "item_id": rows["item_id"][at], "weighted": total, "last": np.minimum.reduceat(rows["correlation"], at) if len(at) else w}
+        at, total, last = means(rows["correlation"], rows["stars"], rows["rank"])
+        return {"user_id": rows["user_id"][at], "item_id": rows["item_id"][at], "weighted": total, "last": last}
 
     user, item = types(targets, "user_id")[0], types(ratings, "item_id")[0]
-    scored = nearest(targets, ratings, pairs, n, 9, f"user_id {user}, item_id {item}, weighted double, last double", weighted)
-    users, items = averages(ratings)
-    rows = targets.select("user_id", "item_id").join(scored, ["user_id", "item_id"], "left").join(users, "user_id", "left").join(items, "item_id", "left")
+    targets = targets.select("user_id", "item_id")
+    if not isinstance(pairs, int):
+        scored = nearest(targets, ratings, pairs, n, 9, f"user_id {user}, item_id {item}, weighted double, last double", weighted)
+        users, items = averages(ratings)
+        rows = targets.join(scored, ["user_id", "item_id"], "left").join(users, "user_id", "left").join(items, "item_id", "left")
+        return predictions(rows, unknown)
+    forget_shuffles(ratings.sparkSession)
+    number, items = items_of(ratings)
+
+    def all_targets(users, mean, known, asker, wants, entry, other, correlation, stars, rank):
+        at, total, last = means(correlation, stars, rank)
+        none, found = np.ones(len(wants), bool), np.zeros((2, len(wants)))
+        none[entry[at]], found[:, entry[at]] = False, (total, last)
+        return pa.table({"user_id": users.take(pa.array(asker)), "number": wants, "weighted": pa.array(found[0], mask=none), "last": pa.array(found[1], mask=none), "user_mean": pa.array(mean[asker], mask=~known[asker])})
+
+    place = number.select("item_id", F.col("number").cast("long").alias("number"))
+    found = together(targets, ratings, number, pairs, n, 9, "number long, weighted double, last double, user_mean double", all_targets)
+    found = found.join(place.join(items, "item_id"), "number")
+    # targets without a user or of items that nobody rated; averages of their users alone
+    rest = stored(targets.where("user_id is null").unionByName(targets.where("user_id is not null").join(place, "item_id", "left_anti").select("user_id", "item_id")))
+    users, _ = averages(ratings.join(rest.select("user_id").distinct(), "user_id", "left_semi"))
+    none = F.lit(None).cast("double")
+    rest = rest.join(users, "user_id", "left").join(items, "item_id", "left").select("user_id", "item_id", none.alias("weighted"), none.alias("last"), "user_mean", "item_mean")
+    return predictions(found.select(*rest.columns).unionByName(rest), unknown)
+
+
+def predictions(rows: DataFrame, unknown: float) -> DataFrame:
     return rows.select("user_id", "item_id", scalar.clipped(fallback(F.col("weighted"), unknown)).alias("prediction"), confidence(F.col("last")).alias("confidence"))
 
 

@@ -381,6 +381,36 @@ def test_neighbours_of_named_items_in_several_blocks(spark, monkeypatch):
     assert recommend.item_pairs(df.limit(0)).count() == 0 and recommend.neighbours(targets.limit(0), df, pairs).count() == 0
 
 
+@pytest.mark.parametrize("name", ["cf_feature"])
+def test_lists_and_similarities_are_no_rows(spark, monkeypatch, name):
+    """Neither a user's list for each block nor the similarities of items are shuffled."""
+    monkeypatch.setattr(recommend, "BLOCK", 500)
+    r = random.Random(8)
+    rows = [(u, i, float(r.randint(1, 5))) for u in range(200) for i in r.sample(range(150), 30)]
+    monkeypatch.setattr(catalogue, "ratings", lambda *_: spark.createDataFrame(rows, "user_id long, item_id long, stars double"))
+    monkeypatch.setattr(catalogue, "rating_features", lambda *_: (spark.createDataFrame([(1, 2.0)], "user_id long, orders double"), spark.createDataFrame([(1, 3.0)], "item_id long, acctbal double")))
+    got, shuffled = shuffled_rows(spark, lambda: catalogue.QUERIES[name](spark, "").collect())
+    assert len(got) > len(rows) and shuffled < 16_000  # ratings and targets once are 12,000
+
+
+@pytest.mark.parametrize("block", [20, 100_000])
+def test_similarities_made_on_the_way_are_those_of_pairs(spark, monkeypatch, block):
+    """With rows without a user, an item or stars, repeated ratings and targets, and unknown users and items."""
+    monkeypatch.setattr(recommend, "BLOCK", block)
+    r = random.Random(9)
+    rows = [(f"u{u}", i, float(r.randint(1, 5)) + 0.25 * r.randint(0, 1)) for u in range(25) for i in r.sample(range(12), 7)]
+    rows += [*rows[:9], (None, 3, 1.0), (None, None, 1.0), ("u1", None, 5.0), ("u2", 4, None), ("alone", None, 4.0), ("nan", 77, float("nan")), (None, 99, 2.0), ("one", 50, 3.0)]
+    df = spark.createDataFrame(rows, "user_id string, item_id int, stars double")
+    asked = [(u, i) for u, i, _ in rows] + [("new", 3), ("u1", 999), ("u1", 99), ("new", 999), ("alone", 3), (None, 999), ("nan", 77), ("one", 3), ("u3", None)]
+    targets, pairs = spark.createDataFrame(asked, "user_id string, item_id int"), recommend.item_pairs(df, 2)
+    of = lambda found: sorted(repr([round(x, 9) if isinstance(x, float) else x for x in row]) for row in found.collect())
+    got = recommend.predict(targets, df, 2, 4, power=2)
+    assert of(got) == of(recommend.predict(targets, df, pairs, 4, power=2)) and got.count() == len(asked)
+    near = recommend.neighbours(targets, df, 2, 4)
+    assert of(near) == of(recommend.neighbours(targets, df, pairs, 4)) and near.count() > 500
+    assert recommend.predict(targets, df.limit(0), 2).count() == len(asked) and recommend.predict(targets.limit(0), df, 2).count() == recommend.neighbours(targets.limit(0), df, 2).count() == 0
+
+
 def test_grid_search_makes_its_rows_once(spark):
     made = spark.sparkContext.accumulator(0)
 
