@@ -381,7 +381,7 @@ def test_neighbours_of_named_items_in_several_blocks(spark, monkeypatch):
     assert recommend.item_pairs(df.limit(0)).count() == 0 and recommend.neighbours(targets.limit(0), df, pairs).count() == 0
 
 
-@pytest.mark.parametrize("name", ["cf_feature"])
+@pytest.mark.parametrize("name", ["cf_predict", "cf_feature"])
 def test_lists_and_similarities_are_no_rows(spark, monkeypatch, name):
     """Neither a user's list for each block nor the similarities of items are shuffled."""
     monkeypatch.setattr(recommend, "BLOCK", 500)
