@@ -300,6 +300,46 @@ def test_betweenness_of_dense_sparse_and_joined_search(spark, monkeypatch, compa
         assert all(got[k] == pytest.approx(brute[k]) for k in brute)
 
 
+def twin_graph(seed):
+    """Edges between vertices that stand for 1 to 4 twins each, joined with each other or not, without any order of ids."""
+    r = random.Random(seed)
+    ids = r.sample(range(100), 40)
+    of = [[ids.pop() for _ in range(r.randint(1, 4))] for _ in range(9)]
+    pairs = {(a, b) for i, j in itertools.combinations(range(9), 2) if r.random() < 0.35 for a in of[i] for b in of[j]}
+    pairs |= {p for x in of if r.random() < 0.5 for p in itertools.combinations(x, 2)}
+    return sorted({(min(p), max(p)) for p in pairs})
+
+
+@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("compat", [False, True])
+def test_searches_over_twins_are_those_of_vertices(seed, compat):
+    pairs = twin_graph(seed)
+    ids = sorted({v for p in pairs for v in p})
+    near = {v: {b if a == v else a for a, b in pairs if v in (a, b)} for v in ids}
+    want = {}
+    for i, j, x in zip(*graph.sparse_flows([np.array([ids.index(b) for b in sorted(near[v])]) for v in ids], np.arange(len(ids)), compat)):
+        want[ids[i], ids[j]] = x
+    group = {v: min(w for w in ids if near[v] - {v, w} == near[w] - {v, w}) for v in ids}
+    names = sorted(set(group.values()))
+    size = np.array([sum(g == c for g in group.values()) for c in names], float)
+    arcs = [np.array(sorted({names.index(group[w]) for v in ids if group[v] == c for w in near[v]}), int) for c in names]
+    assert len(names) < len(ids)
+    for search in (graph.sparse_flows, graph.dense_flows):
+        flow = {(names[i], names[j]): x for i, j, x in zip(*search(arcs, np.arange(len(names)), compat, size))}
+        for (a, b), x in want.items():
+            assert flow[group[a], group[b]] + flow[group[b], group[a]] == pytest.approx((x + want[b, a]) * (2 if group[a] == group[b] else 1))
+
+
+def test_edge_betweenness_moves_no_edges(spark, monkeypatch):
+    """300 users of three sets of days: 44,850 edges, none of which is shuffled."""
+    rows = spark.createDataFrame([(u, d) for u in range(300) for d in range(30) if d != u % 3], "user_id long, n int").selectExpr("user_id", "date_add(date'2024-01-01', n) AS day")
+    met = graph.checkpoint(graph.corating(rows, "user_id", "day", 28))
+    monkeypatch.setattr(catalogue, "shared_days", lambda *_: met)
+    got, shuffled = shuffled_rows(spark, lambda: catalogue.QUERIES["edge_betweenness"](spark, "").collect())
+    assert {x.betweenness for x in got} == {1.0} and len(got) == 44_850 and shuffled < 10_000
+    assert len(graph.twins(met)[0].select("class").distinct().collect()) == 1
+
+
 def test_betweenness_takes_no_job_for_each_level(spark):
     context = spark.sparkContext
     context.setJobGroup("deep", "deep")
