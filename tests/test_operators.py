@@ -330,6 +330,52 @@ def test_searches_over_twins_are_those_of_vertices(seed, compat):
             assert flow[group[a], group[b]] + flow[group[b], group[a]] == pytest.approx((x + want[b, a]) * (2 if group[a] == group[b] else 1))
 
 
+def brute_girvan_newman(pairs, patience, compat):
+    """Vertex by vertex: the components of the best round, and its modularity."""
+    ids, now, best, kept, waited, last = sorted({v for p in pairs for v in p}), set(pairs), None, None, 0, -1.0
+    while True:
+        near = {v: sorted({b if a == v else a for a, b in now if v in (a, b)}) for v in ids}
+        of = {v: v for v in ids}
+        while any(of[b] < of[a] for a in ids for b in near[a]):
+            of = {a: min(of[b] for b in [a, *near[a]]) for a in ids}
+        graph_ = now if compat else set(pairs)
+        k = {v: sum(v in p for p in graph_) for v in ids}
+        m = len(pairs)
+        score = sum(2 * sum(of[a] == of[b] == c for a, b in graph_) - (sum(k[v] for v in ids if of[v] == c) ** 2 - compat * sum(k[v] ** 2 for v in ids if of[v] == c)) / (2 * m) for c in set(of.values())) / (2 * m)
+        waited = 0 if score > last + 1e-12 else waited + 1
+        if best is None or score > best + 1e-12:
+            best, kept = score, of
+        last = score
+        if waited >= patience or not now:
+            return kept, best
+        flow = {}
+        for i, j, x in zip(*graph.sparse_flows([np.array([ids.index(b) for b in near[v]], int) for v in ids], np.arange(len(ids)), compat)):
+            flow[min(i, j), max(i, j)] = flow.get((min(i, j), max(i, j)), 0.0) + x / 2
+        most = max(round(x, 9) for x in flow.values())
+        now = {(a, b) for a, b in now if round(flow[ids.index(a), ids.index(b)], 9) != most}
+
+
+@pytest.mark.parametrize(("seed", "compat"), [(0, False), (3, True)])
+def test_communities_of_twins_are_those_of_vertices(spark, seed, compat):
+    """Rounds go on until twins have lost all their edges."""
+    pairs = twin_graph(seed)
+    e = edges(spark, pairs)
+    want, best = brute_girvan_newman(pairs, 100, compat)
+    found, score = graph.girvan_newman(e, 100, compat)
+    assert {x.id: x.component for x in found.collect()} == want and score == pytest.approx(best)
+    stars = [(a, b) for a in range(3) for b in range(3, 9)]  # all edges tie, so one cut leaves twins alone
+    found, score = graph.girvan_newman(edges(spark, stars), 100, compat)
+    want, best = brute_girvan_newman(stars, 100, compat)
+    assert {x.id: x.component for x in found.collect()} == want and score == pytest.approx(best)
+
+
+def test_girvan_newman_moves_no_edges(spark):
+    pairs = [(a, b) for a, b in itertools.combinations(range(300), 2) if a % 3 == b % 3 or 0 in (a % 3, b % 3)]
+    met = graph.checkpoint(edges(spark, pairs))
+    (found, _), shuffled = shuffled_rows(spark, lambda: graph.girvan_newman(met, 1))
+    assert shuffled < 10_000 and found.count() == 300  # edges are 34,850
+
+
 def test_edge_betweenness_moves_no_edges(spark, monkeypatch):
     """300 users of three sets of days: 44,850 edges, none of which is shuffled."""
     rows = spark.createDataFrame([(u, d) for u in range(300) for d in range(30) if d != u % 3], "user_id long, n int").selectExpr("user_id", "date_add(date'2024-01-01', n) AS day")
